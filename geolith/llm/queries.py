@@ -6,6 +6,7 @@ import importlib
 
 #: Module of each query.
 QUERIES = {
+    "op2_bpe": "bpe",
     "op7_exact_dedup": "exact_dedup",
     "op8_line_dedup": "line_dedup",
 }
