@@ -119,7 +119,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout:
     for cut in cuts:
         number = number + (F.col("doc_id") > cut).cast("int")
     hashes = rows.mapInArrow(_line_hashes(min_points), "h binary, doc_id long").withColumn("batch", number)
-    staged, staged_path = save(hashes, "linehashes", partition_by="batch")
+    staged, staged_path = save(hashes, "linehashes")
     runs = LineRuns(spark, fanout)
     for i in range(len(cuts) + 1):
         runs.add(staged.where(F.col("batch") == i).drop("batch"))

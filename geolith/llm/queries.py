@@ -9,6 +9,7 @@ QUERIES = {
     "op2_bpe": "bpe",
     "op7_exact_dedup": "exact_dedup",
     "op8_line_dedup": "line_dedup",
+    "op10_packing": "packing",
 }
 
 
