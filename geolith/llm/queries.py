@@ -6,7 +6,10 @@ import importlib
 
 #: Module of each query.
 QUERIES = {
+    "op1_quality": "quality",
     "op2_bpe": "bpe",
+    "op5_token_file": "tokenfile",
+    "op6_language_id": "language_id",
     "op7_exact_dedup": "exact_dedup",
     "op8_line_dedup": "line_dedup",
     "op10_packing": "packing",
