@@ -6,10 +6,11 @@ ids, so that it can be decoded alone and a damaged one is noticed.  Files are ro
 Parquet table in the shared folder, which any store that Spark writes to can hold.
 
 Model of a block.  Order 2 and order 1 predict the next id from tables of what followed the same two ids
-or the same id last time.  A three-way symbol (order 2 right, order 1 right, neither) is coded with
-frequencies mixed from two adaptive counters: one selected by how often the order-2 slot was right lately, one
-by the order-1 slot.  Where neither is right, order 0 codes the id's high and low byte with
-adaptive frequencies that are rebuilt every REBUILD ids.
+or the same id last time, each with a confidence of 0 to 3.  One symbol says which is right: order 2's id,
+order 1's, or neither and then the id's group, its six high bits, as order 0 expects it.  The frequencies
+of the three outcomes are mixed from adaptive counts by both confidences, by order 1's alone and by order
+2's alone; the groups' are adaptive counts.  Both are rebuilt every few ids.  The ten low bits of an id that
+nobody predicted are near uniform and are stored as they are.
 
 The coder works on many blocks at once: step t codes the t-th id of each block with numpy, which keeps
 the sequential model affordable.  Arithmetic is in integers, so that any machine decodes alike.
@@ -25,10 +26,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
@@ -40,90 +43,86 @@ BLOCK = 4096
 FILE_IDS = 1 << 20
 #: Blocks that are coded at once.
 LANES = 4096
-SLOTS1, SLOTS2 = 1 << 10, 1 << 11
+#: Places in the tables of order 1 and order 2.
+SLOTS1, SLOTS2 = 1 << 9, 1 << 10
+#: Low bits of an id that are stored as they are, and groups of ids by their high bits.
+LOW_BITS, GROUPS = 10, 64
+#: Frequencies are out of 2^BITS, those of the groups out of 2^GROUP_BITS.
+BITS, GROUP_BITS = 15, 12
+#: Neither order's prediction gets the last part, so that every group keeps a frequency.
+MISSES = 1 << GROUP_BITS
+REFRESH = 64
 TOP = np.uint64(1 << 32)
 LOW_MASK = np.uint64((1 << 32) - 1)
-BITS = 15
-REBUILD = 128
+SHIFT, SIXTEEN, THIRTY_TWO = np.uint64(BITS), np.uint64(16), np.uint64(32)
 
 
 class Model:
     """State of n blocks that are coded in step; all are fresh at the start."""
 
     def __init__(self, n: int):
+        row = np.arange(n)
         self.n = n
-        self.row = np.arange(n)
-        self.next1 = np.zeros(n * SLOTS1, np.uint16)
-        self.next2 = np.zeros(n * SLOTS2, np.uint16)
-        self.sure1 = np.zeros(n * SLOTS1, np.uint8)
-        self.sure2 = np.zeros(n * SLOTS2, np.uint8)
-        self.base1, self.base2 = self.row * SLOTS1, self.row * SLOTS2
-        # Counts of the three outcomes for each confidence (0 to 3) of either order.
-        self.seen = np.zeros((n, 16, 3), np.int64)
-        self.seen[:] = (2, 2, 8)
-        self.seen = self.seen.reshape(n * 16, 3)
-        self.a = np.zeros(n, np.int64)
-        self.b = np.zeros(n, np.int64)
-        self.bytes = [np.ones((n, 256), np.int32) for _ in range(2)]
-        self.starts: list[np.ndarray] = []
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """Cumulative frequencies of the bytes, out of 2^BITS, each at least 1; older counts are halved."""
-        self.starts = []
-        for counts in self.bytes:
-            total = counts.sum(1, keepdims=True)
-            freq = 1 + counts * ((1 << BITS) - 256) // total
-            starts = np.zeros((len(counts), 257), np.int64)
-            np.cumsum(freq, 1, out=starts[:, 1:])
-            starts[:, 256] = 1 << BITS
-            self.starts.append(starts.ravel())
-            counts[total[:, 0] > 4096] >>= 1
-            np.maximum(counts, 1, out=counts)
+        self.table1 = np.zeros(n * SLOTS1, np.int32)  # id and, above it, the confidence
+        self.table2 = np.zeros(n * SLOTS2, np.int32)
+        self.base1, self.base2, self.base16, self.base_groups, self.base_starts = row * SLOTS1, row * SLOTS2, row * 16, row * GROUPS, row * (GROUPS + 1)
+        self.seen = np.zeros((n * 16, 3), np.int32)
+        self.seen[:] = (1, 1, 2)
+        self.groups = np.ones(n * GROUPS, np.int32)
+        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """The frequencies from the counts; larger counts are halved."""
+        n = self.n
+        joint = self.seen[: n * 16].reshape(n, 4, 4, 3)
+        total = joint.sum((1, 2, 3))
+        if (large := np.flatnonzero(total > 1500)).size:
+            joint[large] = (joint[large] + 1) >> 1
+        mixed = 4 * joint + joint.sum(1, keepdims=True) + 2 * joint.sum(2, keepdims=True)
+        mixed = mixed.reshape(n * 16, 3).astype(np.int64)
+        room = (1 << BITS) - MISSES - 2
+        total = mixed.sum(1)
+        self.one = 1 + mixed[:, 0] * room // total
+        self.two = self.one + 1 + mixed[:, 1] * room // total
+        groups = self.groups[: n * GROUPS].reshape(n, GROUPS)
+        total = groups.sum(1, keepdims=True)
+        if (large := np.flatnonzero(total[:, 0] > 2000)).size:
+            groups[large] = (groups[large] + 1) >> 1
+            total = groups.sum(1, keepdims=True)
+        starts = np.zeros((n, GROUPS + 1), np.int64)
+        np.cumsum(1 + groups * ((1 << GROUP_BITS) - GROUPS) // total, 1, out=starts[:, 1:])
+        starts[:, GROUPS] = 1 << GROUP_BITS
+        self.starts = starts.ravel()
 
     def shrink(self, n: int) -> None:
         """The first n blocks go on; the others are at their end."""
-        self.n, self.row = n, self.row[:n]
-        self.base1, self.base2, self.a, self.b = self.base1[:n], self.base2[:n], self.a[:n], self.b[:n]
-        self.bytes = [c[:n] for c in self.bytes]
-        self.starts = [s[: n * 257] for s in self.starts]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order 2's and order 1's id."""
-        self.at1 = self.base1 + ((self.a * 40503 >> 6) & (SLOTS1 - 1))
-        self.at2 = self.base2 + ((self.a * 40503 + self.b * 30011 >> 5) & (SLOTS2 - 1))
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        return self.next2[self.at2], self.next1[self.at1]
-
-    def outcomes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where outcome 1 and outcome 2 begin, out of 2^BITS."""
-        base = self.row * 16
-        self.s1, self.s2 = base + self.c1, base + 4 + self.c2
-        mixed = self.seen[self.s1] + 3 * self.seen[self.s2]
-        total = mixed.sum(1)
-        room = (1 << BITS) - 3
-        one = 1 + mixed[:, 0] * room // total
-        return one, one + 1 + mixed[:, 1] * room // total
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray, p2: np.ndarray, p1: np.ndarray, missed: np.ndarray) -> None:
-        for s in (self.s1, self.s2):
-            flat = s * 3 + outcome
-            counts = self.seen.reshape(-1)
-            counts[flat] += 4
-            over = s[counts[flat] > 400]
-            if len(over):
-                self.seen[over] = (self.seen[over] >> 1) + 1
-        right1, right2 = p1 == ids, p2 == ids
-        self.sure1[self.at1] = np.where(right1, np.minimum(self.c1 + 1, 3), 0)
-        self.sure2[self.at2] = np.where(right2, np.minimum(self.c2 + 1, 3), 0)
-        self.next1[self.at1] = ids
-        self.next2[self.at2] = ids
-        if len(missed):
-            of = ids[missed]
-            self.bytes[0].reshape(-1)[missed * 256 + (of >> 8)] += 24
-            self.bytes[1].reshape(-1)[missed * 256 + (of & 255)] += 24
+        self.n = n
+        for name in ("base1", "base2", "base16", "base_groups", "base_starts", "a", "b"):
+            setattr(self, name, getattr(self, name)[:n])
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order 2's and order 1's id, and where the outcomes "order 1" and "neither" begin."""
+        h = self.a * 40503
+        self.at1 = self.base1 + ((h >> 6) & (SLOTS1 - 1))
+        self.at2 = self.base2 + (((h + self.b * 30011) >> 5) & (SLOTS2 - 1))
+        v1, v2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.c1, self.c2 = v1 >> 16, v2 >> 16
+        self.context = self.base16 + ((self.c1 << 2) + self.c2)
+        return v2 & 0xFFFF, v1 & 0xFFFF, self.one.take(self.context), self.two.take(self.context)
+
+    def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, missed: np.ndarray) -> None:
+        outcome = np.where(right2, 0, 1 + missed)
+        at = self.context * 3 + outcome
+        seen = self.seen.reshape(-1)
+        seen[at] = seen.take(at) + 4
+        ids32 = ids.astype(np.int32)
+        self.table1[self.at1] = ids32 + ((np.minimum(self.c1 + 1, 3) * right1) << 16)
+        self.table2[self.at2] = ids32 + ((np.minimum(self.c2 + 1, 3) * right2) << 16)
+        at = self.base_groups + (ids >> LOW_BITS)
+        self.groups[at] = self.groups.take(at) + 12 * missed
         self.b = self.a
-        self.a = ids.astype(np.int64)
+        self.a = ids
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -145,50 +144,60 @@ def _active(lengths: np.ndarray, steps: int) -> np.ndarray:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     n, steps = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((steps, n), np.uint16)
+    ids = np.zeros((steps, n), np.int64)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
     model = Model(n)
     low, size = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
     words: list[tuple[np.ndarray, np.ndarray]] = []
-    shift, sixteen, thirty_two = np.uint64(BITS), np.uint64(16), np.uint64(32)
-
-    def put(at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
-        part = size[at] >> shift
-        lo = low[at] + part * start.astype(np.uint64)
-        sz = part * freq.astype(np.uint64)
-        small = np.flatnonzero(sz < TOP)
-        if len(small):
-            words.append((small if isinstance(at, slice) else at[small], (lo[small] >> thirty_two).astype(np.uint32)))
-            lo[small] = (lo[small] & LOW_MASK) << sixteen
-            sz[small] <<= sixteen
-        low[at], size[at] = lo, sz
-
+    all_missed = np.zeros((steps, n), bool)
+    ended: list[np.ndarray] = []
     active = _active(lengths, steps)
     for t in range(steps):
-        if (m := int(active[t])) < model.n:
+        m = int(active[t])
+        if m < model.n:
             model.shrink(m)
-        if t % REBUILD == 0 and t:
-            model.rebuild()
+            ended.append(low[m:])
+            low, size = low[:m], size[:m]
+        if t % REFRESH == 0 and t:
+            model.refresh()
         own = ids[t, :m]
-        p2, p1 = model.predict()
-        outcome = np.where(p2 == own, 0, np.where(p1 == own, 1, 2))
-        one, two = model.outcomes()
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, one, two))
-        end = np.where(outcome == 0, one, np.where(outcome == 1, two, 1 << BITS))
-        put(slice(0, m), start, end - start)
-        missed = np.flatnonzero(outcome == 2)
-        if len(missed):
-            of = own[missed].astype(np.int64)
-            for starts, byte in zip(model.starts, (of >> 8, of & 255), strict=True):
-                where = missed * 257 + byte
-                begin = starts[where]
-                put(missed, begin, starts[where + 1] - begin)
-        model.update(own, outcome, p2, p1, missed)
-    for k in range(3):  # the last 48 bits
-        words.append((np.arange(n), (low >> thirty_two).astype(np.uint32)))
-        low[:] = (low & LOW_MASK) << sixteen
-    return _carried(words, n)
+        p2, p1, one, two = model.predict()
+        right2, right1 = p2 == own, p1 == own
+        hit = right2 | right1
+        missed = ~hit
+        all_missed[t, :m] = missed
+        at = model.base_starts + (own >> LOW_BITS)
+        room = (1 << BITS) - two
+        start = np.where(right2, 0, np.where(right1, one, two + (room * model.starts.take(at) >> GROUP_BITS)))
+        end = np.where(right2, one, np.where(right1, two, two + (room * model.starts.take(at + 1) >> GROUP_BITS)))
+        part = size >> SHIFT
+        low = low + part * start.view(np.uint64)
+        size = part * (end - start).view(np.uint64)
+        small = np.flatnonzero(size < TOP)
+        if len(small):
+            of = low.take(small)
+            words.append((small, (of >> THIRTY_TWO).astype(np.uint32)))
+            low[small] = (of & LOW_MASK) << SIXTEEN
+            size[small] = size.take(small) << SIXTEEN
+        model.update(own, right2, right1, missed)
+    low = np.concatenate([low, *reversed(ended)])
+    for _ in range(3):  # the last 48 bits
+        words.append((np.arange(n), (low >> THIRTY_TWO).astype(np.uint32)))
+        low = (low & LOW_MASK) << SIXTEEN
+    coded = _carried(words, n)
+    return [struct.pack("<I", len(c)) + c + _low_bits(ids[:, i][all_missed[:, i]]) for i, c in enumerate(coded)]
+
+
+def _low_bits(ids: np.ndarray) -> bytes:
+    bits = (ids[:, None] >> np.arange(LOW_BITS)[::-1]) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _from_low_bits(raw: bytes) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8))
+    bits = bits[: len(bits) // LOW_BITS * LOW_BITS].reshape(-1, LOW_BITS)
+    return bits @ (1 << np.arange(LOW_BITS)[::-1])
 
 
 def _carried(words: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[bytes]:
@@ -221,56 +230,55 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     n, steps = len(payloads), int(lengths.max(initial=0))
     ids = np.zeros((steps, n), np.uint16)
     model = Model(n)
-    sizes = np.array([len(p) // 2 for p in payloads])
-    words = np.concatenate([np.frombuffer(b"".join(payloads), ">u2").astype(np.uint64), np.zeros(8, np.uint64)])
+    coded, raw = [], []
+    for payload in payloads:
+        (k,) = struct.unpack_from("<I", payload)
+        coded.append(payload[4 : 4 + k])
+        raw.append(_from_low_bits(payload[4 + k :]))
+    sizes = np.array([len(c) // 2 for c in coded])
+    words = np.concatenate([np.frombuffer(b"".join(coded), ">u2").astype(np.uint64), np.zeros(8, np.uint64)])
     place = np.cumsum(sizes) - sizes
-    shift, sixteen, thirty_two = np.uint64(BITS), np.uint64(16), np.uint64(32)
-    code = (words[place] << thirty_two) | (words[place + 1] << sixteen) | words[place + 2]
+    raw_sizes = np.array([len(r) for r in raw])
+    raw_place = np.cumsum(raw_sizes) - raw_sizes
+    raw_bits = np.concatenate([*raw, np.zeros(8, np.int64)])
+    code = (words[place] << THIRTY_TWO) | (words[place + 1] << SIXTEEN) | words[place + 2]
     place = place + 3
     size = np.full(n, (1 << 48) - 1, np.uint64)
-    last = len(words) - 1
-
-    def take(at: np.ndarray | slice, part: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        left = code[at] - part * start.astype(np.uint64)
-        sz = part * freq.astype(np.uint64)
-        small = np.flatnonzero(sz < TOP)
-        if len(small):
-            who = small if isinstance(at, slice) else at[small]
-            left[small] = (left[small] << sixteen) | words[np.minimum(place[who], last)]
-            place[who] += 1
-            sz[small] <<= sixteen
-        code[at], size[at] = left, sz
-
+    last, raw_last = len(words) - 1, len(raw_bits) - 1
     active = _active(lengths, steps)
     for t in range(steps):
         if (m := int(active[t])) < model.n:
             model.shrink(m)
-        if t % REBUILD == 0 and t:
-            model.rebuild()
-        p2, p1 = model.predict()
-        one, two = model.outcomes()
-        part = size[:m] >> shift
-        slot = np.minimum(code[:m] // part, np.uint64((1 << BITS) - 1)).astype(np.int64)
-        outcome = (slot >= one).astype(np.int64) + (slot >= two)
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, one, two))
-        end = np.where(outcome == 0, one, np.where(outcome == 1, two, 1 << BITS))
-        take(slice(0, m), part, start, end - start)
-        own = np.where(outcome == 0, p2, p1)
-        missed = np.flatnonzero(outcome == 2)
-        if len(missed):
-            value = np.zeros(len(missed), np.int64)
-            for starts in model.starts:
-                part = size[missed] >> shift
-                slot = np.minimum(code[missed] // part, np.uint64((1 << BITS) - 1)).astype(np.int64)
-                where = missed * 257
-                for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-                    where = np.where(starts[where + jump] <= slot, where + jump, where)
-                begin = starts[where]
-                take(missed, part, begin, starts[where + 1] - begin)
-                value = (value << 8) | (where - missed * 257)
-            own[missed] = value
+            code, size, place, raw_place = code[:m], size[:m], place[:m], raw_place[:m]
+        if t % REFRESH == 0 and t:
+            model.refresh()
+        p2, p1, one, two = model.predict()
+        part = size >> SHIFT
+        slot = np.minimum(code // part, np.uint64((1 << BITS) - 1)).view(np.int64)
+        right2 = slot < one
+        missed = slot >= two
+        room = (1 << BITS) - two
+        # The last group that begins at the slot or before it.
+        point = np.maximum((((slot - two + 1) << GROUP_BITS) - 1) // room, 0)
+        at = model.base_starts
+        for jump in (32, 16, 8, 4, 2, 1):
+            further = at + jump
+            at = np.where(model.starts.take(further) <= point, further, at)
+        group = at - model.base_starts
+        start = np.where(right2, 0, np.where(missed, two + (room * model.starts.take(at) >> GROUP_BITS), one))
+        end = np.where(right2, one, np.where(missed, two + (room * model.starts.take(at + 1) >> GROUP_BITS), two))
+        own = np.where(right2, p2, np.where(missed, (group << LOW_BITS) + raw_bits.take(np.minimum(raw_place, raw_last)), p1))
+        raw_place = raw_place + missed
+        code = code - part * start.view(np.uint64)
+        size = part * (end - start).view(np.uint64)
+        small = np.flatnonzero(size < TOP)
+        if len(small):
+            where = place.take(small)
+            code[small] = (code.take(small) << SIXTEEN) | words.take(np.minimum(where, last))
+            place[small] = where + 1
+            size[small] = size.take(small) << SIXTEEN
         ids[t, :m] = own
-        model.update(own, outcome, p2, p1, missed)
+        model.update(own, right2, p1 == own, missed)
     return [np.ascontiguousarray(ids[:length, i]) for i, length in enumerate(counts)]
 
 
@@ -324,7 +332,7 @@ def read_files(files: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
 
 
 #: Files that are coded or decoded together in a task: their blocks are the lanes.
-TOGETHER = 8
+TOGETHER = 16
 
 
 def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2, docs_per_part: int = 8192) -> DataFrame:
@@ -340,10 +348,8 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2,
     cuts = sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 1 / (8 * n_parts)))) if n_parts > 1 else []
     limits = spark.sparkContext.broadcast(np.array(cuts))
 
-    @F.pandas_udf("int")
-    def part_of(ids):
-        import pandas as pd
-
+    @F.pandas_udf(T.IntegerType())
+    def part_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(limits.value, ids.to_numpy(), "left").astype(np.int32))
 
     dealt = rows.withColumn("part", part_of("doc_id")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")
