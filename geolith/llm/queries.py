@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": "language_id",
     "op7_exact_dedup": "exact_dedup",
     "op8_line_dedup": "line_dedup",
+    "op9_html_text": "html_text",
     "op10_packing": "packing",
 }
 
