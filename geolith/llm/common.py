@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def save(df: DataFrame, tag: str, partition_by: str | None = None, **options: object) -> tuple[DataFrame, str]:
+def save(df: DataFrame, tag: str, **options: object) -> tuple[DataFrame, str]:
     """Writes df as Parquet to the shared folder and returns the table read back, and its path.
 
     This cuts the lineage: an executor that is lost later costs no recomputation of what lies before.
@@ -47,8 +47,6 @@ def save(df: DataFrame, tag: str, partition_by: str | None = None, **options: ob
     writer = df.write.option("compression", "zstd")
     for key, value in options.items():
         writer = writer.option(key, value)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -53,7 +53,7 @@ class DigestIndex:
 
     def _flush(self, entries: DataFrame, level: int) -> None:
         run = self._merged(entries).sortWithinPartitions("digest")
-        self.levels[level].append(save(run, f"run{level}", **{"parquet.bloom.filter.enabled#digest": "true"}))
+        self.levels[level].append(save(run, f"run{level}", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}))
 
     def add(self, memtable: DataFrame) -> None:
         """Flushes a memtable (digest, n_points, doc_id) and compacts the levels that are full."""
@@ -101,7 +101,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
         sha256(norm).alias("text_sha256"),
         F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("memtable"),
     )
-    staged, _ = save(rows, "digests", partition_by="memtable")
+    staged, _ = save(rows, "digests")
     index = DigestIndex(spark, fanout)
     for i in range(memtables):
         index.add(staged.where(F.col("memtable") == i))
@@ -111,7 +111,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
     # Byte verification: hits against the texts of the winners of their digests.
     bits = bit_filter(groups, F.xxhash64("digest"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hits = may_contain(texts, F.xxhash64("digest"), bits)
+    hits, hits_path = save(may_contain(texts, F.xxhash64("digest"), bits), "hits")
     winner = groups.join(hits, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
     winner = winner.groupBy("digest").agg(F.min("norm").alias("keep_norm"))
     winner, winner_path = save(winner, "winners")
@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
         out = out.join(differ, "digest", "left_anti").drop("digest", "n_points").unionByName(_by_bytes(hits.join(differ, "digest", "left_semi")))
     else:
         out = out.drop("digest", "n_points")
-        remove(spark, differ_path)
+        remove(spark, differ_path, hits_path)
     remove(spark, winner_path)
     return out.select(*COLUMNS)
 
