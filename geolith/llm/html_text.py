@@ -247,11 +247,12 @@ def templates(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame
 
 
 def extract_text(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame:
-    """All columns of pages but html, and text."""
+    """All columns of pages but html, and text, which replaces a column of that name."""
+    pages = pages.drop("__host", "__template")
     found, _ = save(templates(pages, share, least), "templates")
     keep = [c for c in pages.columns if c not in ("html", "text")]
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], "html", _host_of("url").alias("__host"))
-    rows = rows.join(found.withColumnRenamed("host", "__host"), "__host", "left").select(*[F.col(f"`{c}`") for c in keep], "html", "template")
+    rows = rows.join(found.toDF("__host", "__template"), "__host", "left").select(*[F.col(f"`{c}`") for c in keep], "html", "__template")
     schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text")).schema
     return rows.mapInArrow(_texts([*keep, "html"]), schema)
 

@@ -109,9 +109,11 @@ def _rebuild(min_points: int, names: list[str]):
 def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """All columns of docs, text without its repeated lines, and __n_lines and __n_dropped.
 
-    batches: ranges of doc_id that are taken in one after the other.
+    batches: ranges of doc_id that are taken in one after the other.  Columns of docs whose names begin with
+    two underscores and clash with those are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("__n_lines", "__n_dropped", "__id", "__gone")
     names = docs.columns
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     cuts = [int(x) for x in docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)]

@@ -59,10 +59,11 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """All columns of docs, and __<statistic> for each of STATISTICS."""
+    """All columns of docs, and __<statistic> for each of STATISTICS, which replace columns of those names."""
+    new = [f"__{s}" for s in STATISTICS]
+    docs = docs.drop(*new)
     names = docs.columns
     at = names.index("text")
-    new = [f"__{s}" for s in STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> tuple[floa
 
 
 def score(docs: DataFrame, model: tuple[float, list[tuple[float, Rule]]]) -> DataFrame:
-    """All columns of docs, and __score."""
+    """All columns of docs, and __score, which replaces a column of that name; columns named like statistics are dropped."""
+    docs = docs.drop("__score", *[f"__{s}" for s in STATISTICS])
     return with_statistics(docs).select(*[F.col(f"`{c}`") for c in docs.columns], compiled(*model).alias("__score"))
 
 

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_quality": "quality",
     "op2_bpe": "bpe",
     "op3_jaccard_join": "jaccard_join",
+    "op4_kdtree_search": "kdtree_search",
     "op5_token_file": "tokenfile",
     "op6_language_id": "language_id",
     "op7_exact_dedup": "exact_dedup",
