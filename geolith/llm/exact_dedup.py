@@ -112,7 +112,10 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
     bits = bit_filter(groups, F.xxhash64("digest"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     hits, hits_path = save(may_contain(texts, F.xxhash64("digest"), bits), "hits")
-    winner = groups.join(hits, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
+    # The winner's identifier is part of the key, so that the copies of a large group don't meet in one task.
+    named = groups.select("digest", F.col("keep_id").alias("doc_id"), F.col("keep_points").alias("n_points"))
+    same = F.expr("h.digest = g.digest AND h.doc_id <=> g.doc_id AND h.n_points = g.n_points")
+    winner = hits.alias("h").join(named.alias("g"), same).select("h.digest", "h.norm")
     winner = winner.groupBy("digest").agg(F.min("norm").alias("keep_norm"))
     winner, winner_path = save(winner, "winners")
     differ = hits.join(winner, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()

@@ -1,8 +1,8 @@
 """Token ids of whole texts from a vocabulary file of the tokenizers library.
 
 The library does the encoding.  Texts of plain characters are cut at white space first, which the
-file's pre-tokenizer never joins across, and each distinct chunk is encoded once by a worker: the
-chunks that it doesn't remember go to the library together, between sentinels.  Any other text, and
+file's pre-tokenizer never joins across, and each distinct word is encoded once by a worker: the
+words that it doesn't remember go to the library together.  Any other text, and
 any vocabulary that doesn't work this way, goes to the library whole.
 """
 
@@ -11,15 +11,16 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers at most.
-REMEMBERED = 600_000
-#: Chunks of at most this length are remembered.
+#: Chunks, and words of chunks, that a worker remembers at most.
+REMEMBERED = 300_000
+#: Longer chunks are not remembered.
 LONGEST = 48
-#: A control character that plain texts don't hold; it stands between chunks.
-SENTINEL = "\x01"
+#: Marks that may follow a word within a chunk.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The bytes of plain texts in UTF-8: printable ASCII, white space and the letters below U+0240.
+PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC2, 0xC9)])
 
 
 class WordTokens:
@@ -30,58 +31,78 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(vocabulary)
-        added = [t["content"] for t in spec["added_tokens"]]
-        # Letters below U+0250 are in NFC, and lower-casing them needs no context; U+0130 alone becomes two characters.
-        self.odd = regex.compile("|".join([r"[^\x09-\x0d\x20-ɏ]|İ", *map(regex.escape, added)])).search
+        # Letters below U+0240 are in NFC, and lower-casing them needs no context; U+0130 alone becomes two characters.
+        self.special = ["\u0130", *(t["content"] for t in spec["added_tokens"])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        ids = spec["model"]["vocab"]
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.sentinel = self._ids(SENTINEL)
-        self.chunked = self._cuts_at_white_space(spec)
+        self.words: dict[str, bytes] = {}
+        self.chunked = bool(suffix) and self._cuts_at_white_space(spec)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _cuts_at_white_space(self, spec: dict) -> bool:
-        """White space must be dropped, and chunks be independent of what stands around them."""
-        if len(self.sentinel) != 1 or spec.get("post_processor"):
+        """White space must be dropped, and words, marks and chunks be independent of what stands around them."""
+        if spec.get("post_processor"):
             return False
-        probe = ["it's", "(x)", "Ab1.", "...", "é!", "x"]
-        return self._ids("\n ".join(probe)) == [i for chunk in probe for i in self._ids(chunk)] and self._ids("A B") == self._ids("a\tb")
-
-    def _learn(self, chunks: list[str]) -> None:
-        ids = np.array(self._ids(f" {SENTINEL} ".join(chunks)), "<u4")
-        at = np.flatnonzero(ids == self.sentinel[0])
-        if len(at) != len(chunks) - 1:  # a chunk holds the sentinel's id: one by one
-            self.known.update((c, np.array(self._ids(c), "<u4").tobytes()) for c in chunks)
+        probe = ["it's", "(x)", "Ab1.", "...", "\u00e9!", "x"]
+        same = lambda whole, parts: self._ids(whole).tolist() == [i for part in parts for i in self._ids(part).tolist()]
+        return same("\n ".join(probe), probe) and same("A B", ["a\tb"]) and same("one,\" two", ["one", ",\"", "two"])
+
+    def is_plain(self, text: str) -> bool:
+        return not text.encode("utf-8", "replace").translate(None, PLAIN) and not any(t in text for t in self.special)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Letters only: each word's last token alone has the suffix of a word's end."""
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            self.words.update((w, self._ids(w).tobytes()) for w in words)
             return
-        for chunk, start, end in zip(chunks, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
-            self.known[chunk] = ids[start:end].tobytes()
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.words[word] = raw[start:end]
+            start = end
+
+    def _learn(self, chunks: set[str]) -> None:
+        """A chunk is a word and marks after it, or else it goes to the library as it is."""
+        split = []
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            if word.isalpha():
+                split.append((chunk, word, chunk[len(word) :]))
+            else:
+                self.known[chunk] = self._ids(chunk).tobytes()
+        new = {w for _, w, _ in split}.difference(self.words)
+        if new:
+            self._learn_words(list(new))
+        for marks in {m for _, _, m in split}.difference(self.words):
+            self.words[marks] = self._ids(marks).tobytes()
+        words = self.words
+        self.known.update([(chunk, words[word] + words[marks]) for chunk, word, marks in split])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers; none for null."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not text:
+            return b""
+        if not self.chunked or not self.is_plain(text):
+            return self._ids(text).tobytes()
         known = self.known
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if not self.chunked or self.odd(text):
-                out.append(np.array(self._ids(text), "<u4").tobytes())
-                continue
-            chunks = text.lower().split()
-            try:
-                out.append(b"".join([known[c] for c in chunks]))
-                continue
-            except KeyError:
-                pass
-            if len(known) > REMEMBERED:
+        chunks = text.lower().split()
+        if new := set(chunks).difference(known):
+            if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
                 known.clear()
-            self._learn([c for c in dict.fromkeys(chunks) if c not in known])
-            out.append(b"".join([known[c] for c in chunks]))
-            for c in {c for c in chunks if len(c) > LONGEST}:
-                known.pop(c, None)
+                self.words.clear()
+                new = set(chunks)
+            self._learn(new)
+        out = b"".join([known[c] for c in chunks])
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del known[chunk]
+                self.words.pop(chunk.rstrip(MARKS), None)
         return out
 
 
