@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,11 @@ from geolith.llm.common import table
 #: The pre-tokenizer's pattern of the public vocabulary file's ByteLevel step.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: The same for texts of simple characters only, on which the two agree: those below U+0250 without
+#: numbers that are no digits and without the separators U+001C to U+001F.
+SIMPLE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+NOT_SIMPLE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
+
 #: Fragments that a worker remembers at most.
 REMEMBERED = 400_000
 
@@ -56,12 +63,23 @@ class ForcedBoundaryBPE:
         for i, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.rank.setdefault((as_bytes(left), as_bytes(right)), i)
-        inside = np.zeros((256, 256), bool)
+        inside = bytearray(1 << 16)
         for token in self.ids:
-            codes = np.frombuffer(token, np.uint8)
-            inside[codes[:-1], codes[1:]] = True
-        self.inside = inside
+            for a, b in zip(token, token[1:], strict=False):
+                inside[a << 8 | b] = 1
+        self.inside = bytes(inside)
+        self.byte_ids = [self.ids.get(bytes([b]), -1) for b in range(256)]
+        #: By the pair of ids: the merge's rank, and the id that it makes.
+        self.ranks: dict[int, int] = {}
+        self.merged: dict[int, int] = {}
+        for (left, right), i in self.rank.items():
+            if left in self.ids and right in self.ids and left + right in self.ids:
+                pair = self.ids[left] << 32 | self.ids[right]
+                self.ranks[pair] = i
+                self.merged[pair] = self.ids[left + right]
         self.pieces = regex.compile(PIECES).findall
+        self.simple_pieces = re.compile(SIMPLE_PIECES).findall
+        self.not_simple = re.compile(NOT_SIMPLE).search
         self.added = added
         self.at_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.known: dict[str, bytes] = {}
@@ -69,33 +87,26 @@ class ForcedBoundaryBPE:
 
     def cuts(self, piece: bytes) -> list[int]:
         """Positions before which a cut is certain."""
-        if len(piece) < 2:
-            return []
-        codes = np.frombuffer(piece, np.uint8)
-        return (np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1).tolist()
+        inside = self.inside
+        return [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if not inside[pair[0] << 8 | pair[1]]]
 
     def _merge(self, fragment: bytes) -> list[int]:
         """Lowest rank first, leftmost first, until nothing merges."""
-        whole = self.ids.get(fragment)
-        if len(fragment) == 1:
-            return [whole]
         if len(fragment) > 64:
             return self._merge_long(fragment)
-        rank = self.rank.get
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        ranks = [rank(pair, 1 << 30) for pair in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == 1 << 30:
-                break
+        rank, merged, never = self.ranks.get, self.merged, 1 << 30
+        at = self.byte_ids
+        parts = [at[b] for b in fragment]
+        ranks = [rank(a << 32 | b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != never:
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            new = parts[i] = merged[parts[i] << 32 | parts[i + 1]]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), 1 << 30)
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, never)
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), 1 << 30)
-        return [self.ids[p] for p in parts]
+                ranks[i] = rank(new << 32 | parts[i + 1], never)
+        return parts
 
     def _merge_long(self, fragment: bytes) -> list[int]:
         """The same with a heap and links, n log n for very long fragments."""
@@ -124,22 +135,23 @@ class ForcedBoundaryBPE:
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
+        fragments = self.fragments
         ids: list[int] = []
         start = 0
         for cut in [*self.cuts(raw), len(raw)]:
             fragment = raw[start:cut]
-            got = self.fragments.get(fragment)
+            got = fragments.get(fragment)
             if got is None:
                 got = self._merge(fragment)
                 if len(fragment) <= 64:
-                    self.fragments[fragment] = got
+                    fragments[fragment] = got
             ids += got
             start = cut
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def _plain(self, text: str) -> list[bytes]:
         known = self.known
-        pieces = self.pieces(text)
+        pieces = self.pieces(text) if self.not_simple(text) else self.simple_pieces(text)
         try:
             return [known[p] for p in pieces]
         except KeyError:
