@@ -117,8 +117,8 @@ def hit_test(points: DataFrame, features: DataFrame, point_key: str, key: str, i
     return (found if inside is None else found.where(inside)).select(point_key, key)
 
 
-def density_grid(features: DataFrame, extent: DataFrame, n: int = 8, group: list[str] | None = None) -> DataFrame:
-    """Counts of centres in n by n cells of the extent (one row with the bounds lo_x, lo_y, hi_x, hi_y)."""
+def with_cells(features: DataFrame, extent: DataFrame, n: int = 8) -> DataFrame:
+    """Adds ix and iy: the cell of each centre, of n by n in the extent (one row with lo_x, lo_y, hi_x, hi_y)."""
     j = _with_extent(features, extent)
 
     def place(low: str, high: str, lo: str, hi: str) -> Column:
@@ -126,7 +126,12 @@ def density_grid(features: DataFrame, extent: DataFrame, n: int = 8, group: list
         return F.least(F.greatest((F.coalesce(share, F.lit(0.0)) * n).cast("long"), F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
 
     cells = j.withColumns({"ix": place("min_x", "max_x", "lo_x", "hi_x"), "iy": place("min_y", "max_y", "lo_y", "hi_y")})
-    return cells.groupBy(*(group or []), "ix", "iy").agg(F.count("*").alias("n"))
+    return cells.drop("lo_x", "lo_y", "hi_x", "hi_y")
+
+
+def density_grid(features: DataFrame, extent: DataFrame, n: int = 8, group: list[str] | None = None) -> DataFrame:
+    """Counts of centres in n by n cells of the extent."""
+    return with_cells(features, extent, n).groupBy(*(group or []), "ix", "iy").agg(F.count("*").alias("n"))
 
 
 def extent(features: DataFrame) -> DataFrame:
