@@ -37,6 +37,9 @@ from geolith.llm.components import components
 
 HISTOGRAM = 64
 TILE = 256
+#: A class carries its smallest digests of blocks into the tiles, so many at most: a pair that shares one of them
+#: is looked at there alone.
+FIRSTS = 64
 #: Column blocks in which overlaps are accumulated.
 STEPS = 8
 
@@ -207,18 +210,26 @@ def _linked(percent: int):
 
 
 def _tile_pairs(percent: int):
-    """Pairs of a tile across components; rows: key, i, j, c, label, n, histogram, chunk."""
+    """Pairs of a tile across components; rows: key, i, j, c, label, n, histogram, firsts, chunk.
+
+    A pair that shares a smaller digest among the first ones of both is left to that block's tile, so that it
+    comes once and not for every block that it shares.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         chunk, c, label, size = (tile.column(k).to_numpy() for k in ("chunk", "c", "label", "n"))
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
         h = np.frombuffer(b"".join(tile.column("histogram").to_pylist()), "<u4").reshape(-1, HISTOGRAM)
+        key = tile.column("key")[0].as_py()
+        smaller = [frozenset(k for k in firsts if k < key) for firsts in tile.column("firsts").to_pylist()]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         xs, ys = [], []
         for row in left.tolist():
             others = right[(label[right] != label[row]) & ((c[right] > c[row]) if i == j else True)]
             least = wanted(size[others], size[row], percent)
             others = others[np.minimum(h[others], h[row]).sum(1) >= least]
+            own = smaller[row]
+            others = others[[own.isdisjoint(smaller[y]) for y in others.tolist()]] if own else others
             xs.append(np.full(len(others), c[row]))
             ys.append(c[others])
         x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
@@ -246,7 +257,7 @@ class _Join:
         rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, histogram binary"), "incidence")
         rows = rows.withColumn("c", F.xxhash64("digest"))
         some = rows.where("n > 0")
-        self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram")), "classes")
+        self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")
         blocks = some.select("c", F.explode("blocks").alias("key"))
         shared = blocks.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "lo")
         shared = self.save(shared, "shared")
@@ -291,9 +302,9 @@ class _Join:
         mixed = known.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m")).where("l1 <> l2")
         mixed = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
         chunked = known.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
-        chunked = chunked.join(self.classes.select("c", "n", "histogram"), "c")
+        chunked = chunked.join(self.classes.select("c", "n", "histogram", "firsts"), "c")
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        tiles = chunked.withColumn("o", other).select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "c", "label", "n", "histogram", "chunk")
+        tiles = chunked.withColumn("o", other).select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "c", "label", "n", "histogram", "firsts", "chunk")
         return tiles.groupBy("key", "i", "j").applyInArrow(_tile_pairs(self.percent), "x long, y long").distinct()
 
 
