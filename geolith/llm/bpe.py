@@ -37,7 +37,7 @@ NOT_SIMPLE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
 REMEMBERED = 400_000
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The bytes that stand behind the printable characters of a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -49,7 +49,7 @@ class ForcedBoundaryBPE:
 
     def __init__(self, vocabulary: str):
         spec = json.loads(vocabulary)
-        chars = _byte_of_char()
+        chars = byte_of_char()
         as_bytes = lambda token: bytes(chars[c] for c in token)
         self.ids = {as_bytes(token): i for token, i in spec["model"]["vocab"].items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}

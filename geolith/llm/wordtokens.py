@@ -13,8 +13,10 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
+from geolith.llm.bpe import byte_of_char
+
 #: Chunks, and words of chunks, that a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longer chunks are not remembered.
 LONGEST = 48
 #: Marks that may follow a word within a chunk.
@@ -22,6 +24,9 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The bytes of plain texts in UTF-8: printable ASCII, white space and the letters below U+0240.
 PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC2, 0xC9)])
 
+#: Bytes as the characters that stand for them in a byte-level vocabulary; a space stays, as it parts words.
+BYTE_CHARS = {b: c for c, b in byte_of_char().items()} | {32: " "}
+
 
 class WordTokens:
     """Encoder for a vocabulary given as the JSON text of its file; truncation and padding are off."""
@@ -39,16 +44,38 @@ class WordTokens:
         self.ends[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.plain_words = self._without_steps(spec)
         self.chunked = bool(suffix) and self._cuts_at_white_space(spec)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _without_steps(self, spec: dict) -> Tokenizer | None:
+        """The same model for words that are in lower case and cut already, in the vocabulary's own characters.
+
+        Only for files whose last step is the byte-level one; their words need no normalizer or pattern.
+        """
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if not steps or steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space"):
+            return None
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+
+    def _ids_of_words(self, words: list[str]) -> np.ndarray:
+        if self.plain_words is None:
+            return self._ids(" ".join(words))
+        text = " ".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+        return np.array(self.plain_words.encode(text, add_special_tokens=False).ids, "<u4")
+
     def _cuts_at_white_space(self, spec: dict) -> bool:
         """White space must be dropped, and words, marks and chunks be independent of what stands around them."""
         if spec.get("post_processor"):
             return False
         probe = ["it's", "(x)", "Ab1.", "...", "\u00e9!", "x"]
+        word_list = ["its", "na\u00efve", "x", "\u00e9"]
+        if self._ids_of_words(word_list).tolist() != self._ids(" ".join(word_list)).tolist():
+            return False
         same = lambda whole, parts: self._ids(whole).tolist() == [i for part in parts for i in self._ids(part).tolist()]
         return same("\n ".join(probe), probe) and same("A B", ["a\tb"]) and same("one,\" two", ["one", ",\"", "two"])
 
@@ -57,7 +84,7 @@ class WordTokens:
 
     def _learn_words(self, words: list[str]) -> None:
         """Letters only: each word's last token alone has the suffix of a word's end."""
-        ids = self._ids(" ".join(words))
+        ids = self._ids_of_words(words)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             self.words.update((w, self._ids(w).tobytes()) for w in words)
@@ -92,12 +119,15 @@ class WordTokens:
             return self._ids(text).tobytes()
         known = self.known
         chunks = text.lower().split()
-        if new := set(chunks).difference(known):
-            if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
-                known.clear()
-                self.words.clear()
-                new = set(chunks)
-            self._learn(new)
+        found = list(map(known.get, chunks))
+        if None not in found:
+            return b"".join(found)
+        new = {c for c, ids in zip(chunks, found, strict=True) if ids is None}
+        if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
+            known.clear()
+            self.words.clear()
+            new = set(chunks)
+        self._learn(new)
         out = b"".join([known[c] for c in chunks])
         for chunk in new:
             if len(chunk) > LONGEST:
