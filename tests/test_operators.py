@@ -86,7 +86,7 @@ def test_codecs():
         assert geometry.from_wkb(geometry.to_wkb(kind, parts)) == (kind, parts)
         assert geometry.from_gpkg(geometry.to_gpkg(kind, parts)) == (kind, parts)
     blob = geometry.to_gpkg("Polygon", [[RING]])
-    for bad in (blob[:-1], blob + b"\0", b"XX" + blob[2:], blob[:8] + b"\0" * 8 + blob[16:]):
+    for bad in (blob[:-1], blob + b"\0", b"XX" + blob[2:], blob[:8] + b"\1" * 8 + blob[16:]):
         with pytest.raises(ValueError):
             geometry.from_gpkg(bad)
 
