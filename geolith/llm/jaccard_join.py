@@ -6,16 +6,19 @@ sets of sizes a <= b reach ``percent``, then a >= percent/100 * b, and they diff
 (100 - percent) / (100 + percent) n-grams at most.
 
 - Documents with equal sets are one class from the start.
-- A class's columns are cut into k + 2 blocks, so that two blocks at least are equal for any linked pair: only
-  classes that share the digest of a block can have an entry to compute.  Sizes are cut into classes such that
-  a pair lies in one or in two neighbouring ones; a class takes part in both.
-- Block totals over HISTOGRAM columns bound the overlap (the sum of the smaller totals); pairs below the
-  overlap that their sizes ask for are discarded without looking at the n-grams.
+- A class's columns are cut into k + k/5 + 2 blocks.  A linked pair differs in k of them at most, so only classes
+  that share the digest of a block can have an entry to compute.  Empty blocks have no digest: should a linked pair
+  share empty blocks only, then each has n-grams in k blocks at most, and such classes also bring the smallest
+  n-grams of their set, of which any linked pair shares one.  Sizes are cut into classes such that a pair lies in
+  one or in two neighbouring ones; a class takes part in both.
+- The parities of the totals of narrow blocks, about one for each n-gram, bound the difference of two sets from
+  below; pairs that differ in more than their sizes allow are discarded without looking at the n-grams.
 - What is left accumulates overlap counts block by block until the bound can't be reached any more.
 
-Only connectivity is wanted, so a block's digest first pairs all its classes with the smallest one.  Where its
-classes are then not all connected, the pairs across components are tested as well, in tiles of TILE by TILE, so
-that no link is lost and no group meets in one task.
+Only connectivity is wanted, so a block's digest first pairs all its classes with the smallest one, and a class
+meets the smallest of all those partners before the others, which are tested only if they are not connected to it by
+then.  Where a block's classes are still not all connected, the pairs across components are tested as well, in tiles
+of TILE by TILE, so that no link is lost and no group meets in one task.
 
 Null texts and texts without words have an empty set and link with nothing.  Rows without doc_id are left
 out: they have no name to be linked by.  Rows that repeat a doc_id are compared each.
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from geolith.llm.common import bit_filter, may_contain, remove, save, table
 from geolith.llm.components import components
 
-HISTOGRAM = 64
+#: Bits of a class's parities: a power of two from the first to the last, by the size of the set.
+PARITIES = (1 << 6, 1 << 18)
 TILE = 256
 #: A class carries its smallest digests of blocks into the tiles, so many at most: a pair that shares one of them
 #: is looked at there alone.
@@ -106,16 +110,18 @@ def blocks_of(ngrams: np.ndarray, percent: int) -> np.ndarray:
     own = int(np.searchsorted(limits, size, "right")) - 1
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(mix(ngrams ^ _K[2]), out=sums[1:])
-    out = []
+    out, short = [], False
     for group in (own, own + 1):
-        p = 2 * (limits[group + 1] - 1) * (100 - percent) // (100 + percent) + 2
+        k = 2 * (limits[group + 1] - 1) * (100 - percent) // (100 + percent)
+        p = k + k // 5 + 2
         borders = _borders(ngrams, p)
         held = np.diff(borders) > 0
-        if (~held).sum() > 1:  # two equal blocks at least, of which one is then not empty unless a set has two empty ones
-            held[:] = True
+        short |= int(held.sum()) <= k
         number = np.arange(p, dtype=np.uint64)
         digest = mix(sums[borders[1:]] - sums[borders[:-1]] + mix(number + np.uint64(group << 32) + np.uint64(1)))
         out.append(digest[held])
+    if short:
+        out.append(mix(ngrams[: size + percent * -size // 100 + 1] ^ _K[0]))
     return np.concatenate(out).view(np.int64)
 
 
@@ -125,9 +131,22 @@ def _borders(ngrams: np.ndarray, p: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(ngrams, limits), [len(ngrams)]])
 
 
-def histogram(ngrams: np.ndarray) -> bytes:
-    """How many n-grams fall in each of HISTOGRAM columns."""
-    return np.bincount((ngrams >> np.uint64(64 - 6)).astype(np.int64), minlength=HISTOGRAM).astype("<u4").tobytes()
+def parities(ngrams: np.ndarray) -> bytes:
+    """A bit for each of many narrow blocks: whether it holds an odd number of n-grams."""
+    bits = min(max(1 << (len(ngrams) - 1).bit_length(), PARITIES[0]), PARITIES[1])
+    odd = np.bincount((ngrams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(odd: bytes, width: int) -> np.ndarray:
+    """Parities of blocks that are joined until width bytes are left."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.uint64).reshape(-1, width // 8), 0)
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A number that the n-grams in one of two sets only can't be below, from their parities."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
 
 
 def wanted(a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -155,16 +174,16 @@ def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
 def _incidence(percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, blocks, histograms = batch.column(0), [], [], [], []
+            ids, sizes, digests, blocks, odd = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 ngrams = shingles(text, n)
                 sizes.append(len(ngrams))
                 digests.append(np.array([np.add.reduce(mix(ngrams + k), dtype=np.uint64) for k in _K[:2]]).tobytes() if len(ngrams) else None)
                 blocks.append(blocks_of(ngrams, percent) if len(ngrams) else np.zeros(0, np.int64))
-                histograms.append(histogram(ngrams) if len(ngrams) else None)
+                odd.append(parities(ngrams) if len(ngrams) else None)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype(np.int32)
             values = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(histograms, pa.binary())], ["doc_id", "n", "digest", "blocks", "histogram"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(odd, pa.binary())], ["doc_id", "n", "digest", "blocks", "parities"])
 
     return run
 
@@ -179,15 +198,14 @@ def _sets(n: int):
 
 
 def _bounded(percent: int):
-    """Of (x, y, nx, ny, hx, hy) the pairs whose block totals allow the overlap that their sizes ask for."""
+    """Of (x, y, nx, ny, px, py) the pairs whose parities allow the overlap that their sizes ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hx, hy = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HISTOGRAM) for i in (4, 5))
-            least = wanted(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            fits = pa.array(np.minimum(hx, hy).sum(1) >= least)
+            nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = nx + ny - 2 * wanted(nx, ny, percent)
+            fits = [differing(px, py) <= k for px, py, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
+            fits = pa.array(fits, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], ["x", "y"])
 
     return run
@@ -210,7 +228,7 @@ def _linked(percent: int):
 
 
 def _tile_pairs(percent: int):
-    """Pairs of a tile across components; rows: key, i, j, c, label, n, histogram, firsts, chunk.
+    """Pairs of a tile across components; rows: key, i, j, c, label, n, parities, firsts, chunk.
 
     A pair that shares a smaller digest among the first ones of both is left to that block's tile, so that it
     comes once and not for every block that it shares.
@@ -219,7 +237,9 @@ def _tile_pairs(percent: int):
     def run(tile: pa.Table) -> pa.Table:
         chunk, c, label, size = (tile.column(k).to_numpy() for k in ("chunk", "c", "label", "n"))
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-        h = np.frombuffer(b"".join(tile.column("histogram").to_pylist()), "<u4").reshape(-1, HISTOGRAM)
+        odd = tile.column("parities").to_pylist()
+        width = min(map(len, odd))
+        odd = np.stack([folded(x, width) for x in odd])
         key = tile.column("key")[0].as_py()
         smaller = [frozenset(k for k in firsts if k < key) for firsts in tile.column("firsts").to_pylist()]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
@@ -227,7 +247,9 @@ def _tile_pairs(percent: int):
         for row in left.tolist():
             others = right[(label[right] != label[row]) & ((c[right] > c[row]) if i == j else True)]
             least = wanted(size[others], size[row], percent)
-            others = others[np.minimum(h[others], h[row]).sum(1) >= least]
+            others = others[np.minimum(size[others], size[row]) >= least]
+            most = size[others] + size[row] - 2 * wanted(size[others], size[row], percent)
+            others = others[np.bitwise_count(odd[others] ^ odd[row]).sum(1) <= most]
             own = smaller[row]
             others = others[[own.isdisjoint(smaller[y]) for y in others.tolist()]] if own else others
             xs.append(np.full(len(others), c[row]))
@@ -254,22 +276,23 @@ class _Join:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row with a doc_id."""
-        rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, histogram binary"), "incidence")
+        rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
         rows = rows.withColumn("c", F.xxhash64("digest"))
         some = rows.where("n > 0")
-        self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")
+        self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")
         blocks = some.select("c", F.explode("blocks").alias("key"))
         shared = blocks.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "lo")
         shared = self.save(shared, "shared")
         members = may_contain(blocks, F.xxhash64("key"), bit_filter(shared, F.xxhash64("key"))).join(shared, "key").where("c <> lo")
         members = self.save(members.select("key", "lo", "c").distinct(), "members")
-        edges = self.verified(self.bounded(members.select(F.col("lo").alias("x"), F.col("c").alias("y")).distinct()))
-        labels, path = components(edges)
-        self.paths.append(path)
-        more = self.verified(self.across(members, labels))
-        if not more.isEmpty():
-            labels, path = components(edges.unionByName(more))
-            self.paths.append(path)
+        partners = self.save(self.bounded(members.select(F.col("lo").alias("x"), F.col("c").alias("y")).distinct()), "partners")
+        edges = self.verified(partners.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"))
+        labels = self.components(edges)
+        for step in (lambda: self.apart(partners, labels), lambda: self.across(members, labels)):
+            more = self.verified(step())
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                labels = self.components(edges)
         # The smallest doc_id of each component, for classes with copies or links.
         named = self.classes.join(labels, F.col("c") == F.col("v"), "left").where("copies > 1 OR label IS NOT NULL").select("digest", "rep", F.coalesce("label", "c").alias("label"), "copies")
         least = named.groupBy("label").agg(F.min("rep").alias("component"))
@@ -277,11 +300,21 @@ class _Join:
         remove(self.spark, *self.paths)
         return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
+    def components(self, edges: DataFrame) -> DataFrame:
+        labels, path = components(edges)
+        self.paths.append(path)
+        return labels
+
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs (x, y) that are not connected by labels."""
+        pairs = pairs.join(labels.toDF("x", "lx"), "x", "left").join(labels.toDF("y", "ly"), "y", "left")
+        return pairs.where("coalesce(lx, x) <> coalesce(ly, y)").select("x", "y")
+
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        size = self.classes.select("c", "n", "histogram")
-        pairs = pairs.join(size.toDF("x", "nx", "hx"), "x").join(size.toDF("y", "ny", "hy"), "y")
+        size = self.classes.select("c", "n", "parities")
+        pairs = pairs.join(size.toDF("x", "nx", "px"), "x").join(size.toDF("y", "ny", "py"), "y")
         pairs = pairs.where(f"100 * least(nx, ny) >= {self.percent} * greatest(nx, ny)")
-        return pairs.select("x", "y", "nx", "ny", "hx", "hy").mapInArrow(_bounded(self.percent), "x long, y long")
+        return pairs.select("x", "y", "nx", "ny", "px", "py").mapInArrow(_bounded(self.percent), "x long, y long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes that link, as edges (a, b)."""
@@ -302,9 +335,9 @@ class _Join:
         mixed = known.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m")).where("l1 <> l2")
         mixed = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
         chunked = known.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
-        chunked = chunked.join(self.classes.select("c", "n", "histogram", "firsts"), "c")
+        chunked = chunked.join(self.classes.select("c", "n", "parities", "firsts"), "c")
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        tiles = chunked.withColumn("o", other).select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "c", "label", "n", "histogram", "firsts", "chunk")
+        tiles = chunked.withColumn("o", other).select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "c", "label", "n", "parities", "firsts", "chunk")
         return tiles.groupBy("key", "i", "j").applyInArrow(_tile_pairs(self.percent), "x long, y long").distinct()
 
 

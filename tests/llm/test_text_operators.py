@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,23 @@ def test_similarity_join_chain_and_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 90, 3)
 
 
+def test_similarity_join_bounds_lose_no_pair():
+    """Sets at the threshold share a block, and their parities never tell them farther apart than they are."""
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 90):
+        for size in [*range(1, 40), 100, 1000]:
+            for _ in range(60):
+                b = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+                gone = int(rng.integers(0, size))
+                a = np.unique(np.concatenate([b[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.int64).astype(np.uint64)]))
+                b = np.unique(b)
+                both = len(np.intersect1d(a, b))
+                apart = len(a) + len(b) - 2 * both
+                assert jaccard_join.differing(jaccard_join.parities(a), jaccard_join.parities(b)) <= apart
+                if both and 100 * both >= percent * (both + apart):
+                    assert np.intersect1d(jaccard_join.blocks_of(a, percent), jaccard_join.blocks_of(b, percent)).size
+
+
 def test_similarity_join_of_odd_tables(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard_join.jaccard_components(frame(spark, ["a b c d", "a b c d", "a b c d"], [5, 5, None]))
