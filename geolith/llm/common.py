@@ -19,6 +19,21 @@ FILTER_WORDS_LOG2 = 16
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Rows of an Arrow batch at most where whole texts go through Python.
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold few rows.
+
+    Batches are counted in rows, and texts are long: each task holds a batch on its way to Python and one
+    on its way back, in the JVM and in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.

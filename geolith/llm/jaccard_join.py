@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import bit_filter, may_contain, remove, save, table
+from geolith.llm.common import bit_filter, may_contain, remove, save, short_batches, table
 from geolith.llm.components import components
 
 #: Bits of a class's parities: a power of two from the first to the last, by the size of the set.
@@ -276,7 +276,7 @@ class _Join:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row with a doc_id."""
-        rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
+        rows, kept = save(short_batches(self.docs).mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
         rows = rows.withColumn("c", F.xxhash64("digest"))
         some = rows.where("n > 0")
         self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
-from geolith.llm.common import save, table
+from geolith.llm.common import save, short_batches, table
 
 MAGIC = b"GLTK1\n"
 BLOCK = 4096
@@ -380,7 +380,7 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2,
         if files:
             yield flush()
 
-    files = dealt.mapInArrow(run, "part int, seq int, n_ids long, data binary")
+    files = short_batches(dealt).mapInArrow(run, "part int, seq int, n_ids long, data binary")
     return save(files, "tokens")[0]
 
 
