@@ -3,8 +3,10 @@
 A text becomes a TF-IDF vector of its 1- to 3-byte n-grams (lower case, letters only, hashed into DIMS
 places), of length 1.  Each language has up to ``clusters`` centroids from spherical k-means; a text gets
 the language of the centroid with the highest cosine.  A text is rejected if it has no letter, or if it
-is farther from its centroid than any plausible text of that language: its cosine is under ``slack``
-times that of the farthest per cent of the training texts.
+is farther from its centroid than any plausible text of that language and length: its cosine is under
+``slack`` times that of the farthest 2 % of equally long passages of the training texts.  Short
+passages lie farther from a centroid than long ones, so the limit grows with the number of n-grams.  For
+it each passage is compared with centroids that its own text had no part in.
 
 The model is fitted on at most ``per_language`` training rows of each language, the first by a hash of
 doc_id; all rows are predicted on their whole texts.  Null texts and texts without letters are ``und``
@@ -29,6 +31,10 @@ DIMS = 4096
 SLICE = 1 << 20
 #: How many times as many rows as are wanted lie under the limit by which training rows are chosen.
 OVER = 4
+#: Characters of the training texts' passages by which the limits are set.
+PASSAGES = (4, 16, 64, 256, 1024)
+#: Share of the passages that may be farther than what the limits are set by: some hold digits, keys or junk.
+LOW = 0.02
 #: ASCII bytes other than letters become spaces; bytes of longer characters stay.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 HAS_LETTER = regex.compile(r"\p{L}").search
@@ -64,41 +70,71 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def passage(text: str) -> str:
+    """As much from the middle of the text as the longest of the PASSAGES, from the start of a word if there is one."""
+    at = max(0, (len(text) - PASSAGES[-1]) // 2)
+    if at:
+        at = text.find(" ", at, at + 200) + 1 or at
+    return text[at : at + PASSAGES[-1]]
+
+
 class Centroids:
-    """idf, centroids, their languages and least cosines."""
+    """idf, centroids, their languages and least cosines by number of n-grams."""
 
-    def __init__(self, languages: list[str], found: np.ndarray, clusters: int, slack: float):
-        """found: counts of each training text, a row for each entry of languages."""
+    def __init__(self, languages: list[str], found: np.ndarray, passages: list[str], clusters: int, slack: float):
+        """found, passages: counts and a passage of each training text, a row for each entry of languages."""
         self.idf = np.log((1.0 + len(found)) / (1.0 + (found > 0).sum(0))) + 0.1
         vectors = self.vectors(found)
-        rows, self.languages, least = [], [], []
+        rows, self.languages, self.limits = [], [], []
         for language in sorted(set(languages)):
-            own = vectors[np.array([x == language for x in languages])]
+            at = np.flatnonzero([x == language for x in languages])
+            own = vectors[at]
             centres = _kmeans(own, clusters)
-            cosine = (own @ centres.T).max(1)
             rows.append(centres)
             self.languages += [language] * len(centres)
-            least += [slack * float(np.quantile(cosine, 0.01))] * len(centres)
+            self.limits.append(self._limits(own, centres, [passages[i] for i in at], slack))
         self.names = sorted(set(languages))
         self.rows = np.concatenate(rows)
         self.of = np.array([self.names.index(x) for x in self.languages])
-        self.least = np.array(least)
+
+    def _limits(self, own: np.ndarray, centres: np.ndarray, passages: list[str], slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of numbers of n-grams, rising, and the least cosine at each."""
+        nearest = (own @ centres.T).argmax(1)
+        sums = np.array([own[nearest == k].sum(0) for k in range(len(centres))])
+        others = _unit(sums[nearest] - own)  # a text's centre without the text
+
+        def low(rows: np.ndarray, at: np.ndarray) -> float:
+            cosine = rows @ centres.T
+            cosine[np.arange(len(at)), nearest[at]] = (rows * others[at]).sum(1)
+            return slack * float(np.quantile(cosine.max(1), LOW))
+
+        whole, sizes, least = low(own, np.arange(len(own))), [], []
+        for width in PASSAGES:
+            at = np.array([i for i, x in enumerate(passages) if len(x) >= width and HAS_LETTER(x[:width])], int)
+            if len(at):
+                found = np.array([counts(passages[i][:width]) for i in at])
+                sizes.append(float(np.log1p(np.median(found.sum(1)))))
+                least.append(min(whole, low(self.vectors(found), at)))
+        return np.maximum.accumulate(np.array(sizes or [0.0])), np.array(least or [whole])
 
     def vectors(self, found: np.ndarray) -> np.ndarray:
-        out = np.log1p(found) * self.idf
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return _unit(np.log1p(found) * self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the text is rejected."""
         if not text or not HAS_LETTER(text):
             return "und", 0.0, True
-        cosine = self.rows @ self.vectors(counts(text)[None, :])[0]
+        found = counts(text)
+        cosine = self.rows @ self.vectors(found[None, :])[0]
         best = np.full(len(self.names), -1.0)
         np.maximum.at(best, self.of, cosine)
         at = int(best.argmax())
         odds = np.exp(30.0 * (best - best[at]))
-        nearest = int(np.where(self.of == at, cosine, -2.0).argmax())
-        return self.names[at], float(1.0 / odds.sum()), bool(cosine[nearest] < self.least[nearest])
+        return self.names[at], float(1.0 / odds.sum()), bool(best[at] < np.interp(np.log1p(found.sum()), *self.limits[at]))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def _kmeans(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
@@ -107,20 +143,20 @@ def _kmeans(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
     order = np.argsort(vectors @ vectors.mean(0), kind="stable")
     centres = vectors[order[(2 * np.arange(k) + 1) * len(vectors) // (2 * k)]]
     for _ in range(rounds):
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        centres = _unit(centres)
         nearest = (vectors @ centres.T).argmax(1)
         # A small cluster is no centre of a language: it could be a few odd texts.
         sizes = np.bincount(nearest, minlength=len(centres))
         keep = np.flatnonzero(sizes >= max(1, len(vectors) // 50))
         centres = np.array([vectors[nearest == k].sum(0) for k in keep])
-    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return _unit(centres)
 
 
 def held_out(of: str = "doc_id") -> Column:
     return F.crc32(F.col(of).cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: float = 0.05) -> Centroids:
+def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: float = 0.5) -> Centroids:
     """The model, from rows with a language that are not held out."""
     hashed = F.xxhash64("doc_id")
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
@@ -136,15 +172,18 @@ def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [(x, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if HAS_LETTER(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([counts(t).astype("<f4").tobytes() for _, t in pairs], pa.binary())], ["lang", "counts"])
+            found = [pa.array([counts(t).astype("<f4").tobytes() for _, t in pairs], pa.binary()), pa.array([passage(t) for _, t in pairs], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), *found], ["lang", "counts", "passage"])
 
-    found = short_batches(rows).mapInArrow(run, "lang string, counts binary").toArrow().sort_by("lang")
+    found = short_batches(rows).mapInArrow(run, "lang string, counts binary, passage string").toArrow().sort_by("lang")
     languages = found.column("lang").to_pylist()
     if not languages:
-        return Centroids(["und"], np.zeros((1, DIMS)), 1, slack)
+        return Centroids(["und"], np.zeros((1, DIMS)), [""], 1, slack)
     matrix = np.array([np.frombuffer(x, "<f4") for x in found.column("counts").to_pylist()], float)
+    passages = found.column("passage").to_pylist()
+    del found
     order = np.lexsort([*matrix[:, :4].T, np.array(languages)])
-    return Centroids([languages[i] for i in order], matrix[order], clusters, slack)
+    return Centroids([languages[i] for i in order], matrix[order], [passages[i] for i in order], clusters, slack)
 
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -189,6 +189,24 @@ def test_language_of_odd_texts(spark):
     assert language_id.predict(docs.limit(0), language_id.fit(docs.limit(0))).count() == 0
 
 
+def test_language_rejects_what_is_far_from_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    rng = random.Random(8)
+    far = [
+        "日本語", "東京は日本の首都であり、世界で最も人口の多い都市の一つです。", "北京是中华人民共和国的首都,也是全国的政治中心。",
+        "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας και μεγάλη πόλη", "Москва является столицей России и крупнейшим городом страны",
+        "Helsinki on Suomen pääkaupunki ja suurin kaupunki, jossa asuu paljon ihmisiä, ja se sijaitsee Suomenlahden rannalla", *[
+            " ".join("".join(rng.choices(letters, k=7)) for _ in range(40))
+            for letters in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+        ],
+    ]
+    assert [t for t in far if not model.predict(t)[2]] == []
+    rows = docs.where(language_id.held_out() & F.col("lang").isNotNull()).select("text").collect()
+    own = [model.predict(r.text)[2] for r in rows if r.text and language_id.HAS_LETTER(r.text)]
+    assert len(own) > 150 and sum(own) <= 0.005 * len(own)
+
+
 # Quality.
 
 
