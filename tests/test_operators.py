@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions import checks, geometry, spatial
 from geolith.operators import diff, history, levels, reconcile, release, spatial_join
+from geolith.plans import frames, maps, registry  # noqa: F401
 from geolith.sources import container, geojson
 
 RING = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0)]
@@ -67,6 +68,28 @@ def test_components_of_a_long_path(spark):
     assert spatial_join.components(pairs, side=False).select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("name", ["overlap_components_whole", "component_kinds_whole"])
+def test_components_of_all_rows(spark, name):
+    d = "/root/testdata/sf0.001"
+    a, b = ([(f"{side}:{r.id}", r) for r in frame(spark, d).collect()] for side, frame in (("a", frames.accepted), ("b", frames.candidate)))
+    of = {}
+    for u, x in a:
+        for v, y in b:
+            if min(x.max_x, y.max_x) > max(x.min_x, y.min_x) and min(x.max_y, y.max_y) > max(x.min_y, y.min_y):
+                mine, other = (of.get(k, {k}) for k in (u, v))
+                mine |= other
+                of |= dict.fromkeys(mine, mine)
+    want = {n: min(m) for n, m in of.items()}
+    got = registry.QUERIES[name](spark, d).collect()
+    if name == "overlap_components_whole":
+        assert len(got) == len(want) > 200 and {r.node: r.component for r in got} == want
+        return
+    sides = {c: [sum(n[0] == side and m == c for n, m in want.items()) for side in "ab"] for c in set(want.values())}
+    assert {r.component: [r.n_old, r.n_new] for r in got} == sides
+    kinds = {(True, True): "uncertain_replacement", (True, False): "split", (False, True): "merge", (False, False): "complex"}
+    assert all(r.kind == kinds[r.n_old == 1, r.n_new == 1] for r in got)
+
+
 def test_top_fraction_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([(1, 50), (2, 30), (3, 20)], "id long, score long")
     assert rows(levels.top_fraction(df, "score", "id", 1, 2), "id") == [(1,)]
