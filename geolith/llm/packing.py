@@ -3,9 +3,10 @@
 The pieces of the documents are counted by length on the cluster; that histogram has at most
 ``capacity`` bars whatever the corpus holds.  On it the covering program
 ``min sum x_p  with  sum_p a_pl x_p >= n_l`` over patterns p (multisets of lengths that fit) is solved
-by multiplicative weights: the weight of a length falls as it is covered, and each round's pattern is
-priced by a dynamic program for the knapsack.  The fractional solution is rounded down, and what is left
-is packed best-fit, largest lengths first.  The plan is a short list of runs for each length (so many
+by multiplicative weights: the weight of a length falls as it is covered, and each round's patterns, one
+for each length that is behind, are priced by a dynamic program for the knapsack.  Rounds go on until every
+length is covered to a thousandth.  The fractional solution is rounded, and what is left, the fractional
+rest, is packed best-fit, largest lengths first.  The plan is a short list of runs for each length (so many
 places from this sequence on), so that every piece finds its place from its rank among the pieces of its
 length.  Ranks come from counts by (length, salt), so that one common length does not meet in one task.
 
@@ -33,8 +34,8 @@ from geolith.llm.common import save, short_batches, table
 SALTS = 256
 
 
-def best_pattern(value: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The pattern (copies of each length 0..capacity) of largest value, by dynamic programming.
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room 0..capacity, by dynamic programming: a length in the most valuable filling (0: none), and the room that it fills.
 
     value[l]: of one piece of length l; lengths without value are not used.
     """
@@ -49,59 +50,76 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
             got = gains[:k] + best[c - lengths[:k]]
             if got[i := int(got.argmax())] > best[c]:
                 best[c], choice[c] = got[i], lengths[i]
-    counts = np.zeros(capacity + 1, np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            counts[choice[c]] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return counts, float(best[capacity])
-
-
-def solve(counts: np.ndarray, capacity: int, rounds: int = 150, rate: float = 0.3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and fractional multiplicities that cover the histogram ``counts``."""
-    have = counts > 0
-    need = np.where(have, counts, 1).astype(float)
-    covered = np.zeros(capacity + 1)
-    used: dict[bytes, list] = {}
-    log_weight = np.zeros(capacity + 1)
-    # A round adds a pattern as often as its scarcest length allows, and 1 / rounds of the least number of sequences at most.
-    least = float((np.arange(capacity + 1) * counts).sum()) / capacity
-    for _ in range(rounds):
-        weight = np.where(have, np.exp(log_weight - log_weight[have].max()), 0.0)
-        pattern, _ = best_pattern(np.where(have, weight / need, 0.0), capacity)
-        if not pattern.any():
-            break
-        held = pattern > 0
-        step = min(float((need[held] / pattern[held]).min()), max(1.0, least / rounds * 2))
-        covered += pattern * step
-        log_weight[held] -= rate * pattern[held] * step / need[held] * rounds / 10
-        used.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += step
-    scale = max(1.0, float((covered[have] / need[have]).max())) if have.any() else 1.0
-    return [(p, x / scale) for p, x in sorted(used.values(), key=lambda u: -u[1])]
+    return choice, np.maximum.accumulate(np.where(choice > 0, np.arange(capacity + 1), 0))
+
 
+def solve(counts: np.ndarray, capacity: int, rounds: int = 3000, rate: float = 0.3, slices: int = 3, tolerance: float = 1e-3) -> list[tuple[tuple[tuple[int, int], ...], float]]:
+    """Patterns, as (length, copies), and fractional multiplicities that cover all but ``tolerance`` of each bar of ``counts``.
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 150) -> list[tuple[np.ndarray, int]]:
+    In each round every length, largest first, that is behind the round's share of its pieces gets the best pattern
+    that holds it, at most as often as no length of the pattern is covered beyond its pieces.  Prices of
+    lengths fall by exp(-rate x share covered); covered ones have none.
+    """
+    need = counts.astype(float)
+    left = need.copy()
+    size = np.arange(capacity + 1) * (1 + 0.1 * np.arange(capacity + 1) / capacity)  # long pieces first, as short ones fill gaps
+    used: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    for turn in range(rounds):
+        short = left > tolerance * need
+        if not short.any():
+            break
+        share = 1 - left / np.maximum(need, 1)
+        choice, filled = (x.tolist() for x in knapsack(np.where(short, size * np.exp(-rate * share), 0.0), capacity))
+        later = need * max(0.0, 1 - (turn + 1) / slices)
+        for length in np.flatnonzero(short)[::-1].tolist():
+            behind = left[length] - later[length]
+            if behind <= 0:
+                continue
+            pattern = {length: 1}
+            room = filled[capacity - length]
+            while room:
+                piece = choice[room]
+                pattern[piece] = pattern.get(piece, 0) + 1
+                room = filled[room - piece]
+            step = min(behind / pattern[length], *(left[k] / n for k, n in pattern.items()))
+            if step > 0:
+                for k, n in pattern.items():
+                    left[k] = max(0.0, left[k] - n * step)
+                used[tuple(sorted(pattern.items()))] += step
+    return sorted(used.items(), key=lambda u: (-u[1], u[0]))
+
+
+def plan(counts: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Whole patterns (copies of each length) and multiplicities that hold exactly the pieces of ``counts``."""
+    return [x[:2] for x in _plan(counts, capacity, rounds)]
+
+
+def _plan(counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, int, bool]]:
+    """Patterns, multiplicities, and whether they come from the linear program (or a piece that fills a sequence)."""
     left = counts.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
+    out: list[tuple[np.ndarray, int, bool]] = []
 
-    def use(pattern: np.ndarray, most: int) -> None:
+    def use(pattern: np.ndarray, most: int, solved: bool = True) -> None:
         held = pattern > 0
         m = min(most, int((left[held] // pattern[held]).min()))
         if m > 0:
-            out.append((pattern, m))
+            out.append((pattern, m, solved))
             left[held] -= pattern[held] * m
 
     full = np.zeros(capacity + 1, np.int64)
     full[capacity] = 1
     if left[capacity]:
         use(full, int(left[capacity]))
-    for pattern, x in solve(left, capacity, rounds) if left.any() else []:
-        if (pattern * np.arange(capacity + 1)).sum() >= 0.995 * capacity:  # patterns with gaps are left to best fit
-            use(pattern, int(x))
+    # Rounded down; the fractions, added up in order, give one more sequence each time that they reach one.
+    rest = 0.0
+    for pieces, x in solve(left, capacity, rounds) if left.any() else []:
+        rest += x - int(x)
+        most, rest = (int(x) + 1, rest - 1) if rest >= 1 else (int(x), rest)
+        if most:
+            pattern = np.zeros(capacity + 1, np.int64)
+            for length, n in pieces:
+                pattern[length] = n
+            use(pattern, most)
     while left.any():
         pattern, room = np.zeros(capacity + 1, np.int64), capacity
         lengths = np.flatnonzero(left)
@@ -115,7 +133,7 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 150) -> list[tuple[np.
             copies = min(room // length, int(left[length] - pattern[length]))
             pattern[length] += copies
             room -= copies * length
-        use(pattern, 1 << 60)
+        use(pattern, 1 << 60, False)
     return out
 
 
@@ -155,7 +173,7 @@ def cut(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) -> Da
     return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, capacity: int = 2048, rounds: int = 150) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, capacity: int = 2048, rounds: int = 3000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     path = vocabulary_path or public_tokenizers.path("word_bpe_49k.json")

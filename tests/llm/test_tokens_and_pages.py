@@ -137,6 +137,25 @@ def test_plan_is_exact_and_close_to_the_bound():
     assert sum(m for _, m in packing.plan(big, 10)) == 7
 
 
+@pytest.mark.parametrize("kind", ["few", "many", "even"])
+def test_program_covers_every_length_and_makes_the_sequences(kind):
+    rng = np.random.default_rng(9)
+    lengths = {"few": 40_000, "many": 2_000_000, "even": 0}[kind]
+    capacity = 2048
+    counts = np.bincount(np.clip(rng.lognormal(np.log(300), 1.0, lengths).astype(int), 1, capacity - 1), minlength=capacity + 1) if lengths else np.r_[0, np.full(capacity - 1, 1000), 0]
+    covered, total = np.zeros(capacity + 1), 0.0
+    for pieces, x in packing.solve(counts, capacity):
+        assert sum(k * n for k, n in pieces) <= capacity
+        total += x
+        for k, n in pieces:
+            covered[k] += n * x
+    bound = (counts * np.arange(capacity + 1)).sum() / capacity
+    assert (covered >= 0.999 * counts - 1e-9).all() and total <= 1.001 * bound
+    made = packing._plan(counts, capacity, 3000)
+    assert (sum(p * m for p, m, _ in made) == counts).all()
+    assert sum(m for _, m, solved in made if solved) >= 0.95 * sum(m for _, m, _ in made)
+
+
 def test_packing_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (None, "a"), (2, "b " * 3000)], "doc_id long, text string").withColumn("length", F.lit("clash"))
     got = packing.pack(df, capacity=2048).collect()
