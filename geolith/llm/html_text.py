@@ -4,8 +4,9 @@ Each page is parsed into a tree.  Every element's subtree is hashed; Spark count
 host each hash occurs.  Subtrees that recur on at least ``share`` of a host's pages (and ``least`` pages)
 are its template and are deleted, except paragraphs and headings inside an article: a sentence that many
 articles quote is still text.  Elements that are no text by their kind (navigation, scripts, forms and the
-like) or by the words of their class, id or role go as well.  What is left of the articles of a page, or
-of its main element, or of its body, is the text.
+like) or by the words of their class, id or role go as well; for a word of its class or id none goes that
+holds the only articles or most of the text.  What is left of the articles of a page, or of its main
+elements, or of its body, is the text.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined by one
 space.  Null html counts as empty and gives an empty text; pages without a host have no template; broken
@@ -44,46 +45,80 @@ NO_TEXT_WORDS = frozenset(
     "aside widget related recommended share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
     "comment comments reply replies respond disqus toolbar pagination pager skip".split()
 )
+#: Of these, words of what may hold articles of its own and still is no text.
+SIDE_WORDS = frozenset("comment comments reply replies respond disqus related recommended ad ads adv advert adverts advertisement sponsored promo".split())
 #: Elements inside an article that are deleted as template; others there are text.
 ARTICLE_TEMPLATE = frozenset("div section ul ol dl table figure details".split())
 
 _UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"(<(?:[a-zA-Z/](?:\"[^\"]*\"|'[^']*'|[^'\">])*|[!?][^>]*)>)")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNENDED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("children", "digest", "dropped", "tag", "text")
+    __slots__ = ("children", "digest", "dropped", "tag", "text", "words")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped = tag, dropped
+    def __init__(self, tag: str, dropped: bool, words: frozenset[str] = frozenset()):
+        """words: those of its class and id by which it is dropped, if it is by nothing else."""
+        self.tag, self.dropped, self.words = tag, dropped, words
         self.children: list = []
         self.digest, self.text = 0, False
 
 
-def _is_no_text(tag: str, source: str) -> bool:
+def _is_no_text(tag: str, source: str) -> tuple[bool, frozenset[str]]:
+    """Whether an element is dropped, and the words of its class and id if those are the reason."""
     if tag in NO_TEXT:
-        return True
+        return True, frozenset()
     if len(source) <= len(tag) + 2 or tag in ("html", "body", "main"):
-        return False
+        return False, frozenset()
+    words: set[str] = set()
     for name, value in _ATTRIBUTE.findall(source, len(tag) + 1):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden":
-            return True
-        if name == "role" and value.lower() in NO_TEXT_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NO_TEXT_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "role" and value.lower() in NO_TEXT_ROLES):
+            return True, frozenset()
+        if name in ("class", "id"):
+            words.update(w.lower() for w in _WORD.findall(value))
+    words &= NO_TEXT_WORDS
+    return bool(words), frozenset(words)
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Elements that are dropped for a word stay if no article or main element is left without them and they hold one, or most of the page's text."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, under = todo.pop()
+        under |= node.dropped
+        if node.tag in ("article", "main") and not under:
+            return
+        order.append(node)
+        todo += [(c, under) for c in node.children if c.__class__ is Node and (c.words or not c.dropped)]
+    held: dict[int, tuple[int, bool]] = {}  # characters of text, and whether an article or main element is in it
+    for node in reversed(order):
+        size, article = 0, node.tag in ("article", "main")
+        for child in node.children:
+            if child.__class__ is not Node:
+                size += len(child.strip())
+            elif below := held.get(id(child)):
+                size, article = size + below[0], article or below[1]
+        held[id(node)] = size, article
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.words:
+            size, article = held[id(node)]
+            if size * 2 <= held[id(root)][0] and (not article or node.words & SIDE_WORDS):
+                continue
+            node.dropped, node.words = False, frozenset()
+        todo += [c for c in node.children if c.__class__ is Node and (c.words or not c.dropped)]
 
 
 def parse(page: str | None) -> Node:
     """The tree of a page; its text children are decoded."""
     root = Node("#root", False)
-    stack = [root]
+    stack, wrapped = [root], False
     for i, part in enumerate(_TAG.split(_UNREAD.sub(" ", page or ""))):
         if not part:
             continue
@@ -111,10 +146,13 @@ def parse(page: str | None) -> Node:
             _end(stack, ("p",), ("article", "section", "div", "td", "th", "li", "button", "main", "body"))
         elif tag in SIBLINGS:
             _end(stack, SIBLINGS[tag], FENCES.get(tag, TABLE_FENCES))
-        node = Node(tag, _is_no_text(tag, part))
+        node = Node(tag, *_is_no_text(tag, part))
+        wrapped |= bool(node.words)
         stack[-1].children.append(node)
         if not part.endswith("/>"):
             stack.append(node)
+    if wrapped:
+        _keep_wrappers(root)
     return root
 
 
@@ -157,18 +195,18 @@ def _contents(root: Node, template: frozenset[int]) -> list[Node]:
     """The outermost articles, or else the main elements, or else the whole page."""
     articles: list[Node] = []
     mains: list[Node] = []
-    todo = [root]
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         if node.dropped or (node.tag != "article" and node.digest in template):
             continue
         if node.tag == "article":
             articles.append(node)
             continue
-        if node.tag == "main":
+        if node.tag == "main" and not inside:
             mains.append(node)
-        todo += [c for c in reversed(node.children) if c.__class__ is Node]
-    return articles or mains[:1] or [root]
+        todo += [(c, inside or node.tag == "main") for c in reversed(node.children) if c.__class__ is Node]
+    return articles or mains or [root]
 
 
 def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
@@ -234,7 +272,7 @@ def _host_of(urls: pd.Series) -> pd.Series:
     return urls.map(host)
 
 
-def templates(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame:
+def templates(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFrame:
     """(host, template): the hashes of the subtrees that recur on many of a host's pages.
 
     A host has at most 1 / share times as many as a page has elements, so that the arrays stay small.
@@ -246,7 +284,7 @@ def templates(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame
     return often.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template"))
 
 
-def extract_text(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame:
+def extract_text(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFrame:
     """All columns of pages but html, and text, which replaces a column of that name."""
     pages = pages.drop("__host", "__template")
     found, _ = save(templates(pages, share, least), "templates")

@@ -206,6 +206,28 @@ def test_page_text():
     assert html_text.extract(root) == "Head & line One two. Three four"
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<div style='overflow:hidden'>a</div><p aria-hidden='false'>b</p><p title='hidden gems'>c</p><p hidden>d</p><p HIDDEN=''>e</p>", "a b c"),
+        ("<div class='content has-sidebar'><p>The text of the page.</p></div><div class='sidebar'>x</div>", "The text of the page."),
+        ("<div class='post share-enabled'><article><p>Text.</p><div class='share'>y</div></article></div><div>Long words beside the article.</div>", "Text."),
+        ("<article>Text.</article><div class='comments'><article>A long comment on the text.</article></div>", "Text."),
+        ("<main><p>One.</p></main><div>x</div><main><p>Two.</p></main>", "One. Two."),
+    ],
+)
+def test_only_what_is_no_text_is_dropped(body, want):
+    root = html_text.parse(page(body))
+    html_text.digests(root)
+    assert html_text.extract(root) == want
+
+
+def test_templates_of_sections_go(spark):
+    rows = [(i, f"https://h.example/{i}", page(f"<div>Menu of section {i % 5}</div><div><p>Text number {i}.</p></div>")) for i in range(60)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == [f"Text number {i}." for i in range(60)]
+
+
 def test_template_goes_and_articles_stay(spark):
     rows = [(i, f"https://h.example/{i}", page(f"<div>Subscribe to our site</div><div><p>Text number {i}.</p></div>")) for i in range(20)]
     rows += [(100, "https://other.example/", page("<div>Subscribe to our site</div>")), (101, None, None), (102, "https://h.example/", ""), (103, "x", "<p>no end"), (103, "x", "<p>no end")]
