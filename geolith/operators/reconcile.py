@@ -41,8 +41,8 @@ def plan(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> dict
     new_left = new.join(kept.select(key), key, "left_anti").join(replaced.select(F.col("new_id").alias(key)), key, "left_anti")
     pairs = overlap_pairs(old_left, new_left, key, key)
     members = components(pairs)
-    in_old = members.where("node LIKE 'a:%'").select(F.substring("node", 3, 100).cast(old.schema[key].dataType).alias(key))
-    in_new = members.where("node LIKE 'b:%'").select(F.substring("node", 3, 100).cast(new.schema[key].dataType).alias(key))
+    in_old = members.where("node LIKE 'a:%'").select(F.expr("substring(node, 3)").cast(old.schema[key].dataType).alias(key))
+    in_new = members.where("node LIKE 'b:%'").select(F.expr("substring(node, 3)").cast(new.schema[key].dataType).alias(key))
     return {
         "continuations": kept, "replacements": replaced, "pairs": pairs, "components": members, "kinds": component_kinds(members),
         "additions": new_left.select(key).join(in_new, key, "left_anti"), "disappearances": old_left.select(key).join(in_old, key, "left_anti"),

@@ -55,6 +55,15 @@ def test_reconciliation_cases(spark):
     assert got == [("fresh", "initial"), ("kept", "continuation"), ("renamed-b", "exact_geometry_replacement")]
 
 
+def test_reconciliation_of_long_keys(spark):
+    schema = "source_feature_id string, geometry_sha256 string, min_x double, min_y double, max_x double, max_y double"
+    stem = "k" * 120
+    old = spark.createDataFrame([(stem + "a", "r", -87.5, 41.9, -87.48, 41.91)], schema)
+    new = spark.createDataFrame([(stem + "b", "t", -87.5, 41.9, -87.49, 41.91), (stem + "c", "u", -87.488, 41.9, -87.48, 41.91)], schema)
+    got = rows(reconcile.summary(reconcile.plan(old, new)), "kind", "n")
+    assert got == [("addition", 0), ("disappearance", 0), ("exact_geometry_replacement", 0), ("split", 1)]
+
+
 def test_broad_features_meet_too(spark):
     schema = "id string, min_x double, min_y double, max_x double, max_y double"
     wide = spark.createDataFrame([("w", -180.0, -90.0, 180.0, 90.0), ("touch", 0.0, 0.0, 0.005, 0.005)], schema)
