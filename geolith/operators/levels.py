@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.tables import save
 
-def _range_sorted(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
-    """df in ranges of the order, numbered by __part, written down so that numbers hold when tasks are repeated."""
-    from geolith.operators.spatial_join import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
+def _range_sorted(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """df in ranges of the order, numbered by __part, written once so that numbers hold when tasks are repeated."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    return save(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")[0]
 
 
 def running(df: DataFrame, order: list[Column], value: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -42,13 +41,11 @@ def top_fraction(df: DataFrame, score: str, key: str, numerator: int, denominato
     """
     order = [F.desc(score), F.asc(key)]
     placed = running(df, order, F.col(score).cast("decimal(38,0)"))
-    total = df.agg(F.sum(F.col(score).cast("decimal(38,0)"))).first()[0]
-    if total is None:
-        return placed.drop("place", "before").limit(0)
+    total = df.agg(F.sum(F.col(score).cast("decimal(38,0)"))).scalar()
     if exact:
-        keep = F.col("before") * F.lit(denominator) < F.lit(total * numerator).cast("decimal(38,0)")
+        keep = F.col("before") * F.lit(denominator) < total * F.lit(numerator)
     else:
-        keep = F.col("before").cast("double") < F.lit(float(total) * (numerator / denominator))
+        keep = F.col("before").cast("double") < total.cast("double") * F.lit(numerator / denominator)
     return placed.where(keep).drop("place", "before")
 
 
@@ -65,11 +62,9 @@ def chunk_index(chunked: DataFrame) -> DataFrame:
 
 def rank_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """n rows at evenly spaced ranks: offset rint(i * (total - 1) / (n - 1)), halves to even, each once."""
-    total = df.count()
-    if not total or n < 1:
-        return df.limit(0)
-    offsets = sorted({0} if n == 1 else {round(i * (total - 1) / (n - 1)) for i in range(n)})
-    wanted = df.sparkSession.createDataFrame([(o,) for o in offsets], "place0 long")
+    total = df.agg(F.count("*")).scalar()
+    offset = F.rint(F.col("id") * (total - 1) / F.lit(max(n - 1, 1)))
+    wanted = df.sparkSession.range(max(n, 0)).select(offset.cast("long").alias("place0")).distinct()
     placed = running(df, [F.asc(c) for c in order])
     return placed.join(F.broadcast(wanted), F.col("place") == F.col("place0") + 1).drop("place", "place0")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.functions.spatial import BROAD_CELLS, CELL, cell, intersects, overlaps
+from geolith.operators import graph
 
 BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
@@ -46,46 +47,11 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return fine.unionByName(wide)
 
 
-def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool = True, rounds: int = 60) -> DataFrame:
-    """(node, component) of the graph of pairs; with side, the nodes are a:<key> and b:<key>.
-
-    Each round a node takes the smallest label next to it and then the label of its label; lineage is cut by
-    checkpoints in the folder that the session names, and rounds stop when no label falls.
-    """
+def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool = True) -> DataFrame:
+    """(node, component) of the graph of pairs; with side, the nodes are a:<key> and b:<key>."""
     left = F.concat(F.lit("a:"), F.col(a).cast("string")) if side else F.col(a).cast("string")
     right = F.concat(F.lit("b:"), F.col(b).cast("string")) if side else F.col(b).cast("string")
-    edges = pairs.select(left.alias("u"), right.alias("v"))
-    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.checkpoint()
-    labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        new = labels.join(near, "u").select("u", F.least("label", "l").alias("label"), F.col("label").alias("old"))
-        jump = new.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = new.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
-        changed = not new.where("label <> old").isEmpty()
-        labels = new.select("u", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
-    return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-
-
-def ensure_checkpoint_dir(spark) -> None:
-    """A cluster names its shared folder; only a local session gets one of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not named:
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="geolith-")
-        sc.setCheckpointDir(named)
+    return graph.components(pairs.select(left.alias("a"), right.alias("b")))
 
 
 def component_kinds(members: DataFrame) -> DataFrame:
@@ -119,7 +85,7 @@ def hit_test(points: DataFrame, features: DataFrame, point_key: str, key: str, i
 
 def with_cells(features: DataFrame, extent: DataFrame, n: int = 8) -> DataFrame:
     """Adds ix and iy: the cell of each centre, of n by n in the extent (one row with lo_x, lo_y, hi_x, hi_y)."""
-    j = _with_extent(features, extent)
+    j = with_extent(features, extent)
 
     def place(low: str, high: str, lo: str, hi: str) -> Column:
         share = ((F.col(low) + F.col(high)) / 2.0 - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))
@@ -139,7 +105,7 @@ def extent(features: DataFrame) -> DataFrame:
     return features.agg(F.min("min_x").alias("lo_x"), F.min("min_y").alias("lo_y"), F.max("max_x").alias("hi_x"), F.max("max_y").alias("hi_y"))
 
 
-def _with_extent(features: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The one row of bounds as literals on every feature."""
-    row = bounds.first()
-    return features.withColumns({c: F.lit(None if row is None else row[c]).cast("double") for c in ("lo_x", "lo_y", "hi_x", "hi_y")})
+def with_extent(features: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The one row of bounds on every feature, by a scalar subquery."""
+    row = bounds.select(F.struct("lo_x", "lo_y", "hi_x", "hi_y")).scalar()
+    return features.withColumn("__extent", row).withColumns({c: F.col(f"__extent.{c}") for c in ("lo_x", "lo_y", "hi_x", "hi_y")}).drop("__extent")

@@ -30,10 +30,9 @@ MORTON = f"""SELECT f.*, {_spread("qx")} | ({_spread("qy")} << 1) AS morton FROM
 
 
 def _morton(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d)
-    lo_x, lo_y, hi_x, hi_y = (F.lit(v) for v in spatial_join.extent(rows).first())
-    at = spatial.morton(spatial.quantize(spatial.centre("min_x", "max_x"), lo_x, hi_x), spatial.quantize(spatial.centre("min_y", "max_y"), lo_y, hi_y))
-    return rows.withColumn("morton", at)
+    rows = spatial_join.with_extent(features(spark, d), spatial_join.extent(features(spark, d)))
+    at = spatial.morton(spatial.quantize(spatial.centre("min_x", "max_x"), "lo_x", "hi_x"), spatial.quantize(spatial.centre("min_y", "max_y"), "lo_y", "hi_y"))
+    return rows.withColumn("morton", at).drop("lo_x", "lo_y", "hi_x", "hi_y")
 
 
 # Predicates.
@@ -111,37 +110,22 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.overlap_pairs(accepted(spark, d), candidate(spark, d), "id", "id")
 
 
-COMPONENTS = f"""WITH RECURSIVE pairs AS (SELECT 'a:' || a.id AS u, 'b:' || b.id AS v FROM accepted a JOIN candidate b ON {OPEN} WHERE a.id % 16 = 0 AND b.id % 16 = 1),
-edges AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
-reach AS (SELECT u AS node, u AS other FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON e.u = r.other),
-members AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
-"""
-
-
-def _sparse_components(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_join.components(spatial_join.overlap_pairs(accepted(spark, d).where("id % 16 = 0"), candidate(spark, d).where("id % 16 = 1"), "id", "id"))
+#: Labels of the nodes of pairs(u, v): each round a node takes the smallest label next to it.
+MEMBERS = """edges AS MATERIALIZED (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+members(node, component) USING KEY (node) AS (SELECT u, least(u, min(v)) FROM edges GROUP BY u UNION
+  SELECT e.v, min(m.component) FROM members m JOIN edges e ON e.u = m.node JOIN recurring.members o ON o.node = e.v WHERE m.component < o.component GROUP BY e.v)"""
+COMPONENTS = f"WITH RECURSIVE pairs AS MATERIALIZED (SELECT 'a:' || a.id AS u, 'b:' || b.id AS v FROM accepted a JOIN candidate b ON {OPEN}), {MEMBERS}\n"
 
 
 @query("overlap_components", duck("accepted candidate", COMPONENTS + "SELECT node, component FROM members"))
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse_components(spark, d)
+    return spatial_join.components(overlap_pairs(spark, d))
 
 
 @query("component_kinds", duck("accepted candidate", COMPONENTS + """SELECT component, n_old, n_new, CASE WHEN n_old = 1 AND n_new = 1 THEN 'uncertain_replacement' WHEN n_old = 1 THEN 'split' WHEN n_new = 1 THEN 'merge' ELSE 'complex' END AS kind
 FROM (SELECT component, count(*) FILTER (node LIKE 'a:%') AS n_old, count(*) FILTER (node LIKE 'b:%') AS n_new FROM members GROUP BY 1)"""))
 def component_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_join.component_kinds(_sparse_components(spark, d))
-
-
-@query("overlap_components_whole")
-def overlap_components_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The components of the whole overlap graph; the two queries above and their SQL, which is too slow for it, take 1/16 of either side."""
-    return spatial_join.components(overlap_pairs(spark, d))
-
-
-@query("component_kinds_whole")
-def component_kinds_whole(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_join.component_kinds(overlap_components_whole(spark, d))
+    return spatial_join.component_kinds(overlap_components(spark, d))
 
 
 RECONCILE = f"""WITH RECURSIVE kept AS (SELECT id FROM accepted JOIN candidate USING (id)),
@@ -150,10 +134,8 @@ w AS (SELECT geometry_sha256, count(*) AS n, min(id) AS new_id FROM candidate WH
 moved AS (SELECT old_id, new_id FROM o JOIN w USING (geometry_sha256) WHERE o.n = 1 AND w.n = 1),
 ol AS (SELECT * FROM accepted WHERE id NOT IN (SELECT id FROM kept) AND id NOT IN (SELECT old_id FROM moved)),
 nl AS (SELECT * FROM candidate WHERE id NOT IN (SELECT id FROM kept) AND id NOT IN (SELECT new_id FROM moved)),
-pairs AS (SELECT 'a:' || a.id AS u, 'b:' || b.id AS v FROM ol a JOIN nl b ON {OPEN}),
-edges AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
-reach AS (SELECT u AS node, u AS other FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON e.u = r.other),
-members AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+pairs AS MATERIALIZED (SELECT 'a:' || a.id AS u, 'b:' || b.id AS v FROM ol a JOIN nl b ON {OPEN}),
+{MEMBERS},
 kinds AS (SELECT CASE WHEN n_old = 1 AND n_new = 1 THEN 'uncertain_replacement' WHEN n_old = 1 THEN 'split' WHEN n_new = 1 THEN 'merge' ELSE 'complex' END AS kind
   FROM (SELECT component, count(*) FILTER (node LIKE 'a:%') AS n_old, count(*) FILTER (node LIKE 'b:%') AS n_new FROM members GROUP BY 1))
 SELECT 'continuation' AS kind, count(*) AS n FROM kept UNION ALL SELECT 'exact_geometry_replacement', count(*) FROM moved

@@ -77,7 +77,7 @@ def test_components_of_a_long_path(spark):
     assert spatial_join.components(pairs, side=False).select("component").distinct().count() == 1
 
 
-@pytest.mark.parametrize("name", ["overlap_components_whole", "component_kinds_whole"])
+@pytest.mark.parametrize("name", ["overlap_components", "component_kinds"])
 def test_components_of_all_rows(spark, name):
     d = "/root/testdata/sf0.001"
     a, b = ([(f"{side}:{r.id}", r) for r in frame(spark, d).collect()] for side, frame in (("a", frames.accepted), ("b", frames.candidate)))
@@ -90,7 +90,7 @@ def test_components_of_all_rows(spark, name):
                 of |= dict.fromkeys(mine, mine)
     want = {n: min(m) for n, m in of.items()}
     got = registry.QUERIES[name](spark, d).collect()
-    if name == "overlap_components_whole":
+    if name == "overlap_components":
         assert len(got) == len(want) > 200 and {r.node: r.component for r in got} == want
         return
     sides = {c: [sum(n[0] == side and m == c for n, m in want.items()) for side in "ab"] for c in set(want.values())}
