@@ -22,8 +22,9 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geolith.llm.common import short_batches, table
+from geolith.llm.common import sliced, table
 
 #: The pre-tokenizer's pattern of the public vocabulary file's ByteLevel step.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -158,6 +159,7 @@ class ForcedBoundaryBPE:
             pass
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.fragments) > REMEMBERED:
             self.fragments.clear()
         out = []
         for p in pieces:
@@ -200,35 +202,38 @@ def read_vocabulary(path: str) -> str:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all but text, if not given) and ids, binary: little-endian unsigned 32-bit."""
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+    """The columns keep of docs (all but text, if not given) and ids, binary: little-endian unsigned 32-bit.
+
+    ids replaces a column of that name.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids")]
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [model.encode(text or "") for text in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(ids, pa.binary())], [*keep, "ids"])
 
-    chosen = docs.select(*keep, "text")
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["ids binary"])
-    return short_batches(chosen).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """encoded with the column text in place of ids."""
-    keep = [c for c in encoded.columns if c != "ids"]
+    """encoded with the column text in place of ids; it replaces a column of that name."""
+    keep = [c for c in encoded.columns if c not in ("text", "ids")]
     shipped = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [model.decode(ids or b"") for ids in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.binary()).cast(pa.string())], [*keep, "text"])
 
-    chosen = encoded.select(*keep, "ids")
+    chosen = encoded.select(*[F.col(f"`{c}`") for c in keep], "ids")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["text string"])
-    return short_batches(chosen).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
@@ -238,7 +243,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = model.encode(text or "")
@@ -248,4 +253,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    return short_batches(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

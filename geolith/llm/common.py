@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolith.tables import remove, save, shared_dir  # noqa: F401  for the operators
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_BYTES = WHITE.encode()
@@ -19,59 +21,21 @@ FILTER_WORDS_LOG2 = 16
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-#: Rows of an Arrow batch at most where whole texts go through Python.
-BATCH_ROWS = 1000
-
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold few rows.
-
-    Batches are counted in rows, and texts are long: each task holds a batch on its way to Python and one
-    on its way back, in the JVM and in the worker.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local session without that setting gets a folder of its own; a cluster without it is an
-    error, since a machine-local folder would lose files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="geolith-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Rows and bytes of the slices in which whole texts are turned into Python objects.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
 
-def save(df: DataFrame, tag: str, **options: object) -> tuple[DataFrame, str]:
-    """Writes df as Parquet to the shared folder and returns the table read back, and its path.
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and bytes; Spark itself bounds the bytes of a batch.
 
-    This cuts the lineage: an executor that is lost later costs no recomputation of what lies before.
+    A slice holds one row at least, however long its texts are.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/geolith-{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    for key, value in options.items():
-        writer = writer.option(key, value)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables in the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _bit(h: Column, shift: int) -> Column:

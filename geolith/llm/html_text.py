@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.common import save, short_batches, table
+from geolith.llm.common import save, sliced, table
 
 # Kinds of elements, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,7 +241,7 @@ def host(url: str | None) -> str | None:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         hosts, lists = [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if at := host(url):
@@ -252,7 +252,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             known: dict[int, frozenset[int]] = {}
             for page, template in zip(batch.column(len(names) - 1).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
@@ -277,7 +277,7 @@ def templates(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFram
 
     A host has at most 1 / share times as many as a page has elements, so that the arrays stay small.
     """
-    found, _ = save(short_batches(pages).select("url", "html").mapInArrow(_subtrees, "host string, digests array<long>"), "subtrees")
+    found, _ = save(pages.select("url", "html").mapInArrow(_subtrees, "host string, digests array<long>"), "subtrees")
     sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     often = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
@@ -292,7 +292,7 @@ def extract_text(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataF
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], "html", _host_of("url").alias("__host"))
     rows = rows.join(found.toDF("__host", "__template"), "__host", "left").select(*[F.col(f"`{c}`") for c in keep], "html", "__template")
     schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text")).schema
-    return short_batches(rows).mapInArrow(_texts([*keep, "html"]), schema)
+    return rows.mapInArrow(_texts([*keep, "html"]), schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import bit_filter, may_contain, remove, save, short_batches, table
-from geolith.llm.components import components
+from geolith.llm.common import bit_filter, may_contain, remove, save, sliced, table
+from geolith.operators.graph import contracted
 
 #: Bits of a class's parities: a power of two from the first to the last, by the size of the set.
 PARITIES = (1 << 6, 1 << 18)
@@ -173,7 +173,7 @@ def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
 
 def _incidence(percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sizes, digests, blocks, odd = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 ngrams = shingles(text, n)
@@ -190,7 +190,7 @@ def _incidence(percent: int, n: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(text, n) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "c", "ngrams"])
 
@@ -276,7 +276,7 @@ class _Join:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row with a doc_id."""
-        rows, kept = save(short_batches(self.docs).mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
+        rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
         rows = rows.withColumn("c", F.xxhash64("digest"))
         some = rows.where("n > 0")
         self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")
@@ -301,7 +301,7 @@ class _Join:
         return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
     def components(self, edges: DataFrame) -> DataFrame:
-        labels, path = components(edges)
+        labels, path = contracted(edges)
         self.paths.append(path)
         return labels
 

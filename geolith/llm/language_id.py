@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import short_batches, table
+from geolith.llm.common import sliced, table
 
 DIMS = 4096
 #: Bytes of a text that are counted at once, so that memory stays bounded for texts of any length.
@@ -170,12 +170,12 @@ def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: floa
     rows = docs.join(ids, F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("__lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = [(x, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if HAS_LETTER(t)]
             found = [pa.array([counts(t).astype("<f4").tobytes() for _, t in pairs], pa.binary()), pa.array([passage(t) for _, t in pairs], pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), *found], ["lang", "counts", "passage"])
 
-    found = short_batches(rows).mapInArrow(run, "lang string, counts binary, passage string").toArrow().sort_by("lang")
+    found = rows.mapInArrow(run, "lang string, counts binary, passage string").toArrow().sort_by("lang")
     languages = found.column("lang").to_pylist()
     if not languages:
         return Centroids(["und"], np.zeros((1, DIMS)), [""], 1, slack)
@@ -195,13 +195,13 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [own.predict(text) for text in batch.column(at).to_pylist()]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "__lang", "__score", "__rejected"])
 
     schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score"), F.lit(False).alias("__rejected")).schema
-    return short_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

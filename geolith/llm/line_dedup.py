@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.common import WHITE, remove, save, short_batches, table
+from geolith.llm.common import WHITE, remove, save, sliced, table
 
 
 def _keys(text: str, min_points: int) -> list[bytes]:
@@ -35,7 +35,7 @@ def _keys(text: str, min_points: int) -> list[bytes]:
 
 def _line_hashes(min_points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = dict.fromkeys(_keys(text or "", min_points))
@@ -85,7 +85,7 @@ def _rebuild(min_points: int, names: list[str]):
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, lines, dropped = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 text = text or ""
@@ -120,7 +120,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout:
     number = F.lit(0)
     for cut in cuts:
         number = number + (F.col("doc_id") > cut).cast("int")
-    hashes = short_batches(rows).mapInArrow(_line_hashes(min_points), "h binary, doc_id long").withColumn("batch", number)
+    hashes = rows.mapInArrow(_line_hashes(min_points), "h binary, doc_id long").withColumn("batch", number)
     staged, staged_path = save(hashes, "linehashes")
     runs = LineRuns(spark, fanout)
     for i in range(len(cuts) + 1):
@@ -133,7 +133,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout:
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[F.col(f"`{n}`") for n in names], "__gone")
     fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    return short_batches(joined).mapInArrow(_rebuild(min_points, names), schema)
+    return joined.mapInArrow(_rebuild(min_points, names), schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
-from geolith.llm.common import save, short_batches, table
+from geolith.llm.common import save, sliced, table
 
 #: Salts that the pieces of one length are dealt over.
 SALTS = 256
@@ -160,17 +160,17 @@ def cut(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = wordtokens.model(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, capacity: int = 2048, rounds: int = 3000) -> DataFrame:

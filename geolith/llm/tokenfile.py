@@ -2,15 +2,16 @@
 
 A file holds whole documents in ascending doc_id order: a header, the documents' ids and token counts,
 and blocks of at most BLOCK token ids.  Every block starts from a fresh model and carries a CRC-32 of its
-ids, so that it can be decoded alone and a damaged one is noticed.  Files are rows (part, seq, data) of a
+ids and their code, so that it can be decoded alone and a damaged one is noticed.  Files are rows (part, seq, data) of a
 Parquet table in the shared folder, which any store that Spark writes to can hold.
 
 Model of a block.  Order 2 and order 1 predict the next id from tables of what followed the same two ids
-or the same id last time, each with a confidence of 0 to 3.  One symbol says which is right: order 2's id,
-order 1's, or neither and then the id's group, its six high bits, as order 0 expects it.  The frequencies
-of the three outcomes are mixed from adaptive counts by both confidences, by order 1's alone and by order
-2's alone; the groups' are adaptive counts.  Both are rebuilt every few ids.  The ten low bits of an id that
-nobody predicted are near uniform and are stored as they are.
+or the same id last time, each with a confidence of 0 to 3.  An outcome says which is right: order 2's id,
+order 1's, or neither.  Its frequencies are mixed from adaptive counts by both confidences, by order 1's
+alone and by order 2's alone.  An id that neither predicted is coded by order 0, as all its bits in three
+steps: its group (the six high bits), five bits as its group has had them, and the last five in one of many
+contexts by the bits before, each with adaptive frequencies.  Outcome and steps are one interval of the
+coder.  Frequencies are rebuilt from the counts every few ids.
 
 The coder works on many blocks at once: step t codes the t-th id of each block with numpy, which keeps
 the sequential model affordable.  Arithmetic is in integers, so that any machine decodes alike.
@@ -21,21 +22,21 @@ doc_id; rows that repeat a doc_id are written one after the other.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
-from geolith.llm.common import save, short_batches, table
+from geolith.llm.common import save, sliced, table
 
 MAGIC = b"GLTK1\n"
 BLOCK = 4096
@@ -45,16 +46,56 @@ FILE_IDS = 1 << 20
 LANES = 4096
 #: Places in the tables of order 1 and order 2.
 SLOTS1, SLOTS2 = 1 << 9, 1 << 10
-#: Low bits of an id that are stored as they are, and groups of ids by their high bits.
-LOW_BITS, GROUPS = 10, 64
-#: Frequencies are out of 2^BITS, those of the groups out of 2^GROUP_BITS.
-BITS, GROUP_BITS = 15, 12
-#: Neither order's prediction gets the last part, so that every group keeps a frequency.
-MISSES = 1 << GROUP_BITS
-REFRESH = 64
-TOP = np.uint64(1 << 32)
-LOW_MASK = np.uint64((1 << 32) - 1)
-SHIFT, SIXTEEN, THIRTY_TWO = np.uint64(BITS), np.uint64(16), np.uint64(32)
+#: Groups of ids by their six high bits, and values of each half of the ten low bits.
+GROUPS, HALF = 64, 32
+#: Frequencies of outcomes, groups and halves are out of 2^bits; together they are the bits of one interval.
+OUTCOME_BITS, GROUP_BITS, HALF_BITS = 12, 10, 7
+ID_BITS = GROUP_BITS + 2 * HALF_BITS
+#: Neither order's prediction gets the last part, so that every id keeps a frequency.
+MISSES = 64
+REFRESH, REFRESH_HALVES = 64, 512
+TOP = np.uint64(1 << 40)
+LOW_MASK = np.uint64((1 << 40) - 1)
+ALL, SHIFT, SIXTEEN, FORTY = np.uint64((1 << 56) - 1), np.uint64(OUTCOME_BITS + ID_BITS), np.uint64(16), np.uint64(40)
+
+
+class Symbols:
+    """Adaptive frequencies, out of 2^bits, of ``size`` symbols in some contexts of each of n blocks."""
+
+    def __init__(self, n: int, contexts: int, size: int, bits: int):
+        self.contexts, self.size, self.bits = contexts, size, bits
+        self.counts = np.ones(n * contexts * size, np.int16)
+        self.refresh(n)
+
+    def refresh(self, n: int) -> None:
+        counts = self.counts[: n * self.contexts * self.size].reshape(-1, self.size)
+        total = counts.sum(1, keepdims=True, dtype=np.int32)
+        if (large := np.flatnonzero(total[:, 0] > 20_000)).size:
+            counts[large] = (counts[large] + 1) >> 1
+            total = counts.sum(1, keepdims=True, dtype=np.int32)
+        starts = np.zeros((len(counts), self.size + 1), np.int16)
+        np.cumsum(1 + counts * np.int32((1 << self.bits) - self.size) // total, 1, out=starts[:, 1:])
+        starts[:, self.size] = 1 << self.bits
+        self.starts = starts.ravel()
+
+    def interval(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = context * (self.size + 1) + symbol
+        start = self.starts.take(at).astype(np.int64)
+        return start, self.starts.take(at + 1) - start
+
+    def find(self, context: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The last symbol that begins at the point or before it."""
+        base = context * (self.size + 1)
+        at, jump = base, self.size >> 1
+        while jump:
+            further = at + jump
+            at = np.where(self.starts.take(further) <= point, further, at)
+            jump >>= 1
+        return at - base
+
+    def count(self, context: np.ndarray, symbol: np.ndarray, missed: np.ndarray) -> None:
+        at = context * self.size + symbol
+        self.counts[at] = self.counts.take(at) + missed
 
 
 class Model:
@@ -65,15 +106,18 @@ class Model:
         self.n = n
         self.table1 = np.zeros(n * SLOTS1, np.int32)  # id and, above it, the confidence
         self.table2 = np.zeros(n * SLOTS2, np.int32)
-        self.base1, self.base2, self.base16, self.base_groups, self.base_starts = row * SLOTS1, row * SLOTS2, row * 16, row * GROUPS, row * (GROUPS + 1)
+        self.row, self.base1, self.base2, self.base16, self.base_half = row, row * SLOTS1, row * SLOTS2, row * 16, row * GROUPS
         self.seen = np.zeros((n * 16, 3), np.int32)
         self.seen[:] = (1, 1, 2)
-        self.groups = np.ones(n * GROUPS, np.int32)
+        self.group = Symbols(n, 1, GROUPS, GROUP_BITS)
+        self.half1, self.half2 = Symbols(n, GROUPS, HALF, HALF_BITS), Symbols(n, GROUPS, HALF, HALF_BITS)
         self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.refresh()
+        self.refresh(0)
 
-    def refresh(self) -> None:
-        """The frequencies from the counts; larger counts are halved."""
+    def refresh(self, t: int) -> None:
+        """Before the t-th id: the frequencies from the counts; larger counts are halved."""
+        if t % REFRESH:
+            return
         n = self.n
         joint = self.seen[: n * 16].reshape(n, 4, 4, 3)
         total = joint.sum((1, 2, 3))
@@ -81,24 +125,20 @@ class Model:
             joint[large] = (joint[large] + 1) >> 1
         mixed = 4 * joint + joint.sum(1, keepdims=True) + 2 * joint.sum(2, keepdims=True)
         mixed = mixed.reshape(n * 16, 3).astype(np.int64)
-        room = (1 << BITS) - MISSES - 2
+        room = (1 << OUTCOME_BITS) - MISSES - 2
         total = mixed.sum(1)
         self.one = 1 + mixed[:, 0] * room // total
         self.two = self.one + 1 + mixed[:, 1] * room // total
-        groups = self.groups[: n * GROUPS].reshape(n, GROUPS)
-        total = groups.sum(1, keepdims=True)
-        if (large := np.flatnonzero(total[:, 0] > 2000)).size:
-            groups[large] = (groups[large] + 1) >> 1
-            total = groups.sum(1, keepdims=True)
-        starts = np.zeros((n, GROUPS + 1), np.int64)
-        np.cumsum(1 + groups * ((1 << GROUP_BITS) - GROUPS) // total, 1, out=starts[:, 1:])
-        starts[:, GROUPS] = 1 << GROUP_BITS
-        self.starts = starts.ravel()
+        if t:
+            self.group.refresh(n)
+            if t % REFRESH_HALVES == 0:
+                self.half1.refresh(n)
+                self.half2.refresh(n)
 
     def shrink(self, n: int) -> None:
         """The first n blocks go on; the others are at their end."""
         self.n = n
-        for name in ("base1", "base2", "base16", "base_groups", "base_starts", "a", "b"):
+        for name in ("row", "base1", "base2", "base16", "base_half", "a", "b"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +151,35 @@ class Model:
         self.context = self.base16 + ((self.c1 << 2) + self.c2)
         return v2 & 0xFFFF, v1 & 0xFFFF, self.one.take(self.context), self.two.take(self.context)
 
+    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id, out of 2^ID_BITS."""
+        group, first, second = ids >> 10, (ids >> 5) & (HALF - 1), ids & (HALF - 1)
+        start, width = self.group.interval(self.row, group)
+        self.context1, self.context2 = self.base_half + group, self._second_context(group, first)
+        for half, context, symbol in ((self.half1, self.context1, first), (self.half2, self.context2, second)):
+            below, part = half.interval(context, symbol)
+            start, width = (start << HALF_BITS) + width * below, width * part
+        return start, width
+
+    def _second_context(self, group: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return self.base_half + ((group * 37 + first * 11) & (GROUPS - 1))
+
+    def order0_at(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds the point, out of 2^ID_BITS; its start and width."""
+        group = self.group.find(self.row, point >> 2 * HALF_BITS)
+        start, width = self.group.interval(self.row, group)
+        point = (point - (start << 2 * HALF_BITS)) // width
+        self.context1 = self.base_half + group
+        first = self.half1.find(self.context1, point >> HALF_BITS)
+        below, part = self.half1.interval(self.context1, first)
+        start, width = (start << HALF_BITS) + width * below, width * part
+        self.context2 = self._second_context(group, first)
+        second = self.half2.find(self.context2, (point - (below << HALF_BITS)) // part)
+        below, part = self.half2.interval(self.context2, second)
+        return (group << 10) + (first << 5) + second, (start << HALF_BITS) + width * below, width * part
+
     def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, missed: np.ndarray) -> None:
+        """After order0 or order0_at; where neither order was right order 0 learns too."""
         outcome = np.where(right2, 0, 1 + missed)
         at = self.context * 3 + outcome
         seen = self.seen.reshape(-1)
@@ -119,8 +187,11 @@ class Model:
         ids32 = ids.astype(np.int32)
         self.table1[self.at1] = ids32 + ((np.minimum(self.c1 + 1, 3) * right1) << 16)
         self.table2[self.at2] = ids32 + ((np.minimum(self.c2 + 1, 3) * right2) << 16)
-        at = self.base_groups + (ids >> LOW_BITS)
-        self.groups[at] = self.groups.take(at) + 12 * missed
+        missed = missed.astype(np.int16)
+        self.group.count(self.row, ids >> 10, 12 * missed)
+        missed *= 6
+        self.half1.count(self.context1, (ids >> 5) & (HALF - 1), missed)
+        self.half2.count(self.context2, ids & (HALF - 1), missed)
         self.b = self.a
         self.a = ids
 
@@ -144,13 +215,12 @@ def _active(lengths: np.ndarray, steps: int) -> np.ndarray:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     n, steps = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.uint16)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
     model = Model(n)
-    low, size = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
+    low, size = np.zeros(n, np.uint64), np.full(n, ALL)
     words: list[tuple[np.ndarray, np.ndarray]] = []
-    all_missed = np.zeros((steps, n), bool)
     ended: list[np.ndarray] = []
     active = _active(lengths, steps)
     for t in range(steps):
@@ -159,52 +229,44 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             model.shrink(m)
             ended.append(low[m:])
             low, size = low[:m], size[:m]
-        if t % REFRESH == 0 and t:
-            model.refresh()
-        own = ids[t, :m]
+        if t:
+            model.refresh(t)
+        own = ids[t, :m].astype(np.int64)
         p2, p1, one, two = model.predict()
         right2, right1 = p2 == own, p1 == own
-        hit = right2 | right1
-        missed = ~hit
-        all_missed[t, :m] = missed
-        at = model.base_starts + (own >> LOW_BITS)
-        room = (1 << BITS) - two
-        start = np.where(right2, 0, np.where(right1, one, two + (room * model.starts.take(at) >> GROUP_BITS)))
-        end = np.where(right2, one, np.where(right1, two, two + (room * model.starts.take(at + 1) >> GROUP_BITS)))
+        missed = ~(right2 | right1)
+        start, width = _interval(one, two, right2, missed, *model.order0(own))
         part = size >> SHIFT
         low = low + part * start.view(np.uint64)
-        size = part * (end - start).view(np.uint64)
-        small = np.flatnonzero(size < TOP)
-        if len(small):
+        size = part * width.view(np.uint64)
+        small = np.flatnonzero(size < TOP).astype(np.uint16)
+        while len(small):
             of = low.take(small)
-            words.append((small, (of >> THIRTY_TWO).astype(np.uint32)))
+            words.append((small, (of >> FORTY).astype(np.uint32)))
             low[small] = (of & LOW_MASK) << SIXTEEN
-            size[small] = size.take(small) << SIXTEEN
+            of = size.take(small) << SIXTEEN
+            size[small] = of
+            small = small[of < TOP]
         model.update(own, right2, right1, missed)
     low = np.concatenate([low, *reversed(ended)])
-    for _ in range(3):  # the last 48 bits
-        words.append((np.arange(n), (low >> THIRTY_TWO).astype(np.uint32)))
+    for _ in range(4):  # the last 56 bits
+        words.append((np.arange(n, dtype=np.uint16), (low >> FORTY).astype(np.uint32)))
         low = (low & LOW_MASK) << SIXTEEN
-    coded = _carried(words, n)
-    return [struct.pack("<I", len(c)) + c + _low_bits(ids[:, i][all_missed[:, i]]) for i, c in enumerate(coded)]
+    return _carried(words, n)
 
 
-def _low_bits(ids: np.ndarray) -> bytes:
-    bits = (ids[:, None] >> np.arange(LOW_BITS)[::-1]) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def _from_low_bits(raw: bytes) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8))
-    bits = bits[: len(bits) // LOW_BITS * LOW_BITS].reshape(-1, LOW_BITS)
-    return bits @ (1 << np.arange(LOW_BITS)[::-1])
+def _interval(one: np.ndarray, two: np.ndarray, right2: np.ndarray, missed: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of an outcome and, within "neither", of order 0's interval."""
+    room = (1 << OUTCOME_BITS) - two
+    start = np.where(missed, (two << ID_BITS) + room * start, np.where(right2, 0, one << ID_BITS))
+    return start, np.where(missed, room * width, np.where(right2, one, two - one) << ID_BITS)
 
 
 def _carried(words: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[bytes]:
     """Each block's 16-bit words in order, with carries taken to the words before."""
     lane = np.concatenate([w[0] for w in words])
     value = np.concatenate([w[1] for w in words]).astype(np.int64)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane, kind="stable")  # by radix, as lanes have 16 bits
     value = value[order]
     ends = np.cumsum(np.bincount(lane, minlength=n))
     while (over := np.flatnonzero(value > 0xFFFF)).size:
@@ -230,53 +292,42 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     n, steps = len(payloads), int(lengths.max(initial=0))
     ids = np.zeros((steps, n), np.uint16)
     model = Model(n)
-    coded, raw = [], []
-    for payload in payloads:
-        (k,) = struct.unpack_from("<I", payload)
-        coded.append(payload[4 : 4 + k])
-        raw.append(_from_low_bits(payload[4 + k :]))
-    sizes = np.array([len(c) // 2 for c in coded])
-    words = np.concatenate([np.frombuffer(b"".join(coded), ">u2").astype(np.uint64), np.zeros(8, np.uint64)])
+    sizes = np.array([len(p) for p in payloads])
+    raw = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint16)
+    words = (raw[:-1] << 8) | raw[1:]  # the 16 bits from each byte on
     place = np.cumsum(sizes) - sizes
-    raw_sizes = np.array([len(r) for r in raw])
-    raw_place = np.cumsum(raw_sizes) - raw_sizes
-    raw_bits = np.concatenate([*raw, np.zeros(8, np.int64)])
-    code = (words[place] << THIRTY_TWO) | (words[place + 1] << SIXTEEN) | words[place + 2]
-    place = place + 3
-    size = np.full(n, (1 << 48) - 1, np.uint64)
-    last, raw_last = len(words) - 1, len(raw_bits) - 1
+    code = np.zeros(n, np.uint64)
+    for i in range(0, 8, 2):
+        code = (code << SIXTEEN) | words[place + i]
+    code >>= np.uint64(8)
+    place = place + 7
+    size = np.full(n, ALL)
+    last = len(words) - 1
     active = _active(lengths, steps)
     for t in range(steps):
         if (m := int(active[t])) < model.n:
             model.shrink(m)
-            code, size, place, raw_place = code[:m], size[:m], place[:m], raw_place[:m]
-        if t % REFRESH == 0 and t:
-            model.refresh()
+            code, size, place = code[:m], size[:m], place[:m]
+        if t:
+            model.refresh(t)
         p2, p1, one, two = model.predict()
         part = size >> SHIFT
-        slot = np.minimum(code // part, np.uint64((1 << BITS) - 1)).view(np.int64)
-        right2 = slot < one
-        missed = slot >= two
-        room = (1 << BITS) - two
-        # The last group that begins at the slot or before it.
-        point = np.maximum((((slot - two + 1) << GROUP_BITS) - 1) // room, 0)
-        at = model.base_starts
-        for jump in (32, 16, 8, 4, 2, 1):
-            further = at + jump
-            at = np.where(model.starts.take(further) <= point, further, at)
-        group = at - model.base_starts
-        start = np.where(right2, 0, np.where(missed, two + (room * model.starts.take(at) >> GROUP_BITS), one))
-        end = np.where(right2, one, np.where(missed, two + (room * model.starts.take(at + 1) >> GROUP_BITS), two))
-        own = np.where(right2, p2, np.where(missed, (group << LOW_BITS) + raw_bits.take(np.minimum(raw_place, raw_last)), p1))
-        raw_place = raw_place + missed
+        slot = np.minimum(code // part, np.uint64((1 << int(SHIFT)) - 1)).view(np.int64)
+        outcome = slot >> ID_BITS
+        right2, missed = outcome < one, outcome >= two
+        id0, start, width = model.order0_at(np.maximum(slot - (two << ID_BITS), 0) // ((1 << OUTCOME_BITS) - two))
+        own = np.where(missed, id0, np.where(right2, p2, p1))
+        start, width = _interval(one, two, right2, missed, start, width)
         code = code - part * start.view(np.uint64)
-        size = part * (end - start).view(np.uint64)
+        size = part * width.view(np.uint64)
         small = np.flatnonzero(size < TOP)
-        if len(small):
+        while len(small):
             where = place.take(small)
             code[small] = (code.take(small) << SIXTEEN) | words.take(np.minimum(where, last))
-            place[small] = where + 1
-            size[small] = size.take(small) << SIXTEEN
+            place[small] = where + 2
+            of = size.take(small) << SIXTEEN
+            size[small] = of
+            small = small[of < TOP]
         ids[t, :m] = own
         model.update(own, right2, p1 == own, missed)
     return [np.ascontiguousarray(ids[:length, i]) for i, length in enumerate(counts)]
@@ -296,12 +347,17 @@ def write_files(documents: list[list[tuple[int, np.ndarray]]]) -> list[bytes]:
         index = zlib.compress(np.array([x[0] for x in own], "<i8").tobytes() + np.array([len(x[1]) for x in own], "<i8").tobytes(), 1)
         parts = [MAGIC, struct.pack("<III", len(own), len(index), n), index]
         for block, payload in zip(blocks[at : at + n], payloads[at : at + n], strict=True):
-            parts += [struct.pack("<III", len(block), len(payload), zlib.crc32(block.astype("<u4").tobytes())), payload]
+            parts += [struct.pack("<III", len(block), len(payload), _sum(block, payload)), payload]
         out.append(b"".join(parts))
         at += n
     return out
 
 
+def _sum(block: np.ndarray, payload: bytes) -> int:
+    """CRC-32 of a block's ids and of their code."""
+    return zlib.crc32(payload, zlib.crc32(block.astype("<u4").tobytes()))
+
+
 def read_files(files: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """The documents of each file; ValueError if a checksum does not hold."""
     heads, payloads, lengths, sums = [], [], [], []
@@ -319,8 +375,8 @@ def read_files(files: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
             sums.append(crc)
             at += 12 + size
     blocks = decode_blocks(payloads, lengths)
-    for block, crc in zip(blocks, sums, strict=True):
-        if zlib.crc32(block.astype("<u4").tobytes()) != crc:
+    for block, payload, crc in zip(blocks, payloads, sums, strict=True):
+        if _sum(block, payload) != crc:
             raise ValueError("a block's checksum does not hold")
     out, at = [], 0
     for ids_of, counts, n in heads:
@@ -335,30 +391,27 @@ def read_files(files: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
 TOGETHER = 16
 
 
-def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2, docs_per_part: int = 8192) -> DataFrame:
+def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2, parts: int | None = None) -> DataFrame:
     """Writes the token ids of docs; returns the table of files (part, seq, n_ids, data), read back.
 
-    Parts are ascending ranges of doc_id, cut at quantiles, and files within a part are numbered by seq.
+    Parts are ascending ranges of doc_id, as many as given or else as the session's shuffles have (adaptive execution
+    joins small ones); files within a part are numbered by seq.  Vocabularies with ids above 65535 are refused.
     """
     spark = docs.sparkSession
-    path = vocabulary_path or public_tokenizers.path("word_bpe_49k.json")
-    shipped = spark.sparkContext.broadcast(read_vocabulary(path))
+    vocabulary = read_vocabulary(vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.loads(vocabulary)
+    if max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 0xFFFF:
+        raise ValueError("ids above 65535 do not fit into the files")
+    shipped = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    n_parts = max(1, -(-rows.select("doc_id").count() // docs_per_part))
-    cuts = sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 1 / (8 * n_parts)))) if n_parts > 1 else []
-    limits = spark.sparkContext.broadcast(np.array(cuts))
-
-    @F.pandas_udf(T.IntegerType())
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits.value, ids.to_numpy(), "left").astype(np.int32))
-
-    dealt = rows.withColumn("part", part_of("doc_id")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")
+    dealt = (rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id")
     end = np.array([end_id], np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = wordtokens.model(shipped.value)
+        part = TaskContext.get().partitionId()
         files: list[list] = []
-        held, seq, part = FILE_IDS, 0, 0
+        held, seq = FILE_IDS, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
@@ -366,28 +419,28 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2,
             first, seq = seq, seq + len(data)
             return pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array(range(first, seq), pa.int32()), pa.array([sum(len(d[1]) for d in f) for f in files], pa.int64()), pa.array(data, pa.binary())], ["part", "seq", "n_ids", "data"])
 
-        for batch in batches:
-            for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):  # noqa: B007
+        for batch in sliced(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 if held >= FILE_IDS:
                     if len(files) == TOGETHER:
                         yield flush()
                         files = []
                     files.append([])
                     held = 0
-                ids = np.concatenate([np.frombuffer(encoder.encode(text), "<u4").astype(np.uint16), end])
+                ids = np.concatenate([np.frombuffer(ids, "<u4").astype(np.uint16), end])
                 files[-1].append((doc_id, ids))
                 held += len(ids)
         if files:
             yield flush()
 
-    files = short_batches(dealt).mapInArrow(run, "part int, seq int, n_ids long, data binary")
+    files = dealt.mapInArrow(run, "part int, seq int, n_ids long, data binary")
     return save(files, "tokens")[0]
 
 
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files of write()."""
     sizes = files.select("part", "seq", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for every docs_per_part documents
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,5 +1,6 @@
 """Tokenizers, token files, packing, vector search, page text."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -43,8 +44,10 @@ def test_byte_bpe_equals_the_library():
 
 def test_byte_bpe_tables(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(ODD)], "doc_id long, text string, `__ids` string")
-    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df, path), path).collect()}
+    df = spark.createDataFrame([(i, t, "k", "c") for i, t in enumerate(ODD)], "doc_id long, text string, ids string, `a b` string")
+    encoded = bpe.encode(df, path)
+    assert sorted(encoded.columns) == ["a b", "doc_id", "ids"]
+    back = {r.doc_id: r.text for r in bpe.decode(encoded.withColumn("text", F.lit("clash")), path).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}
     assert bpe.encode(df.limit(0), path).count() == 0
 
@@ -70,6 +73,37 @@ def test_range_coder_round_trip(kind):
         assert sum(map(len, payloads)) < 1000
 
 
+def test_range_coder_shrinks_real_ids():
+    model = wordtokens.WordTokens(bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    ids = np.concatenate([np.frombuffer(model.encode(t), "<u4") for t in texts(200)]).astype(np.uint16)
+    blocks = [ids[i : i + tokenfile.BLOCK] for i in range(0, len(ids), tokenfile.BLOCK)]
+    assert sum(map(len, tokenfile.encode_blocks(blocks))) < 0.7 * 2 * len(ids)
+    steps = [np.tile(np.arange(i, i + 40, dtype=np.uint16) * 1000, 100) for i in (0, 3)]  # order 0 alone knows these ids once shuffled
+    mixed = [np.random.default_rng(2).permutation(s) for s in steps]
+    assert sum(map(len, tokenfile.encode_blocks(mixed))) < 0.6 * 2 * sum(map(len, mixed))
+
+
+def test_token_files_refuse_large_ids(spark, tmp_path):
+    import json
+
+    spec = json.loads(bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    spec["model"]["vocab"]["zzzzzzzz</w>"] = 70_000
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        tokenfile.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(path))
+
+
+def test_byte_bpe_query(spark):
+    theirs = library("byte_bpe_50k.json")
+    want = {}
+    for doc_id, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False).encode()
+        want[doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
+    assert {r.doc_id: tuple(r)[1:] for r in bpe.op2_bpe(spark, SF).collect()} == want
+
+
 def test_token_files_notice_damage():
     data = tokenfile.write_files([[(1, np.arange(300, dtype=np.uint16)), (2, np.zeros(0, np.uint16))]])[0]
     assert [(d, ids.tolist()) for d, ids in tokenfile.read_files([data])[0]] == [(1, list(range(300))), (2, [])]
@@ -92,7 +126,7 @@ def test_token_file_query(spark):
 
 def test_token_files_of_odd_tables(spark):
     df = spark.createDataFrame([(3, None), (1, ""), (2, "a b"), (2, "c"), (None, "x")], "doc_id long, text string").withColumn("part", F.lit("clash"))
-    got = sorted(tuple(r)[:3] for r in tokenfile.read(tokenfile.write(df, docs_per_part=2)).collect())
+    got = sorted(tuple(r)[:3] for r in tokenfile.read(tokenfile.write(df, parts=2)).collect())
     assert [g[0] for g in got] == [1, 2, 2, 3] and [g[1] for g in got] == [0, 1, got[2][1], 6] and sum(g[2] for g in got) == 7
     assert tokenfile.read(tokenfile.write(df.limit(0))).count() == 0
 
