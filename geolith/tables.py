@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def save(df: DataFrame, tag: str, **options: object) -> tuple[DataFrame, str]:
+#: Paths of the tables that were written in each open scratch().
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that operators saved inside.
+
+    Operators return plans over tables of theirs, so results are to be written or collected inside.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_OPEN.pop())
+
+
+def save(df: DataFrame, tag: str, scratch: bool = True, **options: object) -> tuple[DataFrame, str]:
     """Writes df as Parquet to the shared folder and returns the table read back, and its path.
 
     This cuts the lineage: an executor that is lost later costs no recomputation of what lies before.
+    With scratch=False the table outlives an open scratch().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geolith-{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     for key, value in options.items():
         writer = writer.option(key, value)
+    if _OPEN and scratch:
+        _OPEN[-1].append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
