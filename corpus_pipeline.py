@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.llm import jaccard_join, language_id, line_dedup, packing, quality
-from geolith.llm.common import save, table
+from geolith.llm.common import remove, save, table
+from geolith.tables import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs, _ = save(stage(spark, docs, sf_dir), f"stage{i}")
+        with scratch(spark):  # a stage's own tables go when it is written, and its input as well
+            out, written = save(stage(spark, docs, sf_dir), f"stage{i}", scratch=False)
+        if path:
+            remove(spark, path)
+        docs, path = out, written
     return docs
