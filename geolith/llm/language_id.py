@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import sliced, table
+from geolith.llm.common import remove, save, sliced, table
 
 DIMS = 4096
 #: Bytes of a text that are counted at once, so that memory stays bounded for texts of any length.
@@ -81,51 +81,20 @@ def passage(text: str) -> str:
 class Centroids:
     """idf, centroids, their languages and least cosines by number of n-grams."""
 
-    def __init__(self, languages: list[str], found: np.ndarray, passages: list[str], clusters: int, slack: float):
-        """found, passages: counts and a passage of each training text, a row for each entry of languages."""
-        self.idf = np.log((1.0 + len(found)) / (1.0 + (found > 0).sum(0))) + 0.1
-        vectors = self.vectors(found)
-        rows, self.languages, self.limits = [], [], []
-        for language in sorted(set(languages)):
-            at = np.flatnonzero([x == language for x in languages])
-            own = vectors[at]
-            centres = _kmeans(own, clusters)
-            rows.append(centres)
-            self.languages += [language] * len(centres)
-            self.limits.append(self._limits(own, centres, [passages[i] for i in at], slack))
-        self.names = sorted(set(languages))
-        self.rows = np.concatenate(rows)
-        self.of = np.array([self.names.index(x) for x in self.languages])
-
-    def _limits(self, own: np.ndarray, centres: np.ndarray, passages: list[str], slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """Logarithms of numbers of n-grams, rising, and the least cosine at each."""
-        nearest = (own @ centres.T).argmax(1)
-        sums = np.array([own[nearest == k].sum(0) for k in range(len(centres))])
-        others = _unit(sums[nearest] - own)  # a text's centre without the text
-
-        def low(rows: np.ndarray, at: np.ndarray) -> float:
-            cosine = rows @ centres.T
-            cosine[np.arange(len(at)), nearest[at]] = (rows * others[at]).sum(1)
-            return slack * float(np.quantile(cosine.max(1), LOW))
-
-        whole, sizes, least = low(own, np.arange(len(own))), [], []
-        for width in PASSAGES:
-            at = np.array([i for i, x in enumerate(passages) if len(x) >= width and HAS_LETTER(x[:width])], int)
-            if len(at):
-                found = np.array([counts(passages[i][:width]) for i in at])
-                sizes.append(float(np.log1p(np.median(found.sum(1)))))
-                least.append(min(whole, low(self.vectors(found), at)))
-        return np.maximum.accumulate(np.array(sizes or [0.0])), np.array(least or [whole])
-
-    def vectors(self, found: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(found) * self.idf)
+    def __init__(self, idf: np.ndarray, languages: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """languages: the centroids of each, logarithms of numbers of n-grams, rising, and the least cosine at each."""
+        self.idf = idf
+        self.names = sorted(languages)
+        self.limits = [languages[x][1:] for x in self.names]
+        self.rows = np.concatenate([languages[x][0] for x in self.names])
+        self.of = np.repeat(np.arange(len(self.names)), [len(languages[x][0]) for x in self.names])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the text is rejected."""
         if not text or not HAS_LETTER(text):
             return "und", 0.0, True
         found = counts(text)
-        cosine = self.rows @ self.vectors(found[None, :])[0]
+        cosine = self.rows @ _vectors(found[None, :], self.idf)[0]
         best = np.full(len(self.names), -1.0)
         np.maximum.at(best, self.of, cosine)
         at = int(best.argmax())
@@ -133,6 +102,10 @@ class Centroids:
         return self.names[at], float(1.0 / odds.sum()), bool(best[at] < np.interp(np.log1p(found.sum()), *self.limits[at]))
 
 
+def _vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(found) * idf)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -152,12 +125,56 @@ def _kmeans(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
     return _unit(centres)
 
 
+def _limits(own: np.ndarray, centres: np.ndarray, passages: list[str], idf: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of numbers of n-grams, rising, and the least cosine at each."""
+    nearest = (own @ centres.T).argmax(1)
+    sums = np.array([own[nearest == k].sum(0) for k in range(len(centres))])
+
+    def low(rows: np.ndarray, at: np.ndarray) -> float:
+        cosine = rows @ centres.T
+        others = _unit(sums[nearest[at]] - own[at])  # a text's centre without the text
+        cosine[np.arange(len(at)), nearest[at]] = (rows * others).sum(1)
+        return slack * float(np.quantile(cosine.max(1), LOW))
+
+    whole, sizes, least = low(own, np.arange(len(own))), [], []
+    for width in PASSAGES:
+        at = np.array([i for i, x in enumerate(passages) if len(x) >= width and HAS_LETTER(x[:width])], int)
+        if len(at):
+            found = np.array([counts(passages[i][:width]) for i in at])
+            sizes.append(float(np.log1p(np.median(found.sum(1)))))
+            least.append(min(whole, low(_vectors(found, idf), at)))
+    return np.maximum.accumulate(np.array(sizes or [0.0])), np.array(least or [whole])
+
+
+def _fitted(idf: np.ndarray, clusters: int, slack: float):
+    """Centroids and limits of one language's training texts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        matrix = np.zeros((rows.num_rows, DIMS), np.float32)
+        for i, (places, values) in enumerate(zip(rows.column("places").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
+            matrix[i, np.frombuffer(places, "<u2")] = np.frombuffer(values, "<f4")
+        order = np.lexsort((rows.column("digest").to_numpy(),))  # the same texts give the same centroids
+        own = _vectors(matrix[order], idf)
+        passages = rows.column("passage").to_pylist()
+        centres = _kmeans(own, clusters)
+        sizes, least = _limits(own, centres, [passages[i] for i in order.tolist()], idf, slack)
+        return pa.table({"lang": rows.column("lang")[:1], "centres": [centres.astype("<f4").tobytes()], "sizes": [sizes.tolist()], "least": [least.tolist()]}, _MODEL)
+
+    return run
+
+
+_MODEL = pa.schema([("lang", pa.string()), ("centres", pa.binary()), ("sizes", pa.list_(pa.float64())), ("least", pa.list_(pa.float64()))])
+
+
 def held_out(of: str = "doc_id") -> Column:
     return F.crc32(F.col(of).cast("string")) % 4 == 2
 
 
 def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: float = 0.5) -> Centroids:
-    """The model, from rows with a language that are not held out."""
+    """The model, from rows with a language that are not held out.
+
+    Texts are counted and each language's k-means runs in the executors; the driver gets the idf and the centroids.
+    """
     hashed = F.xxhash64("doc_id")
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
     chosen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "lang")
@@ -169,21 +186,36 @@ def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: floa
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).dropDuplicates(["__id"]))
     rows = docs.join(ids, F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("__lang", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             pairs = [(x, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if HAS_LETTER(t)]
-            found = [pa.array([counts(t).astype("<f4").tobytes() for _, t in pairs], pa.binary()), pa.array([passage(t) for _, t in pairs], pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), *found], ["lang", "counts", "passage"])
-
-    found = rows.mapInArrow(run, "lang string, counts binary, passage string").toArrow().sort_by("lang")
-    languages = found.column("lang").to_pylist()
-    if not languages:
-        return Centroids(["und"], np.zeros((1, DIMS)), [""], 1, slack)
-    matrix = np.array([np.frombuffer(x, "<f4") for x in found.column("counts").to_pylist()], float)
-    passages = found.column("passage").to_pylist()
-    del found
-    order = np.lexsort([*matrix[:, :4].T, np.array(languages)])
-    return Centroids([languages[i] for i in order], matrix[order], [passages[i] for i in order], clusters, slack)
+            found = [counts(t) for _, t in pairs]
+            places = [np.flatnonzero(x) for x in found]
+            columns = [
+                pa.array([x for x, _ in pairs], pa.string()), pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()),
+                pa.array([x[p].astype("<f4").tobytes() for x, p in zip(found, places, strict=True)], pa.binary()), pa.array([passage(t) for _, t in pairs], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "places", "counts", "passage"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many texts of a task each place occurs; place DIMS counts the texts."""
+        found = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            for places in batch.column(0).to_pylist():
+                found[np.frombuffer(places, "<u2")] += 1
+                found[DIMS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(found)], ["place", "n"])
+
+    found, path = save(rows.mapInArrow(counted, "lang string, places binary, counts binary, passage string").withColumn("digest", F.xxhash64("counts", "passage")), "languages")
+    total = found.select("places").mapInArrow(held, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").toArrow().column("n").to_numpy()
+    if not len(total) or not total[DIMS]:
+        model = Centroids(np.zeros(DIMS), {"und": (np.zeros((1, DIMS)), np.zeros(1), np.zeros(1))})
+    else:
+        idf = np.log((1.0 + total[DIMS]) / (1.0 + total[:DIMS])) + 0.1
+        fitted = found.groupBy("lang").applyInArrow(_fitted(idf, clusters, slack), "lang string, centres binary, sizes array<double>, least array<double>").collect()
+        model = Centroids(idf, {x.lang: (np.frombuffer(x.centres, "<f4").reshape(-1, DIMS).astype(float), np.array(x.sizes), np.array(x.least)) for x in fitted})
+    remove(docs.sparkSession, path)
+    return model
 
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
