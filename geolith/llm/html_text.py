@@ -1,16 +1,17 @@
 """Main text of web pages with site template removal.
 
-Each page is parsed into a tree.  Every element's subtree is hashed; Spark counts on how many pages of a
+Each page is parsed into a tree.  Every element's subtree is hashed; Spark counts on how many distinct pages of a
 host each hash occurs.  Subtrees that recur on at least ``share`` of a host's pages (and ``least`` pages)
 are its template and are deleted, except paragraphs and headings inside an article: a sentence that many
-articles quote is still text.  Elements that are no text by their kind (navigation, scripts, forms and the
-like) or by the words of their class, id or role go as well; for a word of its class or id none goes that
-holds the only articles or most of the text.  What is left of the articles of a page, or of its main
-elements, or of its body, is the text.
+articles quote is still text.  The page itself, its body and main elements are never template, nor is an
+article unless another is left; where nothing else would be left, the page keeps its template.  Elements that
+are no text by their kind (navigation, scripts, forms and the like), by their role or by a name among their
+classes or id go as well; for a name none goes that holds the only articles or most of the text.  What is left
+of the articles of a page, or of its main elements, or of its body, is the text.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined by one
 space.  Null html counts as empty and gives an empty text; pages without a host have no template; broken
-markup is read as far as it goes.  Repeated rows count once each.
+markup is read as far as it goes.  Repeated rows give their text each and count as one page.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.common import save, sliced, table
+from geolith.llm.common import remove, save, sliced, table
 
 # Kinds of elements, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +46,12 @@ NO_TEXT_WORDS = frozenset(
     "aside widget related recommended share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
     "comment comments reply replies respond disqus toolbar pagination pager skip".split()
 )
-#: Of these, words of what may hold articles of its own and still is no text.
+#: Words that say nothing in the name of a class: "ad-box" is an ad, "has-sidebar" is no sidebar.
+PLAIN_WORDS = frozenset("area bar bars block bottom box button buttons container content footer form global group header holder icons inner item items js left links list main outer page panel posts right row section site slot template the top unit wrap wrapper zone".split())
+#: Of NO_TEXT_WORDS, those of what may hold articles of its own and still is no text.
 SIDE_WORDS = frozenset("comment comments reply replies respond disqus related recommended ad ads adv advert adverts advertisement sponsored promo".split())
+#: Elements that are a page's own even if they recur.
+NEVER_TEMPLATE = frozenset(("#root", "html", "body", "main"))
 #: Elements inside an article that are deleted as template; others there are text.
 ARTICLE_TEMPLATE = frozenset("div section ul ol dl table figure details".split())
 
@@ -80,8 +85,10 @@ def _is_no_text(tag: str, source: str) -> tuple[bool, frozenset[str]]:
         if name == "hidden" or (name == "role" and value.lower() in NO_TEXT_ROLES):
             return True, frozenset()
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-    words &= NO_TEXT_WORDS
+            for token in value.split():
+                of = {w.lower() for w in _WORD.findall(token)}
+                if of <= NO_TEXT_WORDS | PLAIN_WORDS:
+                    words |= of & NO_TEXT_WORDS
     return bool(words), frozenset(words)
 
 
@@ -169,7 +176,7 @@ def _end(stack: list[Node], tags: tuple[str, ...], fences: tuple[str, ...]) -> N
 
 
 def digests(root: Node) -> list[int]:
-    """Hashes every subtree, and returns the distinct hashes of those with text."""
+    """Hashes every subtree, and returns the distinct hashes of those with text that can be template."""
     found = set()
     order, todo = [], [root]
     while todo:
@@ -186,19 +193,19 @@ def digests(root: Node) -> list[int]:
                 parts.append("\x01" + " ".join(words))
                 node.text = True
         node.digest = xxhash.xxh3_64_intdigest("\x02".join(parts)) - (1 << 63)
-        if node.text and node is not root:
+        if node.text and node.tag not in NEVER_TEMPLATE:
             found.add(node.digest)
     return sorted(found)
 
 
 def _contents(root: Node, template: frozenset[int]) -> list[Node]:
-    """The outermost articles, or else the main elements, or else the whole page."""
+    """The outermost articles (those that don't recur, if there are any), or else the main elements, or else the whole page."""
     articles: list[Node] = []
     mains: list[Node] = []
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        if node.dropped or (node.tag != "article" and node.digest in template):
+        if node.dropped:
             continue
         if node.tag == "article":
             articles.append(node)
@@ -206,14 +213,13 @@ def _contents(root: Node, template: frozenset[int]) -> list[Node]:
         if node.tag == "main" and not inside:
             mains.append(node)
         todo += [(c, inside or node.tag == "main") for c in reversed(node.children) if c.__class__ is Node]
-    return articles or mains or [root]
+    return [x for x in articles if x.digest not in template] or articles or mains or [root]
 
 
 def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The main text of a parsed page, without the subtrees in template (hashes; needs digests() first)."""
     out: list[str] = []
-    contents = _contents(root, template)
-    for content in contents:
+    for content in _contents(root, template):
         inside = content.tag == "article"
         todo: list = [content]
         while todo:
@@ -224,13 +230,14 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
             if node is not content:
                 if node.dropped or (node.tag == "header" and not inside):
                     continue
-                if template and node.digest in template and (not inside or node.tag in ARTICLE_TEMPLATE):
+                if node.digest in template and node.tag not in NEVER_TEMPLATE and (not inside or node.tag in ARTICLE_TEMPLATE):
                     continue
             if node.tag not in INLINE:
                 out.append(" ")
                 todo.append(" ")
             todo += reversed(node.children)
-    return " ".join("".join(out).split())
+    text = " ".join("".join(out).split())
+    return text if text or not template else extract(root)
 
 
 def host(url: str | None) -> str | None:
@@ -242,12 +249,14 @@ def host(url: str | None) -> str | None:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        hosts, lists = [], []
+        hosts, pages, lists = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if at := host(url):
+                root = parse(page)
+                lists.append(digests(root))
                 hosts.append(at)
-                lists.append(digests(parse(page)))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["host", "digests"])
+                pages.append(root.digest)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["host", "page", "digests"])
 
 
 def _texts(names: list[str]):
@@ -273,21 +282,24 @@ def _host_of(urls: pd.Series) -> pd.Series:
 
 
 def templates(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on many of a host's pages.
+    """(host, template): the hashes of the subtrees that recur on many of a host's distinct pages.
 
     A host has at most 1 / share times as many as a page has elements, so that the arrays stay small.
     """
-    found, _ = save(pages.select("url", "html").mapInArrow(_subtrees, "host string, digests array<long>"), "subtrees")
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found, path = save(pages.select("url", "html").mapInArrow(_subtrees, "host string, page long, digests array<long>"), "subtrees")
+    once = found.groupBy("host", "page").agg(F.first("digests").alias("digests"))
+    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     often = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template"))
+    out, _ = save(often.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template")), "templates")
+    remove(pages.sparkSession, path)
+    return out
 
 
 def extract_text(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFrame:
     """All columns of pages but html, and text, which replaces a column of that name."""
     pages = pages.drop("__host", "__template")
-    found, _ = save(templates(pages, share, least), "templates")
+    found = templates(pages, share, least)
     keep = [c for c in pages.columns if c not in ("html", "text")]
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], "html", _host_of("url").alias("__host"))
     rows = rows.join(found.toDF("__host", "__template"), "__host", "left").select(*[F.col(f"`{c}`") for c in keep], "html", "__template")

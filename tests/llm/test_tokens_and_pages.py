@@ -248,6 +248,10 @@ def test_page_text():
         ("<div class='post share-enabled'><article><p>Text.</p><div class='share'>y</div></article></div><div>Long words beside the article.</div>", "Text."),
         ("<article>Text.</article><div class='comments'><article>A long comment on the text.</article></div>", "Text."),
         ("<main><p>One.</p></main><div>x</div><main><p>Two.</p></main>", "One. Two."),
+        ("<div class='post no-comments'><p>a</p></div><div class='comments'>x</div><p>more of it</p>", "a more of it"),
+        ("<div class='article-notice'><p>a</p></div><div class='notice'>x</div><p>more of it</p>", "a more of it"),
+        ("<div class='share-buttons-enabled'><p>a</p></div><div class='share-buttons'>x</div><p>more of it</p>", "a more of it"),
+        ("<article class='post related-posts-on'><p>a</p></article><div class='related-posts'><article>x</article></div>", "a"),
     ],
 )
 def test_only_what_is_no_text_is_dropped(body, want):
@@ -256,6 +260,42 @@ def test_only_what_is_no_text_is_dropped(body, want):
     assert html_text.extract(root) == want
 
 
+def test_repeated_pages_keep_their_text(spark):
+    same = page("<div>Menu</div><div><p>The same text.</p></div>")
+    rows = [(i, "https://h.example/", same) for i in range(30)] + [(100 + i, f"https://h.example/{i}", page(f"<div>Menu</div><div><p>Text {i}.</p></div>")) for i in range(20)]
+    # Pages of another host differ in an attribute-free remark only: all their elements recur.
+    rows += [(200 + i, "https://g.example/", page(f"<div><p>All alike.</p></div><!-- {i} -->") + f"<p>{'x' * (i % 2)}</p>") for i in range(20)]
+    rows += [(300, "https://long.example/", page("<p>" + "word &amp; " * 300_000 + "</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert {got[i] for i in range(30)} == {"The same text."}
+    assert [got[100 + i] for i in range(20)] == [f"Text {i}." for i in range(20)]
+    assert got[200] == "All alike." and got[300] == ("word & " * 300_000).strip()
+
+
+def test_teasers_of_other_articles_go(spark):
+    teaser = "<div><article>Read about lakes</article><article>Read about hills</article></div>"
+    rows = [(i, f"https://h.example/{i}", page(f"<article><p>Text number {i}.</p></article>{teaser}")) for i in range(20)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Text number {i}." for i in range(20)}
+
+
+def test_templates_equal_a_plain_count(spark):
+    rng = random.Random(3)
+    pool = [f"<div>Part {i}</div>" for i in range(12)]
+    rows = [(i, f"https://h{i % 3}.example/{i}", page("".join(rng.sample(pool, 4)) + f"<p>{rng.randrange(60)}</p>")) for i in range(120)]
+    rows += rows[:10]
+    seen, pages = defaultdict(set), defaultdict(set)
+    for _, url, text in rows:
+        at = html_text.host(url)
+        pages[at].add(text)
+        for d in html_text.digests(html_text.parse(text)):
+            seen[at, d].add(text)
+    want = {at: sorted(d for (h, d), of in seen.items() if h == at and len(of) >= 8 and len(of) >= 0.3 * len(pages[at])) for at in pages}
+    got = html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), share=0.3)
+    assert {r.host: r.template for r in got.collect()} == {h: t for h, t in want.items() if t} and any(want.values())
+
+
 def test_templates_of_sections_go(spark):
     rows = [(i, f"https://h.example/{i}", page(f"<div>Menu of section {i % 5}</div><div><p>Text number {i}.</p></div>")) for i in range(60)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
