@@ -1,16 +1,17 @@
 """Exact top-k search by integer inner product with a KD-tree per shard.
 
-Components become floor(256 * x).  Candidates are dealt over shards of about ``shard_rows`` rows; each shard
-becomes a KD-tree, built by median splits of the widest side, whose nodes have tight bounding boxes.  A
-query goes through a tree best first: the node with the highest bound next, where the bound of a box is
-the largest inner product that any of its points could have, until no bound beats the query's k-th score.
+Components become floor(256 * x).  Candidates are dealt over shards of about ``shard_rows`` rows of one length
+(fewer, if they are wide); each shard becomes a KD-tree, built by median splits of the widest side, whose nodes have
+tight bounding boxes.  A query goes through a tree best first: the node with the highest bound next, where the bound of
+a box is the largest inner product that any of its points could have, until no bound beats the query's k-th score.
 That k-th score is propagated: a first pass over one shard gives each query a score to beat in all others.
 
-Queries are the rows whose vec_id is divisible by ``every``, in blocks of ``block_rows``; each block meets each
-shard once.  Vectors that are null or empty or hold null or non-finite components take no part; of vectors of several
-lengths, only those of the commonest (then longest) take part, since no inner product is defined across.  Rows without
-vec_id take no part.  Ties go to the smaller vec_id; rows that repeat a vec_id are candidates each, and
-a query's own vec_id never is one.
+Queries are the rows whose vec_id is divisible by ``every``, in blocks of ``block_rows``.  A shard comes once to a
+task, which builds its tree, and the blocks of queries stream past it.  Vectors that are null or hold null or
+non-finite components and rows without vec_id take no part; vectors of different lengths are no candidates of each
+other.  Products that doubles can't hold exactly are computed in integers; a score that no long can hold is given as
+the nearest long, but ranked as it is.  Ties go to the smaller vec_id; rows that repeat a vec_id are candidates each,
+and a query's own vec_id never is one.
 """
 
 from __future__ import annotations
@@ -26,39 +27,71 @@ from pyspark.sql import functions as F
 from geolith.llm.common import save, table
 
 LEAF = 128
-#: Products of larger integers could pass 2^53, where doubles are not exact.
-EXACT = 1 << 53
+#: Sums of larger products are not exact in doubles.
+EXACT = float(1 << 53)
+LONG = (1 << 63) - 1
+#: Bytes of the vectors of a shard or block at most, unless a single vector is larger.
+MOST_BYTES = 16 << 20
+
+
+def floored(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as doubles, which hold it exactly; infinite if it is too large for one."""
+    with np.errstate(over="ignore"):
+        return np.floor(256.0 * x)
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of any finite x as Python's integers."""
+    whole = [int(np.floor(256.0 * e)) if abs(e) < 1e300 else 256 * int(e) for e in x.ravel().tolist()]
+    out = np.empty(len(whole), object)
+    out[:] = whole
+    return out.reshape(x.shape)
+
+
+def sortable(n: int) -> str:
+    """A text for each integer, in their order."""
+    digits = str(abs(n))
+    if n >= 0:
+        return f"1{len(digits):09d}{digits}"
+    return f"0{999_999_999 - len(digits):09d}" + "".join(str(9 - int(d)) for d in digits)
 
 
 class Tree:
     """Rows in leaf order, with the boxes and children of all nodes."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        """ids and vectors (unfloored) of the rows."""
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        self.ids, self.x = ids[order], x[order]
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.first: list[int] = []  # left child (the right one is next), or -1 for a leaf
         self.span: list[tuple[int, int]] = []
         order = np.arange(len(ids))
-        todo = [(0, len(ids), self._node(self.rows, 0, len(ids)))]
+        todo = [(0, len(ids), self._node(self.x, 0, len(ids)))]
         while todo:
             start, end, node = todo.pop()
-            side = int((self.high[node] - self.low[node]).argmax())
-            if end - start <= LEAF or self.low[node][side] == self.high[node][side]:
+            if end - start <= LEAF or not x.shape[1]:
+                continue
+            with np.errstate(over="ignore"):
+                side = int((self.high[node] - self.low[node]).argmax())
+            if self.low[node][side] == self.high[node][side]:
                 continue
             own = order[start:end]
             middle = (end - start) // 2
-            own = own[np.argpartition(self.rows[own, side], middle, kind="introselect")]
+            own = own[np.argpartition(self.x[own, side], middle, kind="introselect")]
             order[start:end] = own
             cut = start + middle
-            left = self._node(self.rows[order[start:cut]], start, cut)
-            right = self._node(self.rows[order[cut:end]], cut, end)
+            left = self._node(self.x[order[start:cut]], start, cut)
+            right = self._node(self.x[order[cut:end]], cut, end)
             self.first[node] = left
             assert right == left + 1
             todo += [(start, cut, left), (cut, end, right)]
-        self.ids, self.rows = self.ids[order], self.rows[order].astype(float)
-        self.lows, self.highs = np.array(self.low, float), np.array(self.high, float)
+        self.ids, self.x = self.ids[order], self.x[order]
+        self.lows, self.highs = np.array(self.low), np.array(self.high)
+        self.rows, self.floor_lows, self.floor_highs = floored(self.x), floored(self.lows), floored(self.highs)
+        self.largest = float(np.abs(self.rows).max(initial=0.0))
+        self.whole: tuple[np.ndarray, np.ndarray] | None = None
 
     def _node(self, rows: np.ndarray, start: int, end: int) -> int:
         self.low.append(rows.min(0))
@@ -67,10 +100,19 @@ class Tree:
         self.span.append((start, end))
         return len(self.first) - 1
 
-    def search(self, query_id: int, query: np.ndarray, k: int, beat: float) -> list[tuple[int, int]]:
+    def search(self, query_id: int, x: np.ndarray, k: int, beat: float) -> list[tuple[int, int]]:
         """At most k (score, vec_id), best first; scores below ``beat`` need not be found."""
-        bounds = np.where(query > 0, query * self.highs, query * self.lows).sum(1)
-        found: list[tuple[float, int]] = []  # (score, -vec_id), a heap with the worst first
+        query = floored(x)
+        exact = self.largest * float(np.abs(query).max(initial=0.0)) * max(1, len(query)) < EXACT
+        if exact:
+            lows, highs = self.floor_lows, self.floor_highs
+        else:
+            query = integers(x)
+            if self.whole is None:
+                self.whole = integers(self.lows), integers(self.highs)
+            lows, highs = self.whole
+        bounds = np.where(query > 0, query * highs, query * lows).sum(1)
+        found: list[tuple] = []  # (score, -vec_id), a heap with the worst first
         heap = [(-bounds[0], 0)]
         while heap:
             bound, node = heapq.heappop(heap)
@@ -82,95 +124,96 @@ class Tree:
                 heapq.heappush(heap, (-bounds[left + 1], left + 1))
                 continue
             start, end = self.span[node]
-            scores = self.rows[start:end] @ query
+            scores = self.rows[start:end] @ query if exact else integers(self.x[start:end]) @ query
             least = max(beat, found[0][0]) if len(found) == k else beat
-            at = np.flatnonzero((scores >= least) & (self.ids[start:end] != query_id))
+            at = np.flatnonzero((scores >= least).astype(bool) & (self.ids[start:end] != query_id))
             if len(at) > k:  # of many with one score the smallest identifiers count
-                at = at[np.lexsort((self.ids[start:end][at], -scores[at]))[:k]]
+                at = at[np.argsort(self.ids[start:end][at], kind="stable")]
+                at = at[np.argsort(-scores[at], kind="stable")[:k]]
             for i in at.tolist():
-                entry = (float(scores[i]), -int(self.ids[start + i]))
+                entry = (int(scores[i]), -int(self.ids[start + i]))
                 if len(found) < k:
                     heapq.heappush(found, entry)
                 elif entry > found[0]:
                     heapq.heapreplace(found, entry)
-        return [(int(s), -i) for s, i in sorted(found, reverse=True)]
+        return [(s, -i) for s, i in sorted(found, reverse=True)]
 
 
 def _packed(rows: pa.Table) -> pa.Table:
     """One row: the identifiers and vectors of a shard or block as bytes, in ascending order of vec_id."""
     rows = rows.sort_by("vec_id")
-    vectors = rows.column("v").combine_chunks()
-    values = vectors.flatten().to_numpy(zero_copy_only=False).astype("<i8")
-    return pa.table({"number": rows.column("number")[:1], "ids": pa.array([rows.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([values.tobytes()], pa.binary())})
+    values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+    ids = rows.column("vec_id").to_numpy().astype("<i8")
+    return pa.table({"dims": rows.column("dims")[:1], "number": rows.column("number")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([values.tobytes()], pa.binary())})
 
 
 def _search(k: int):
-    """Rows: ids and vectors of a shard, ids, vectors and beat of a block of queries."""
+    """Rows: dims, ids, vectors and beat; null beat: a shard; else a block of queries for the last shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, of = None, None
+        tree = None
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, vectors, query_ids, queries, beat = (batch.column(i)[row].as_py() for i in range(5))
-                if of != ids:
-                    own = np.frombuffer(ids, "<i8")
-                    tree, of = Tree(own, np.frombuffer(vectors, "<i8").reshape(len(own), -1)), ids
-                query_ids = np.frombuffer(query_ids, "<i8")
-                queries = np.frombuffer(queries, "<i8").reshape(len(query_ids), -1).astype(float)
-                least = dict(beat or [])
-                out: tuple[list, list, list] = ([], [], [])
-                for query_id, query in zip(query_ids.tolist(), queries, strict=True):
+                dims, ids, vectors, beat = (batch.column(i)[row].as_py() for i in range(4))
+                ids = np.frombuffer(ids, "<i8")
+                vectors = np.frombuffer(vectors, "<f8").reshape(len(ids), dims)
+                if beat is None:
+                    tree = Tree(ids, vectors)
+                    continue
+                least = {b["query_id"]: int(b["beat"]) for b in beat}
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for query_id, query in zip(ids.tolist(), vectors, strict=True):
                     for score, vec_id in tree.search(query_id, query, k, least.get(query_id, -np.inf)):
-                        for column, value in zip(out, (query_id, vec_id, score), strict=True):
+                        near = max(-LONG - 1, min(LONG, score))
+                        for column, value in zip(out, (query_id, vec_id, near, sortable(score - near)), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], ["query_id", "vec_id", "score", "beyond"])
 
     return run
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query; vectors: vec_id, embedding."""
-    spark = vectors.sparkSession
     x = F.col("embedding")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(finite)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 256)).alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not sizes:
-        return empty
-    dims, n, largest = sizes[0]
-    if dims * largest * largest >= EXACT:
-        raise ValueError("components are too large for exact scores")
-    rows = rows.where(F.size("v") == dims)
-    shards = -(-n // shard_rows)
-    dealt = rows.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    packed = "number int, ids binary, vectors binary"
-    shard_table, _ = save(dealt.groupBy("number").applyInArrow(_packed, packed), "shards")
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n_blocks = -(-max(1, asked.count()) // block_rows)
-    asked = asked.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    blocks, _ = save(asked.groupBy("number").applyInArrow(_packed, packed).withColumnsRenamed({"number": "block", "ids": "query_ids", "vectors": "queries"}), "queries")
-
-    def searched(of: DataFrame, numbers: int, by: DataFrame) -> DataFrame:
-        """Every block meets the shards 0 to numbers - 1 once."""
-        met = by.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))))
-        joined = of.join(met, "number").select("ids", "vectors", "query_ids", "queries", "beat")
-        return joined.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-
-    nothing = F.lit(None).cast("array<struct<query_id: long, beat: double>>")
-    first = searched(shard_table.where("number = 0"), 1, blocks.withColumn("beat", nothing))
+    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(finite)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: e.cast("double")).alias("v"), F.size(x).alias("dims"))
+
+    def dealt(of: DataFrame, most: int) -> DataFrame:
+        """of in numbered groups of one length of about ``most`` rows, fewer for wide vectors, by a hash of vec_id."""
+        n = max(1, of.count())
+        groups = F.greatest(F.lit(-(-n // most)), F.ceil(F.lit(n) * F.col("dims") * 8 / F.lit(MOST_BYTES)))
+        return of.withColumn("number", F.pmod(F.xxhash64("vec_id"), groups).cast("long"))
+
+    def packed(of: DataFrame, tag: str) -> DataFrame:
+        return save(of.groupBy("dims", "number").applyInArrow(_packed, "dims int, number long, ids binary, vectors binary"), tag)[0]
+
+    shards = packed(dealt(rows, shard_rows), "shards")
+    asked = dealt(rows.where(F.col("vec_id") % every == 0), block_rows)
+    blocks = packed(asked, "queries").withColumnRenamed("number", "block")
+
+    def searched(of: DataFrame, by: DataFrame) -> DataFrame:
+        """Every block meets the shards of its length once: a shard, and after it the blocks that stream past it."""
+        numbers = of.select("dims", "number")
+        left = of.select("dims", "number", F.lit(-1).cast("long").alias("block"), "ids", "vectors", F.lit(None).cast(BEAT).alias("beat"))
+        right = by.join(numbers, "dims").select("dims", "number", "block", "ids", "vectors", F.coalesce("beat", F.array().cast(BEAT)).alias("beat"))
+        met = left.unionByName(right).repartition("dims", "number").sortWithinPartitions("dims", "number", "block")
+        return met.select("dims", "ids", "vectors", "beat").mapInArrow(_search(k), "query_id long, vec_id long, score long, beyond string")
+
+    pilot = shards.join(shards.groupBy("dims").agg(F.min("number").alias("number")), ["dims", "number"], "left_semi")
+    first = searched(pilot, blocks.withColumn("beat", F.lit(None).cast(BEAT)))
     # The k-th score of a query on the pilot shard, if it has k there: others need not look below it.
-    best = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("beat")).where(F.col("n") == k)
-    best = best.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    beats = best.groupBy("block").agg(F.collect_list(F.struct("query_id", "beat")).alias("beat"))  # block_rows at most
+    best = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("beat")).where(F.col("n") == k)
+    beats = asked.select("dims", F.col("number").alias("block"), F.col("vec_id").alias("query_id")).join(best, "query_id").groupBy("dims", "block").agg(F.collect_list(F.struct("query_id", "beat")).alias("beat"))  # a block's rows at most
     beats, _ = save(beats, "beats")
-    # Shards lie in different tasks, each with its tree; the blocks of queries come to them.
-    found = searched(shard_table.repartition(shards, "number"), shards, blocks.join(beats, "block", "left"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = searched(shards, blocks.join(beats, ["dims", "block"], "left"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+BEAT = "array<struct<query_id: long, beat: long>>"
+
+
 def op4_kdtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 

@@ -221,6 +221,33 @@ def test_top_k(spark, shard_rows):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 10)
 
 
+def test_top_k_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=(2, 1, 3, 20_000)[i % 4] if i < 100 else 2).round(2).tolist()) for i in range(160)] + [(200, []), (210, [])]
+    got = kdtree_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 10, 16, 4).collect()
+    want = []
+    for n in {len(v) for _, v in vectors}:
+        want += brute_top([(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors if len(v) == n], 5, 10)
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    vectors = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(60)]
+    whole = lambda v: [int(np.floor(256 * e)) for e in v]
+    got = kdtree_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 10, 16, 4).collect()
+    want = []
+    for q, v in vectors[::10]:
+        scores = sorted((-sum(a * b for a, b in zip(whole(v), whole(w), strict=True)), c) for c, w in vectors if c != q)[:5]
+        want += [(q, rank, c, -s) for rank, (s, c) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    numbers = [-(10**30), -(10**20) - 1, -(10**20), -5, 0, 3, 10**20, 10**20 + 1]
+    assert [kdtree_search.sortable(n) for n in numbers] == sorted(map(kdtree_search.sortable, numbers))
+    huge = [(0, [1e308, 1.0]), (1, [1e308, 2.0]), (2, [1e300, 0.0]), (3, [-1e308, 0.0])]
+    got = kdtree_search.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, (1 << 63) - 1), (2, (1 << 63) - 1), (3, -(1 << 63))]
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in kdtree_search.top_k(df).collect()] == [(0, 1, 1, 256 * 256 * 3)]
