@@ -7,8 +7,11 @@ a level, compaction merges them into one run of the next level and keeps, for ea
 that wins: most code points, then the smallest identifier.  Rows whose digest has company are hits;
 their normalised bytes are compared with those of the winner before they count as copies.
 
+Digests of which there are very many rows, HEAVY at most by their definition, are broadcast or salted where the rows
+meet them, so that the copies of one text spread over tasks.
+
 Null texts count as empty.  A null doc_id is a document of its own that only stays if no other copy
-is as long; repeated rows with one doc_id are copies of each other like any others.
+is as long; repeated rows with one doc_id are copies of each other like any others, of which one row stays.
 """
 
 from __future__ import annotations
@@ -36,8 +39,17 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+#: Digests that hold more than one in HEAVY of all rows, and LEAST rows at least, are heavy: there are HEAVY of them at most.
+HEAVY, LEAST = 10_000, 200
+
+
+def best(doc_id: str, row: str) -> Column:
+    """By which of equal texts one stays: most code points, a doc_id, the smallest one, the first row."""
+    return F.struct(F.col("n_points"), F.col(doc_id).isNotNull(), F.bitwise_not(F.col(doc_id)), F.bitwise_not(F.col(row)))
+
+
 class DigestIndex:
-    """Levels of sorted runs (digest, n_points, keep_id, group_size) in the shared folder."""
+    """Levels of sorted runs (digest, n_points, keep_id, keep_row, group_size) in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
@@ -46,9 +58,9 @@ class DigestIndex:
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
         """One entry for each digest; partial aggregation keeps hot digests small before the shuffle."""
-        first = F.struct(F.col("n_points"), F.col("keep_id").isNotNull(), -F.col("keep_id"))
+        first = best("keep_id", "keep_row")
         return entries.groupBy("digest").agg(
-            F.max("n_points").alias("n_points"), F.max_by("keep_id", first).alias("keep_id"), F.sum("group_size").alias("group_size")
+            F.max("n_points").alias("n_points"), F.max_by("keep_id", first).alias("keep_id"), F.max_by("keep_row", first).alias("keep_row"), F.sum("group_size").alias("group_size")
         )
 
     def _flush(self, entries: DataFrame, level: int) -> None:
@@ -56,8 +68,8 @@ class DigestIndex:
         self.levels[level].append(save(run, f"run{level}", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}))
 
     def add(self, memtable: DataFrame) -> None:
-        """Flushes a memtable (digest, n_points, doc_id) and compacts the levels that are full."""
-        self._flush(memtable.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), 0)
+        """Flushes a memtable (digest, n_points, doc_id, row) and compacts the levels that are full."""
+        self._flush(memtable.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -98,39 +110,46 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
     norm = normalised(F.col("text"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), digest(norm).alias("digest"),
-        sha256(norm).alias("text_sha256"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("memtable"),
+        sha256(norm).alias("text_sha256"), F.monotonically_increasing_id().alias("row"),
     )
-    staged, _ = save(rows, "digests")
+    staged, _ = save(rows.withColumn("memtable", F.pmod(F.xxhash64("doc_id", "row"), F.lit(memtables)).cast("int")), "digests")
     index = DigestIndex(spark, fanout)
     for i in range(memtables):
         index.add(staged.where(F.col("memtable") == i))
-    groups = index.entries().where("group_size > 1").select("digest", "keep_id", "group_size", F.col("n_points").alias("keep_points"))
+    groups = index.entries().where("group_size > 1").select("digest", "keep_id", "keep_row", "group_size", F.col("n_points").alias("keep_points"))
     groups, _ = save(groups, "groups")
+    most = max(LEAST, -(-staged.count() // HEAVY))
+    heavy = F.broadcast(groups.where(F.col("group_size") > most).select("*", F.ceil(F.col("group_size") / most).cast("int").alias("salts")))
+    light = groups.where(F.col("group_size") <= most)
 
     # Byte verification: hits against the texts of the winners of their digests.
     bits = bit_filter(groups, F.xxhash64("digest"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hits, hits_path = save(may_contain(texts, F.xxhash64("digest"), bits), "hits")
-    # The winner's identifier is part of the key, so that the copies of a large group don't meet in one task.
-    named = groups.select("digest", F.col("keep_id").alias("doc_id"), F.col("keep_points").alias("n_points"))
-    same = F.expr("h.digest = g.digest AND h.doc_id <=> g.doc_id AND h.n_points = g.n_points")
-    winner = hits.alias("h").join(named.alias("g"), same).select("h.digest", "h.norm")
-    winner = winner.groupBy("digest").agg(F.min("norm").alias("keep_norm"))
-    winner, winner_path = save(winner, "winners")
-    differ = hits.join(winner, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
+    hits, hits_path = save(may_contain(texts, F.xxhash64("digest"), bits).withColumn("row", F.monotonically_increasing_id()), "hits")
+    tagged = hits.join(heavy.select("digest", "keep_id", "keep_points", "salts"), "digest", "left")
+    won = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    of_heavy = tagged.where(F.col("salts").isNotNull() & won).groupBy("digest", "salts").agg(F.min("norm").alias("keep_norm"))
+    of_heavy = of_heavy.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "keep_norm")
+    few = tagged.where("salts IS NULL").select("digest", "doc_id", "n_points", "norm", F.lit(0).alias("salt"))
+    of_light = few.join(light.select("digest", "keep_id", "keep_points"), "digest").where(won).groupBy("digest", "salt").agg(F.min("norm").alias("keep_norm"))
+    winner, winner_path = save(of_heavy.unionByName(of_light), "winners")
+    salted = tagged.select("digest", "norm", F.coalesce(F.pmod(F.col("row"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
+    differ = salted.join(winner, ["digest", "salt"]).where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
     differ, differ_path = save(differ, "collisions")
     collided = not differ.isEmpty()
 
-    single = F.col("group_size").isNull()
-    out = staged.join(groups, "digest", "left").select(
-        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (single | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))).alias("kept"), "text_sha256", "digest", "n_points",
-    )
+    def named(rows: DataFrame) -> DataFrame:
+        single = F.col("group_size").isNull()
+        return rows.select(
+            "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+            (single | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256", "digest",
+        )
+
+    out = named(staged.join(heavy, "digest")).unionByName(named(staged.join(heavy.select("digest"), "digest", "left_anti").join(light, "digest", "left")))
     if collided:  # different texts under one digest: these groups are made again from their bytes
-        out = out.join(differ, "digest", "left_anti").drop("digest", "n_points").unionByName(_by_bytes(hits.join(differ, "digest", "left_semi")))
+        out = out.join(differ, "digest", "left_anti").drop("digest").unionByName(_by_bytes(hits.join(differ, "digest", "left_semi")))
     else:
-        out = out.drop("digest", "n_points")
+        out = out.drop("digest")
         remove(spark, differ_path, hits_path)
     remove(spark, winner_path)
     return out.select(*COLUMNS)
@@ -138,11 +157,9 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4, digest: Ca
 
 def _by_bytes(rows: DataFrame) -> DataFrame:
     """Groups of rows by their normalised bytes, for digests that collided."""
-    first = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), -F.col("doc_id"))
-    groups = rows.groupBy("norm").agg(F.max("n_points").alias("keep_points"), F.max_by("doc_id", first).alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "norm").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"), sha256(F.col("norm")).alias("text_sha256")
-    )
+    first = best("doc_id", "row")
+    groups = rows.groupBy("norm").agg(F.max_by("doc_id", first).alias("keep_id"), F.max_by("row", first).alias("keep_row"), F.count("*").alias("group_size"))
+    return rows.join(groups, "norm").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), sha256(F.col("norm")).alias("text_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

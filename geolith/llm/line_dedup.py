@@ -24,6 +24,10 @@ from pyspark.sql import types as T
 from geolith.llm.common import WHITE, remove, save, sliced, table
 
 
+#: Lines in more than one in HEAVY of all (document, line), and in LEAST at least, are common: there are HEAVY of them at most.
+HEAVY, LEAST = 10_000, 200
+
+
 def _keys(text: str, min_points: int) -> list[bytes]:
     """For each line the hash of its key, or b'' if the key is too short."""
     out = []
@@ -125,9 +129,15 @@ def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout:
     runs = LineRuns(spark, fanout)
     for i in range(len(cuts) + 1):
         runs.add(staged.where(F.col("batch") == i).drop("batch"))
-    # Lines of other documents than their owners go.
-    gone = staged.join(runs.entries(), "h").where("doc_id > owner")
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h").alias("__gone"))
+    # Lines of other documents than their owners go.  Owners of lines that very many documents hold are broadcast, HEAVY of
+    # them at most, so that these documents spread over tasks.
+    owners = runs.entries()
+    most = max(LEAST, -(-staged.count() // HEAVY))
+    common, _ = save(staged.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h").join(owners, "h").select("h", "owner"), "commonlines")
+    often = staged.join(F.broadcast(common), "h")
+    seldom = staged.join(F.broadcast(common.select("h")), "h", "left_anti").join(owners, "h")
+    gone = often.select("doc_id", "h", "owner").unionByName(seldom.select("doc_id", "h", "owner")).where("doc_id > owner")
+    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__gone"))
     gone, _ = save(gone, "gonelines")
     remove(spark, staged_path)
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[F.col(f"`{n}`") for n in names], "__gone")

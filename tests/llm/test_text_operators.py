@@ -46,14 +46,26 @@ def test_exact_dedup(spark, weak):
 def test_exact_dedup_of_odd_tables(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
     df = frame(spark, ["a", "a", None], [7, 7, None]).withColumn("digest", F.lit("x")).withColumn("keep_id", F.lit(1))
-    got = sorted((r.doc_id is None, r.doc_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect())
-    assert got == [(False, 7, 2), (False, 7, 2), (True, None, 1)]
+    got = sorted((r.doc_id is None, r.doc_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert got == [(False, 7, 2, False), (False, 7, 2, True), (True, None, 1, True)]
+    repeated = exact_dedup.exact_dedup(frame(spark, ["a", "a", "a", None, ""], [7, 7, 8, None, None])).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.kept) for r in repeated) == [(0, 0, False), (0, 0, True), (7, 7, False), (7, 7, True), (8, 7, False)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_of_a_hot_text(spark, weak, monkeypatch):
+    """A text that holds a third of all rows spreads over salts, and is verified like others."""
+    monkeypatch.setattr(exact_dedup, "LEAST", 5)
+    rows = [(i, "h ot" if i % 3 == 0 and i > 60 else "hot" if i % 3 == 0 else f"text {i % 40}" if i % 3 == 1 else f"single {i}") for i in range(600)]
+    digest = (lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)) if weak else exact_dedup.sha256
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=digest)
+    assert sorted(tuple(r) for r in got.collect()) == brute_exact(rows)
 
 
 def test_index_compacts_and_finds(spark):
     index = exact_dedup.DigestIndex(spark, fanout=2)
     for start in (8, 4, 0):
-        index.add(spark.createDataFrame([(f"d{i % 3}", 1, start + i) for i in range(4)], "digest string, n_points long, doc_id long"))
+        index.add(spark.createDataFrame([(f"d{i % 3}", 1, start + i, i) for i in range(4)], "digest string, n_points long, doc_id long, row long"))
     assert [len(level) for level in index.levels] == [1, 1]
     assert [tuple(r) for r in index.find(["d1"]).select("keep_id", "group_size").collect()] == [(1, 3)]
 
@@ -87,6 +99,13 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_hot_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST", 5)
+    rows = [(i, f"the line that all hold\nown line {i}\nshared line {i % 50:04d}") for i in range(300)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__n_lines", "__n_dropped", "text")
+    assert sorted(tuple(r) for r in got.collect()) == brute_lines(rows)
+
+
 def test_line_dedup_without_or_with_repeated_ids(spark):
     line = "the same long line"
     got = line_dedup.line_dedup(frame(spark, [line, line, line, line], [3, 3, None, 4]))
