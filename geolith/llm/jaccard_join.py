@@ -13,7 +13,9 @@ sets of sizes a <= b reach ``percent``, then a >= percent/100 * b, and they diff
   one or in two neighbouring ones; a class takes part in both.
 - The parities of the totals of narrow blocks, about one for each n-gram, bound the difference of two sets from
   below; pairs that differ in more than their sizes allow are discarded without looking at the n-grams.
-- What is left accumulates overlap counts block by block until the bound can't be reached any more.
+- The entries that are left are the mask of the product.  A class's row of the incidence matrix is cut at fixed borders of
+  the n-gram axis; for each column block the incidence entries of all pairs of a slice are multiplied at once and added
+  to the pairs' overlap counts, and pairs whose count can't reach the bound with the columns to come are discarded.
 
 Only connectivity is wanted, so a block's digest first pairs all its classes with the smallest one, and a class
 meets the smallest of all those partners before the others, which are tested only if they are not connected to it by
@@ -32,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import bit_filter, may_contain, remove, save, sliced, table
+from geolith.llm.common import WHITE_BYTES, bit_filter, may_contain, remove, save, sliced, table
 from geolith.operators.graph import contracted
 
 #: Bits of a class's parities: a power of two from the first to the last, by the size of the set.
@@ -47,6 +50,10 @@ FIRSTS = 64
 #: Column blocks in which overlaps are accumulated.
 STEPS = 8
 
+#: Bytes of a text that are hashed at once, so that memory stays a small multiple of a text of any length.
+PART = 1 << 20
+WHITE_BYTES_EACH = [bytes([b]) for b in WHITE_BYTES]
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.default_rng(3_003).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -54,13 +61,13 @@ _BASE = 0x9E3779B97F4A7C15
 _K = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, as many as a part of a text has bytes."""
     inverse = pow(_BASE, -1, 1 << 64)
     out = []
     for x in (_BASE, inverse):
-        p = np.full(n, x, np.uint64)
+        p = np.full(PART + 1, x, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
@@ -72,21 +79,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int = 3) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word n-grams of the whole text, A-Z in lower case."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
+def _words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a part of a text in lower case."""
+    raw = np.frombuffer(raw, np.uint8)
     word = np.zeros(len(raw) + 2, np.int8)
     word[1:-1] = ~_WHITE[raw]
     edges = np.diff(word)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(12, (len(raw) + 1).bit_length()))
+    if len(raw) > PART:  # a word longer than a part
+        return np.array([xxhash.xxh3_64_intdigest(raw[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    power, inverse = _powers()
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    sums = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    return mix(sums)
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """The text in parts of at most PART bytes that end at white space; a longer word is a part by itself."""
+    while len(raw) > PART:
+        cut = max(raw.rfind(c, 0, PART) for c in WHITE_BYTES_EACH)
+        if cut < 0:
+            cut = min((at for c in WHITE_BYTES_EACH if (at := raw.find(c, PART)) >= 0), default=len(raw))
+        yield raw[:cut]
+        raw = raw[cut + 1 :]
+    yield raw
+
+
+def shingles(text: str | None, n: int = 3) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word n-grams of the whole text, A-Z in lower case."""
+    raw = (text or "").encode("utf-8", "replace").lower()
+    words = _words(raw) if len(raw) <= PART else np.concatenate([_words(p) for p in _parts(raw)])
+    if not len(words):
+        return np.zeros(0, np.uint64)
     width = min(n, len(words))  # fewer words: the whole sequence is one
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -154,21 +179,35 @@ def wanted(a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
-    """The overlap of two sorted sets, accumulated over column blocks; some number below least if it is below."""
-    if len(a) > len(b):
-        a, b = b, a
-    steps = STEPS if len(a) >= 64 * STEPS else 1
-    cuts = [len(a) * i // steps for i in range(steps + 1)]
-    found = 0
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        part = a[start:end]
-        at = np.searchsorted(b, part)
+def reaching(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether the overlap of each pair of sorted sets reaches percent.
+
+    The product of the pairs' rows, one block of columns after the other: entries (pair, n-gram) of both sides are
+    matched by a hash of the two, and counted by pair.
+    """
+    sizes = np.array([[len(a), len(b)] for a, b in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    least = wanted(sizes[:, 0], sizes[:, 1], percent)
+    counts, open_ = np.zeros(len(left), np.int64), sizes.min(1) >= least
+    cuts = [np.array([_borders(x, STEPS) for x in side], np.int64).reshape(-1, STEPS + 1) for side in (left, right)]
+    for step in range(STEPS):
+        pairs = np.flatnonzero(open_)
+        if not len(pairs):
+            break
+        entries = []
+        for side, cut in zip((left, right), cuts, strict=True):
+            spans = cut[pairs, step : step + 2]
+            ngrams = np.concatenate([side[i][a:b] for i, (a, b) in zip(pairs.tolist(), spans.tolist(), strict=True)])
+            pair = np.repeat(pairs, spans[:, 1] - spans[:, 0])
+            entries.append((mix(ngrams ^ mix(pair.astype(np.uint64) + _K[1])), pair))
+        (a, pair), (b, _) = entries
+        b = np.sort(b)
+        at = np.searchsorted(b, a)
         at[at == len(b)] = 0
-        found += int((b[at] == part).sum())
-        if found + len(a) - end < least:
-            return found
-    return found
+        hit = b[at] == a if len(b) else np.zeros(len(a), bool)
+        counts += np.bincount(pair[hit], minlength=len(counts))
+        to_come = np.minimum(*(sizes[:, i] - cuts[i][:, step + 1] for i in (0, 1)))
+        open_ &= counts + to_come >= least
+    return open_
 
 
 def _incidence(percent: int, n: int):
@@ -215,13 +254,9 @@ def _linked(percent: int):
     """Of (x, y, sx, sy) the pairs whose overlap reaches percent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                least = wanted(len(a), len(b), percent)
-                keep.append(min(len(a), len(b)) >= least and overlap(a, b, least) >= least)
-            fits = pa.array(keep, pa.bool_())
+        for batch in sliced(batches):
+            left, right = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(i)] for i in (2, 3))
+            fits = pa.array(reaching(left, right, percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], ["a", "b"])
 
     return run

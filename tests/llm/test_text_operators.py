@@ -182,6 +182,40 @@ def test_similarity_join_bounds_lose_no_pair():
                     assert np.intersect1d(jaccard_join.blocks_of(a, percent), jaccard_join.blocks_of(b, percent)).size
 
 
+def test_product_counts_like_sets():
+    rng = np.random.default_rng(6)
+    left, right = [], []
+    for _ in range(400):
+        b = rng.integers(0, 1 << 63, int(rng.integers(1, 200)), dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        a = np.concatenate([b[int(rng.integers(0, 1 + len(b) // 4)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 9)), dtype=np.int64).astype(np.uint64)])
+        left.append(np.unique(a))
+        right.append(np.unique(b))
+    for percent in (50, 80, 90):
+        want = [100 * (i := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - i) for a, b in zip(left, right, strict=True)]
+        assert 0 < sum(want) < 400 and jaccard_join.reaching(left, right, percent).tolist() == want
+    assert jaccard_join.reaching([], [], 90).tolist() == []
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    """Parts and very long words change nothing but the hashes of those words."""
+    rng = random.Random(7)
+    text = "".join(rng.choice(["Word ", "x\t", "ö\n", "abc  "]) for _ in range(5000))
+    whole = jaccard_join.shingles(text)
+    monkeypatch.setattr(jaccard_join, "PART", 100)
+    jaccard_join._powers.cache_clear()
+    assert (jaccard_join.shingles(text) == whole).all()
+    long = "a b " + "z" * 1000 + " c d"
+    assert len(jaccard_join.shingles(long)) == 3 and (jaccard_join.shingles(long.upper()) == jaccard_join.shingles(long)).all()
+    jaccard_join._powers.cache_clear()
+
+
+def test_similarity_join_of_very_long_texts(spark):
+    words = [f"w{i % 5000}" for i in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-5], "other"])), (3, "q" * 3_000_000), (4, " ".join(words[:200_000]) + " end")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1} and {r.doc_id: r.n_shingles for r in got}[3] == 1
+
+
 def test_similarity_join_of_odd_tables(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard_join.jaccard_components(frame(spark, ["a b c d", "a b c d", "a b c d"], [5, 5, None]))
