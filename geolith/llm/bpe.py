@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import sliced, table
+from geolith.llm.common import sliced, small_batches, table
 
 #: The pre-tokenizer's pattern of the public vocabulary file's ByteLevel step.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None)
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["ids binary"])
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     chosen = encoded.select(*[F.col(f"`{c}`") for c in keep], "ids")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["text string"])
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
@@ -253,4 +253,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
 
+#: Bytes of an Arrow batch at most where whole texts go through Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES (or a single longer row).
+
+    A task holds batches on their way to Python and back in the JVM and in the worker; with Spark's 64 MB
+    executors of 3 GB came near their limit.  The setting is read when a plan runs, so it stays lowered in the
+    session; results don't depend on it.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = conf.get(key)
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows and bytes; Spark itself bounds the bytes of a batch.
 

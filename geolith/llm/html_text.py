@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.common import remove, save, sliced, table
+from geolith.llm.common import remove, save, sliced, small_batches, table
 
 # Kinds of elements, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -286,7 +286,7 @@ def templates(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataFram
 
     A host has at most 1 / share times as many as a page has elements, so that the arrays stay small.
     """
-    found, path = save(pages.select("url", "html").mapInArrow(_subtrees, "host string, page long, digests array<long>"), "subtrees")
+    found, path = save(small_batches(pages.select("url", "html")).mapInArrow(_subtrees, "host string, page long, digests array<long>"), "subtrees")
     once = found.groupBy("host", "page").agg(F.first("digests").alias("digests"))
     sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -304,7 +304,7 @@ def extract_text(pages: DataFrame, share: float = 0.05, least: int = 8) -> DataF
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], "html", _host_of("url").alias("__host"))
     rows = rows.join(found.toDF("__host", "__template"), "__host", "left").select(*[F.col(f"`{c}`") for c in keep], "html", "__template")
     schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text")).schema
-    return rows.mapInArrow(_texts([*keep, "html"]), schema)
+    return small_batches(rows).mapInArrow(_texts([*keep, "html"]), schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import WHITE_BYTES, bit_filter, may_contain, remove, save, sliced, table
+from geolith.llm.common import WHITE_BYTES, bit_filter, may_contain, remove, save, sliced, small_batches, table
 from geolith.operators.graph import contracted
 
 #: Bits of a class's parities: a power of two from the first to the last, by the size of the set.
@@ -311,7 +311,7 @@ class _Join:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row with a doc_id."""
-        rows, kept = save(self.docs.mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
+        rows, kept = save(small_batches(self.docs).mapInArrow(_incidence(self.percent, self.n), "doc_id long, n long, digest binary, blocks array<long>, parities binary"), "incidence")
         rows = rows.withColumn("c", F.xxhash64("digest"))
         some = rows.where("n > 0")
         self.classes = self.save(some.groupBy("digest", "c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first(F.slice(F.sort_array("blocks"), 1, FIRSTS)).alias("firsts")), "classes")
@@ -359,9 +359,9 @@ class _Join:
         bits = bit_filter(asked, F.xxhash64("rep"))
         texts = may_contain(self.docs, F.xxhash64("doc_id"), bits)
         texts = texts.join(asked, F.col("doc_id") == F.col("rep")).select("doc_id", "c", "text")
-        sets = self.save(texts.mapInArrow(_sets(self.n), "doc_id long, c long, ngrams binary").dropDuplicates(["c", "ngrams"]).select("c", "ngrams"), "sets")
+        sets = self.save(small_batches(texts).mapInArrow(_sets(self.n), "doc_id long, c long, ngrams binary").dropDuplicates(["c", "ngrams"]).select("c", "ngrams"), "sets")
         both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-        return self.save(both.mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        return self.save(small_batches(both).mapInArrow(_linked(self.percent), "a long, b long"), "links")
 
     def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of classes that share a block and lie in different components; the smallest of a block is tested already."""

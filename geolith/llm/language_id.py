@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import remove, save, sliced, table
+from geolith.llm.common import remove, save, sliced, small_batches, table
 
 DIMS = 4096
 #: Bytes of a text that are counted at once, so that memory stays bounded for texts of any length.
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: floa
                 found[DIMS] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(found)], ["place", "n"])
 
-    found, path = save(rows.mapInArrow(counted, "lang string, places binary, counts binary, passage string").withColumn("digest", F.xxhash64("counts", "passage")), "languages")
+    found, path = save(small_batches(rows).mapInArrow(counted, "lang string, places binary, counts binary, passage string").withColumn("digest", F.xxhash64("counts", "passage")), "languages")
     total = found.select("places").mapInArrow(held, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").toArrow().column("n").to_numpy()
     if not len(total) or not total[DIMS]:
         model = Centroids(np.zeros(DIMS), {"und": (np.zeros((1, DIMS)), np.zeros(1), np.zeros(1))})
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "__lang", "__score", "__rejected"])
 
     schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score"), F.lit(False).alias("__rejected")).schema
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

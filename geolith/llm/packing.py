@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
-from geolith.llm.common import save, sliced, table
+from geolith.llm.common import save, sliced, small_batches, table
 
 #: Salts that the pieces of one length are dealt over.
 SALTS = 256
@@ -170,7 +170,7 @@ def cut(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) -> Da
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, capacity: int = 2048, rounds: int = 3000) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import sliced, table
+from geolith.llm.common import sliced, small_batches, table
 
 #: Statistics of a text, in the order in which statistics() returns them.
 STATISTICS = (
@@ -70,7 +70,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             found = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in found.T]], [*names, *new])
 
-    return docs.mapInArrow(run, docs.select("*", *[F.lit(0.0).alias(n) for n in new]).schema)
+    return small_batches(docs).mapInArrow(run, docs.select("*", *[F.lit(0.0).alias(n) for n in new]).schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # conditions: statistic, at most (else above), bound

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
-from geolith.llm.common import save, sliced, table
+from geolith.llm.common import save, sliced, small_batches, table
 
 MAGIC = b"GLTK1\n"
 BLOCK = 4096
@@ -433,7 +433,7 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2,
         if files:
             yield flush()
 
-    files = dealt.mapInArrow(run, "part int, seq int, n_ids long, data binary")
+    files = small_batches(dealt).mapInArrow(run, "part int, seq int, n_ids long, data binary")
     return save(files, "tokens")[0]
 
 
