@@ -22,6 +22,7 @@ doc_id; rows that repeat a doc_id are written one after the other.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -447,17 +448,16 @@ def read(files: DataFrame) -> DataFrame:
     starts = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for part, seq, documents in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), read_files(some.column(2).to_pylist()), strict=True):
-                    start = 0
-                    for doc_id, ids in documents:
-                        for column, value in zip(rows, (part, seq, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                            column.append(value)
-                        start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
+        each = ((part, seq, data) for batch in batches for part, seq, data in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        while some := list(itertools.islice(each, TOGETHER)):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for (part, seq, _), documents in zip(some, read_files([data for _, _, data in some]), strict=True):
+                start = 0
+                for doc_id, ids in documents:
+                    for column, value in zip(rows, (part, seq, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                        column.append(value)
+                    start += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     read_back = files.select("part", "seq", "data").mapInArrow(run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return read_back.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
