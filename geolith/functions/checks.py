@@ -55,3 +55,56 @@ def release_key(stem: str, day: str | Column, content_sha256: str | Column) -> C
 def first_field(field: str, *documents: str | Column) -> Column:
     """The field of the first JSON document that has it."""
     return F.coalesce(*[F.get_json_object(col(d), f"$.{field}") for d in documents])
+
+
+def epoch_ms(iso: str | Column) -> Column:
+    """Milliseconds since 1970 of an ISO timestamp with a zone; null without one or if it does not exist."""
+    value = F.trim(col(iso))
+    zoned = value.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    return F.when(zoned, F.unix_millis(F.try_to_timestamp(value)))
+
+
+def naive_epoch_ms(iso: str | Column) -> Column:
+    """The same, where a timestamp without a zone is in UTC."""
+    value = F.trim(col(iso))
+    return epoch_ms(F.when(value.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), value).otherwise(F.concat(value, F.lit("Z"))))
+
+
+def iso_of(ms: str | Column) -> Column:
+    """UTC with milliseconds and Z, in a session whose time zone is UTC."""
+    return F.date_format(F.timestamp_millis(col(ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def utc_seconds(iso: str | Column) -> Column:
+    """A timestamp with a zone as UTC seconds with Z."""
+    return F.date_format(F.timestamp_millis(epoch_ms(iso)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def key_faults(document: str | Column, expected: list[str]) -> Column:
+    """Names of the keys that a JSON object lacks or has beside the expected ones, sorted; null if it is no object."""
+    keys = F.json_object_keys(col(document))
+    want = F.array(*[F.lit(k) for k in expected])
+    return F.array_sort(F.array_union(F.array_except(want, keys), F.array_except(keys, want)))
+
+
+def text_fault(value: str | Column) -> Column:
+    """'null', 'blank' or 'untrimmed', or null for sound text."""
+    value = col(value)
+    return F.when(value.isNull(), "null").when(F.trim(value) == "", "blank").when(F.trim(value) != value, "untrimmed")
+
+
+def array_fault(values: str | Column) -> Column:
+    """The first fault of the items of an array of texts, or 'duplicate'."""
+    values = col(values)
+    first = F.try_element_at(F.filter(F.transform(values, text_fault), lambda x: x.isNotNull()), F.lit(1))
+    return F.when(values.isNull(), "null").otherwise(F.coalesce(first, F.when(F.size(F.array_distinct(values)) < F.size(values), "duplicate")))
+
+
+# The colours of the classes.
+COLOURS = {"Unclassified": "gray", "Other": "red", "Condominium": "green", "Apartments": "yellow"}
+
+
+def colour(classification: str | Column) -> Column:
+    """The colour of a class; that of unclassified for others."""
+    known = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, col(classification)), F.lit(COLOURS["Unclassified"]))

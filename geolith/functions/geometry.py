@@ -265,7 +265,12 @@ def _distances(points_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def simplified_path(path: Ring, tolerance: float) -> Ring:
-    """Douglas and Peucker: points farther than the tolerance stay, the first of those as far as the farthest."""
+    """Douglas and Peucker: points farther than the tolerance stay, the first of those as far as the farthest.
+
+    With a tolerance of 0 or less all points stay.
+    """
+    if tolerance <= 0:
+        return list(path)
     at = np.array(path, float).reshape(-1, 2)
     keep = np.zeros(len(at), bool)
     keep[[0, -1]] = True
@@ -321,28 +326,33 @@ def simplify(tolerance: float, untouched: int = 3) -> Callable[[str | Column, st
 # Containment.
 
 
-def in_ring(x: float, y: float, ring: np.ndarray) -> bool:
-    """Even-odd; the boundary is inside, within 1e-12 of the coordinates' size."""
-    a, b = ring[:-1], ring[1:]
-    scale = 1e-12 * max(1.0, float(np.abs(ring).max()), abs(x), abs(y))
-    cross = (x - a[:, 0]) * (b[:, 1] - a[:, 1]) - (y - a[:, 1]) * (b[:, 0] - a[:, 0])
-    low, high = np.minimum(a, b) - scale, np.maximum(a, b) + scale
-    if bool(((np.abs(cross) <= scale) & (low[:, 0] <= x) & (x <= high[:, 0]) & (low[:, 1] <= y) & (y <= high[:, 1])).any()):
-        return True
-    spans = (a[:, 1] > y) != (b[:, 1] > y)
-    a, b = a[spans], b[spans]
-    return bool(((x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]).sum()) % 2)
+def _in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd; the boundary is inside, within 1e-12 of the size of each segment's coordinates."""
+    n = F.size(ring)
+    segments = F.zip_with(F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def on(s: Column) -> Column:
+        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+        size = F.lit(1e-12) * F.greatest(F.lit(1.0), *map(F.abs, (x, y, ax, ay, bx, by)))
+        cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
+        return (F.abs(cross) <= size) & x.between(F.least(ax, bx) - size, F.greatest(ax, bx) + size) & y.between(F.least(ay, by) - size, F.greatest(ay, by) + size)
+
+    def crosses(s: Column) -> Column:
+        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+        return F.coalesce(((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax), F.lit(False))
+
+    return F.exists(segments, on) | F.aggregate(segments, F.lit(False), lambda inside, s: inside != crosses(s))
 
 
-def in_geometry(x: float, y: float, parts: Parts) -> bool:
-    """In the outer ring of a part and in none of its holes; a hole's boundary is in the hole."""
-    arrays = [[np.array(r, float) for r in rings] for rings in parts]
-    return any(in_ring(x, y, rings[0]) and not any(in_ring(x, y, hole) for hole in rings[1:]) for rings in arrays)
+def contains(x: str | Column, y: str | Column, parts: str | Column) -> Column:
+    """In the outer ring of a part and in none of its holes; a hole's boundary is in the hole.  Of columns: no Python."""
+    x, y = col(x), col(y)
 
+    def in_part(rings: Column) -> Column:
+        holes = F.slice(rings, F.lit(2), F.size(rings))
+        return (F.size(rings) > 0) & _in_ring(x, y, F.get(rings, 0)) & ~F.exists(holes, lambda hole: _in_ring(x, y, hole))
 
-@F.pandas_udf(T.BooleanType())
-def contains(x: pd.Series, y: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([p is not None and in_geometry(a, b, _plain(p)) for a, b, p in zip(x, y, parts, strict=True)])
+    return F.coalesce(F.exists(col(parts), in_part), F.lit(False))
 
 
 # Documents.

@@ -66,9 +66,12 @@ def cell(value: str | Column, size: float = CELL) -> Column:
 
 
 def gross_bounds_ok(a: tuple, b: tuple) -> Column:
-    """b is like a: sizes within a factor of 0.5 to 1.5, edges within 0.02 degrees or a quarter of a side, and overlapping."""
+    """b is like a: sizes within a factor of 0.5 to 1.5, edges within 0.02 degrees or a quarter of a side, and overlapping.
+
+    b must lie in valid degrees and not be degenerate.
+    """
     a, b = tuple(map(col, a)), tuple(map(col, b))
-    out = overlaps(a, b)
+    out = overlaps(a, b) & (b[0] < b[2]) & (b[1] < b[3]) & b[0].between(-180.0, 180.0) & b[2].between(-180.0, 180.0) & b[1].between(-90.0, 90.0) & b[3].between(-90.0, 90.0)
     for low, high in ((0, 2), (1, 3)):
         width = a[high] - a[low]
         ratio = (b[high] - b[low]) / F.nullif(width, F.lit(0.0))
@@ -90,3 +93,35 @@ def wheel_scale(delta: str | Column) -> Column:
 
 def clamp_zoom(zoom: str | Column) -> Column:
     return F.least(F.greatest(col(zoom), F.lit(0.25)), F.lit(4096.0))
+
+
+def overview(min_x: str | Column, min_y: str | Column, max_x: str | Column, max_y: str | Column, width: float, height: float, margin: float = 0.05) -> Column:
+    """centre, extent and the scale at which a box with a margin fits into a picture: a struct of doubles."""
+    min_x, min_y, max_x, max_y = map(col, (min_x, min_y, max_x, max_y))
+    wide, high = (max_x - min_x) * F.lit(1 + 2 * margin), (max_y - min_y) * F.lit(1 + 2 * margin)
+    fit = F.least(F.lit(width) / F.nullif(wide, F.lit(0.0)), F.lit(height) / F.nullif(high, F.lit(0.0)))
+    return F.struct(centre(min_x, max_x).alias("x"), centre(min_y, max_y).alias("y"), (max_x - min_x).alias("width"), (max_y - min_y).alias("height"), fit.alias("scale"))
+
+
+def home_box(min_x: str | Column, min_y: str | Column, max_x: str | Column, max_y: str | Column, margin: float = 0.05) -> Column:
+    """The view of a box with a margin; y points down, as on a screen: x, y, width, height."""
+    min_x, min_y, max_x, max_y = map(col, (min_x, min_y, max_x, max_y))
+    pad_x, pad_y = (max_x - min_x) * F.lit(margin), (max_y - min_y) * F.lit(margin)
+    return F.struct((min_x - pad_x).alias("x"), (-max_y - pad_y).alias("y"), (max_x - min_x + 2 * pad_x).alias("width"), (max_y - min_y + 2 * pad_y).alias("height"))
+
+
+def to_world(view: Column, px: str | Column, py: str | Column, width: float, height: float) -> Column:
+    """The point of a view under a pixel of a picture of width by height: x and y (up)."""
+    return F.struct((view["x"] + col(px) / F.lit(width) * view["width"]).alias("x"), (-(view["y"] + col(py) / F.lit(height) * view["height"])).alias("y"))
+
+
+def panned(view: Column, dx: str | Column, dy: str | Column, width: float, height: float) -> Column:
+    """The view after a drag by so many pixels."""
+    return F.struct((view["x"] - col(dx) / F.lit(width) * view["width"]).alias("x"), (view["y"] - col(dy) / F.lit(height) * view["height"]).alias("y"), view["width"].alias("width"), view["height"].alias("height"))
+
+
+def zoomed(view: Column, home: Column, factor: str | Column, ax: str | Column, ay: str | Column) -> Column:
+    """The view scaled about the anchor (shares of width and height); its zoom against home stays within 0.25 and 4096."""
+    zoom = F.least(F.greatest(home["width"] / view["width"] / col(factor), F.lit(0.25)), F.lit(4096.0))
+    width, height = home["width"] / zoom, home["height"] / zoom
+    return F.struct((view["x"] + col(ax) * (view["width"] - width)).alias("x"), (view["y"] + col(ay) * (view["height"] - height)).alias("y"), width.alias("width"), height.alias("height"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.operators.release import state_digest
 from geolith.operators.spatial_join import component_kinds, components, overlap_pairs
 
 
@@ -71,6 +72,28 @@ def applied(mappings: DataFrame, parts: dict[str, DataFrame], release: str, key:
     return mappings.select("project_key", key, "relationship", "release").unionByName(carried).unionByName(made)
 
 
+def identity_changes(mappings: DataFrame, identities: DataFrame, parts: dict[str, DataFrame], key: str = "source_feature_id") -> DataFrame:
+    """project_key, before and after of every identity that a plan touches.
+
+    Projects of continued or replaced features become active again; those of features that disappeared, unless another
+    of their features goes on, become inactive; retired ones stay retired.  mappings: project_key and key of the release
+    before; identities: project_key, identity_status.
+    """
+    kept = parts["continuations"].where("action <> 'error'").select(key).unionByName(parts["replacements"].select(F.col("old_id").alias(key)))
+    fate = kept.withColumn("goes_on", F.lit(True)).unionByName(parts["disappearances"].select(key).withColumn("goes_on", F.lit(False)))
+    # A project may have several features, and several projects may share one.
+    touched = mappings.select("project_key", key).distinct().join(fate, key).groupBy("project_key").agg(F.max("goes_on").alias("goes_on"))
+    after = F.when(F.col("identity_status") == "retired", "retired").when(F.col("goes_on"), "active").otherwise("inactive")
+    return touched.join(identities, "project_key").select("project_key", F.col("identity_status").alias("before"), after.alias("after"))
+
+
+def classifications_preserved(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: digests of the classifications before and after a plan was applied, and whether they are the same."""
+    a = state_digest(before, columns).select(F.lit(1).alias("row"), F.col("n").alias("n_before"), F.col("sha256").alias("sha256_before"))
+    b = state_digest(after, columns).select(F.lit(1).alias("row"), F.col("n").alias("n_after"), F.col("sha256").alias("sha256_after"))
+    return a.join(b, "row").drop("row").withColumn("preserved", F.col("sha256_before") == F.col("sha256_after"))
+
+
 def exactly_one(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs once."""
     return rows.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n = 1").drop("__n")

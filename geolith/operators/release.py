@@ -93,12 +93,15 @@ def schema_faults(df: DataFrame, expected) -> list[str]:
     return out if out or names == [w.name for w in want] else ["order of columns"]
 
 
-def state_digest(rows: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
-    """One row: count and digest of all rows, whatever their order; digests of buckets are digested."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    hashed = rows.select(F.sha2(text, 256).alias("h")).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    # A bucket's digest is over sums of hash words, so that no task holds the hashes of a bucket.
-    words = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
-    sums = hashed.groupBy("bucket").agg(F.count("*").alias("n"), *words)
-    body = F.concat_ws(",", "bucket", "n", *[f"w{i}" for i in range(8)])
-    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(body)), ";"), 256).alias("sha256"))
+def state_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: count and digest of all rows, whatever their order.
+
+    The sorted digests of rows are digested by their first four hexadecimal digits, those by their first two, and
+    those together: no task holds more than 1/65536 of the rows.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    level = rows.select(F.sha2(text, 256).alias("h")).select("h", F.substring("h", 1, 4).alias("prefix"), F.lit(1).cast("long").alias("n"))
+    for digits in (2, 0):
+        level = level.groupBy("prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.sum("n").alias("n"))
+        level = level.select(F.concat("prefix", F.lit(":"), "h").alias("h"), F.substring("prefix", 1, digits).alias("prefix"), "n")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("sha256"))

@@ -182,11 +182,6 @@ def kind_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").cast("long").alias("total"))
 
 
-@query("state_digest")
-def state_digest(spark: SparkSession, d: str) -> DataFrame:
-    return release.state_digest(accepted(spark, d), ["id", "geometry_sha256", "attributes_sha256"])
-
-
 @query("inventory_compare", duck("accepted candidate", "SELECT id, 'added' AS side FROM candidate WHERE id NOT IN (SELECT id FROM accepted) UNION ALL SELECT id, 'removed' FROM accepted WHERE id NOT IN (SELECT id FROM candidate)"))
 def inventory_compare(spark: SparkSession, d: str) -> DataFrame:
     return diff.inventory_compare(accepted(spark, d), candidate(spark, d), "id")

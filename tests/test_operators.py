@@ -131,10 +131,15 @@ def test_simplification():
     assert geometry.simplified_ring(ring, 100.0) == ring
 
 
-def test_containment():
-    assert geometry.in_geometry(0.0, 1.0, [[RING, HOLE]])  # on the boundary
-    assert not geometry.in_geometry(1.0, 1.5, [[RING, HOLE]])  # on the hole's boundary
-    assert not geometry.in_geometry(5.0, 1.0, [[RING, HOLE]])
+def test_containment(spark):
+    points = [(0.0, 1.0, True), (1.0, 1.5, False), (5.0, 1.0, False), (0.5, 0.5, True)]  # on the boundary, on the hole's, outside, inside
+    parts = [[[{"x": x, "y": y} for x, y in ring] for ring in (RING, HOLE)]]
+    df = spark.createDataFrame([(x, y, parts, want) for x, y, want in points] + [(0.0, 1.0, None, False), (0.0, 1.0, [[]], False)], "x double, y double, parts array<array<array<struct<x: double, y: double>>>>, want boolean")
+    assert df.where(geometry.contains("x", "y", "parts") != F.col("want")).count() == 0
+
+
+def test_no_tolerance_keeps_all_points():
+    assert geometry.simplified_path([(0, 0), (1, 0), (2, 0)], 0.0) == [(0, 0), (1, 0), (2, 0)]
 
 
 def test_scores(spark):

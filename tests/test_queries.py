@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from geolith.plans import maps, registry, releases  # noqa: F401
+from geolith.plans import maps, registry, releases, stored  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
