@@ -197,7 +197,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 819
         numbers = of.select("dims", "number")
         left = of.select("dims", "number", F.lit(-1).cast("long").alias("block"), "ids", "vectors", F.lit(None).cast(BEAT).alias("beat"))
         right = by.join(numbers, "dims").select("dims", "number", "block", "ids", "vectors", F.coalesce("beat", F.array().cast(BEAT)).alias("beat"))
-        met = left.unionByName(right).repartition("dims", "number").sortWithinPartitions("dims", "number", "block")
+        # By a hash, which nothing below is dealt by, so that no planner takes the two sides of the union for dealt already.
+        met = left.unionByName(right).withColumn("to", F.xxhash64("dims", "number")).repartition("to").sortWithinPartitions("dims", "number", "block")
         return met.select("dims", "ids", "vectors", "beat").mapInArrow(_search(k), "query_id long, vec_id long, score long, beyond string")
 
     pilot = shards.join(shards.groupBy("dims").agg(F.min("number").alias("number")), ["dims", "number"], "left_semi")

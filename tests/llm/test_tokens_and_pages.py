@@ -248,6 +248,21 @@ def test_top_k_of_large_components(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, (1 << 63) - 1), (2, (1 << 63) - 1), (3, -(1 << 63))]
 
 
+def test_top_k_without_broadcasts(spark):
+    """Shards and blocks meet in one task whatever joins lie below."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rng = np.random.default_rng(10)
+        vectors = [(i, rng.normal(size=4).round(2).tolist()) for i in range(200)]
+        got = kdtree_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 10, 16, 4).collect()
+    finally:
+        spark.conf.set(key, held)
+    rows = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors]
+    assert sorted(tuple(r) for r in got) == brute_top(rows, 5, 10)
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in kdtree_search.top_k(df).collect()] == [(0, 1, 1, 256 * 256 * 3)]
