@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import importlib
+from geolith.llm import bpe, exact_dedup, html_text, jaccard_join, kdtree_search, language_id, line_dedup, packing, quality, tokenfile
 
-#: Module of each query.
 QUERIES = {
-    "op1_quality": "quality",
-    "op2_bpe": "bpe",
-    "op3_jaccard_join": "jaccard_join",
-    "op4_kdtree_search": "kdtree_search",
-    "op5_token_file": "tokenfile",
-    "op6_language_id": "language_id",
-    "op7_exact_dedup": "exact_dedup",
-    "op8_line_dedup": "line_dedup",
-    "op9_html_text": "html_text",
-    "op10_packing": "packing",
+    "op1_quality": quality.op1_quality,
+    "op2_bpe": bpe.op2_bpe,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_kdtree_search": kdtree_search.op4_kdtree_search,
+    "op5_token_file": tokenfile.op5_token_file,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_html_text": html_text.op9_html_text,
+    "op10_packing": packing.op10_packing,
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"geolith.llm.{module}"), name) for name, module in QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"geolith.llm.{module}"), "SQL", None) for name, module in QUERIES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {"op3_jaccard_join": jaccard_join.SQL, "op4_kdtree_search": kdtree_search.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
