@@ -255,6 +255,25 @@ def classification_log(spark: SparkSession, d: str) -> DataFrame:
     return history.events_of(actions(spark, d), "user_id", "event_id")
 
 
+STATUS_OF_USER = "CASE user_id % 4 WHEN 0 THEN 'inactive' WHEN 1 THEN 'retired' ELSE 'active' END"
+
+
+@query("refused_actions", duck("actions", f"SELECT user_id, event_id, action, CASE WHEN user_id % 7 = 0 THEN 'unknown' ELSE {STATUS_OF_USER} END AS reason FROM actions WHERE user_id % 7 = 0 OR {STATUS_OF_USER} <> 'active'"))
+def refused_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Actions on identities that aren't active, or that nobody knows."""
+    rows = actions(spark, d)
+    identities = rows.select("user_id").distinct().where("user_id % 7 <> 0").withColumn("identity_status", F.expr(STATUS_OF_USER))
+    return history.accepted_actions(rows, identities, "user_id")[1]
+
+
+@query("active_fold", duck("actions", FOLD.replace("FROM actions)", f"FROM actions WHERE user_id % 7 <> 0 AND {STATUS_OF_USER} = 'active')") + "SELECT user_id, arg_max({'p': prev}, rn).p AS previous, arg_max(cur, rn) AS current, max(changes) AS changes FROM f GROUP BY 1"))
+def active_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The state that the accepted actions leave."""
+    rows = actions(spark, d)
+    identities = rows.select("user_id").distinct().where("user_id % 7 <> 0").withColumn("identity_status", F.expr(STATUS_OF_USER))
+    return history.fold(history.accepted_actions(rows, identities, "user_id")[0], "user_id", "event_id")
+
+
 @query("idempotent_replay", """SELECT event_id, event_type, CAST(event_id * 10 AS BIGINT) AS at, CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS replays, event_id % 40 = 0 AND event_type <> 'x' AS conflict FROM events""")
 def idempotent_replay(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") * 10).alias("at"))
