@@ -8,11 +8,11 @@ impact), and for each block the last document, the maximum impact and where its
 ``(1000000000 tf) div (1000 tf + 20 m)`` with ``m = 50 + (50 n N) div L``: a whole number below 2^20 that the
 query's weights multiply.  The index is a table: nothing is shuffled to build it.
 
-``search`` joins the terms of the queries to the index by term, and each shard answers a block of queries: cursors
-on the query's posting lists are ordered by document, the pivot is the first at which the lists' maxima can beat
-the k-th score, shallow moves of the block pointers bound the score of every document up to the next end of a block,
-and blocks are decompressed only where that bound beats the threshold.  An eighth of the shards go first; the k-th
-score that they have for a query is where the others start.
+``search`` joins the terms of the queries to the index by term, and each shard answers a block of queries.  Shallow
+pointers over the blocks of the query's lists bound every stretch of documents in which no block begins or ends; stretches
+that can beat the k-th score become pivots, highest bounds first, and only blocks with a pivot are decompressed.  One shard
+at a time takes its pivots in rounds of growing size rather than one by one, since a round is one array operation a
+list.  An eighth of the shards go first; the k-th score that they have for a query is where the others start.
 
 Documents without a term (null and empty ones too) are in no ranking and not in N; rows without doc_id are left
 out.  Rows that repeat a doc_id are documents each and are ranked each.  Equal scores go by ascending doc_id.  Queries
@@ -21,9 +21,7 @@ without a term find nothing; a term counts once for a query; queries with one it
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from operator import attrgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -110,6 +108,13 @@ def from_varints(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * turn, begins)
 
 
+def spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, one span after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(begins - (ends - lengths), lengths)
+    return out + np.arange(len(out))
+
+
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
 
@@ -187,109 +192,107 @@ def build(docs: DataFrame) -> Index:
     return Index(postings, documents, terms)
 
 
-class Shard:
-    """The posting lists of a shard that some queries name, blocks decompressed when they are needed."""
+ONE = np.zeros(1, np.int64)
 
-    def __init__(self, rows: pa.Table):
-        arrays = [[x.values.to_numpy() for x in rows.column(c)] for c in ("lasts", "maxima", "ends")]
-        payload = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column("payload")]
-        #: Of each term: last documents, weighted maxima and ends of the blocks, and their bytes.
-        self.lists = [(lasts, maxima.astype(np.int64) * weight, ends, data) for lasts, maxima, ends, data, weight in zip(*arrays, payload, rows.column("weight").to_pylist(), strict=True)]
-        self.weights = rows.column("weight").to_pylist()
-        self.open: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def block(self, term: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and weighted impacts of a block."""
-        if (term, b) not in self.open:
-            _, _, ends, data = self.lists[term]
-            values = from_varints(data[ends[b - 1] if b else 0 : ends[b]])
-            self.open[term, b] = np.cumsum(values[::2]), values[1::2] * self.weights[term]
-        return self.open[term, b]
+class Shard:
+    """The posting lists of a shard that some queries name, whose blocks are decompressed when a query needs them."""
 
-    def first(self, term: int, b: int) -> int:
+    def __init__(self, rows: pa.Table, documents: int):
+        self.documents = documents
+        self.weights = rows.column("weight").to_pylist()
+        self.sizes = rows.column("df").to_pylist()
+        self.lasts, maxima, self.ends = ([x.values.to_numpy().astype(np.int64) for x in rows.column(c)] for c in ("lasts", "maxima", "ends"))
+        self.maxima = [m * w for m, w in zip(maxima, self.weights, strict=True)]
+        self.payload = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column("payload")]
+        self.firsts = [np.array([self._first(t, b) for b in range(len(ends))], np.int64) for t, ends in enumerate(self.ends)]
+        #: Of each term: which blocks are open, and the documents and weighted impacts of those.
+        self.open = [np.zeros(len(ends), bool) for ends in self.ends]
+        self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(self.ends)
+
+    def _first(self, term: int, b: int) -> int:
         """The first document of a block, from its first bytes."""
-        _, _, ends, data = self.lists[term]
-        at, value, shift = int(ends[b - 1]) if b else 0, 0, 0
-        while (byte := int(data[at])) > 127:
+        at, value, shift = int(self.ends[term][b - 1]) if b else 0, 0, 0
+        while (byte := int(self.payload[term][at])) > 127:
             value |= (byte & 127) << shift
             at, shift = at + 1, shift + 7
         return value | byte << shift
 
-
-class Cursor:
-    """Where a query stands in a posting list: the block, and a document that no later posting precedes."""
-
-    __slots__ = ("block", "doc", "lasts", "maxima", "most", "shard", "term")
-
-    def __init__(self, shard: Shard, term: int):
-        lasts, maxima, _, _ = shard.lists[term]
-        self.shard, self.term, self.block = shard, term, 0
-        self.lasts, self.maxima, self.most = lasts.tolist(), maxima.tolist(), int(maxima.max())
-        self.doc = shard.first(term, 0)
-
-    def shallow(self, doc: int) -> bool:
-        """Moves the block pointer to the block that may hold the document, without reading it; False after the last."""
-        if self.lasts[self.block] < doc:
-            self.block = bisect_left(self.lasts, doc, self.block)
-        return self.block < len(self.lasts)
-
-    def advance(self, doc: int) -> bool:
-        """Stands at the document or behind it: exactly, where the block is open, or at the block's first document."""
-        if not self.shallow(doc):
-            return False
-        if opened := self.shard.open.get((self.term, self.block)):
-            self.doc = int(opened[0][opened[0].searchsorted(doc)])
-        else:
-            self.doc = max(doc, self.shard.first(self.term, self.block))
-        return True
+    def extents(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last documents and weighted maxima of a list's blocks; of a list of one block, which is as small as a bound on it is loose, of its postings."""
+        if len(self.lasts[term]) > 1:
+            return self.firsts[term], self.lasts[term], self.maxima[term]
+        docs, impacts = self.postings(term, ONE)
+        return docs, docs, impacts
+
+    def postings(self, term: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and weighted impacts of some blocks, ascending."""
+        size, n = self.sizes[term], len(self.ends[term])
+        if self.found[term] is None:
+            self.found[term] = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        docs, impacts = self.found[term]
+        new = blocks[~self.open[term][blocks]]
+        if len(new):
+            ends = self.ends[term]
+            begins = np.r_[0, ends[:-1]]
+            values = from_varints(self.payload[term][spans(begins[new], ends[new] - begins[new])])
+            lengths = np.minimum(BLOCK, size - new * BLOCK)
+            gaps = values[::2]
+            upto = np.cumsum(gaps)
+            first = np.cumsum(lengths) - lengths
+            at = spans(new * BLOCK, lengths)
+            docs[at] = upto - np.repeat(upto[first] - gaps[first], lengths)  # the first of each block is whole
+            impacts[at] = values[1::2] * self.weights[term]
+            self.open[term][new] = True
+        if len(blocks) == n:
+            return docs, impacts
+        at = spans(blocks * BLOCK, np.minimum(BLOCK, size - blocks * BLOCK))
+        return docs[at], impacts[at]
 
 
 def block_max_wand(shard: Shard, terms: list[int], k: int, least: int = 0) -> list[tuple[int, int]]:
     """The k best (score, document) of a query's terms with a score above ``least``; ties to smaller documents.
 
-    Documents come in ascending order, so that a later one of an equal score never enters.
+    Shallow pointers pass over the blocks of all lists at once: between two places at which a block begins or ends the
+    same blocks hold, and the sum of their maxima bounds every document there.  Stretches become pivots in the order of their
+    bounds, a few documents first and then more at a time; those whose bound is below the k-th score so far are skipped, and
+    blocks that only lie in skipped stretches are never decompressed.
     """
-    cursors = [Cursor(shard, t) for t in terms if shard.weights[t] > 0]
-    scores, docs, threshold = np.zeros(0, np.int64), np.zeros(0, np.int64), least
-    by_doc = attrgetter("doc")
-    while cursors:
-        cursors.sort(key=by_doc)
-        bound, n = 0, 0
-        for x in cursors:
-            bound, n = bound + x.most, n + 1
-            if bound > threshold:
-                break
-        if bound <= threshold:
-            break  # all lists together can't beat the threshold any more
-        pivot = cursors[n - 1].doc
-        while n < len(cursors) and cursors[n].doc == pivot:
-            n += 1
-        near = cursors[:n]
-        if not all([x.shallow(pivot) for x in near]):
-            cursors = [x for x in cursors if x.block < len(x.lasts)]
-            continue
-        # No list enters or leaves a block up to here, so one bound holds for all these documents.
-        end = min(x.lasts[x.block] for x in near)
-        if n < len(cursors):
-            end = min(end, cursors[n].doc - 1)
-        if sum(x.maxima[x.block] for x in near) > threshold:
-            total = np.zeros(end - pivot + 1, np.int64)
-            for x in near:
-                d, w = shard.block(x.term, x.block)
-                a, b = d.searchsorted((pivot, end + 1))
-                total[d[a:b] - pivot] += w[a:b]
-            better = np.flatnonzero(total > threshold)
-            if len(better):
-                scores, docs = np.concatenate([scores, total[better]]), np.concatenate([docs, better + pivot])
-                best = np.lexsort((docs, -scores))[:k]
-                scores, docs = scores[best], docs[best]
-                if len(scores) == k:
-                    threshold = max(threshold, int(scores[-1]))
-        gone = [x for x in near if not x.advance(end + 1)]
-        if gone:
-            cursors = [x for x in cursors if x.block < len(x.lasts)]
-    best = np.lexsort((docs, -scores))
-    return list(zip(scores[best].tolist(), docs[best].tolist(), strict=True))
+    terms = [t for t in terms if shard.weights[t] > 0]
+    if not terms:
+        return []
+    extents = [shard.extents(t) for t in terms]
+    first, last, most = (np.concatenate(x) for x in zip(*extents, strict=True))
+    edges = np.unique(np.concatenate([first, last + 1]))
+    low, high = np.searchsorted(edges, first), np.searchsorted(edges, last + 1)
+    change = np.zeros(len(edges), np.int64)
+    np.add.at(change, low, most)
+    np.subtract.at(change, high, most)
+    bound, width = np.cumsum(change)[:-1], np.diff(edges)
+    order = np.argsort(-bound, kind="stable")
+    begins = np.cumsum([0, *(len(x) for x, _, _ in extents)]).tolist()
+    scores, docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    quota = 4 * k
+    while len(order):
+        floor = int(scores[-1]) if len(scores) == k else 0
+        order = order[(bound[order] > least) & (bound[order] >= floor)]  # a tie with the k-th may precede it
+        n = int(np.searchsorted(np.cumsum(width[order]), quota)) + 1
+        pivots, order, quota = order[:n], order[n:], 8 * quota
+        if not len(pivots):
+            break
+        chosen = np.cumsum(np.bincount(pivots + 1, minlength=len(edges)))  # pivots before each edge
+        needed = chosen[high] > chosen[low]
+        total = np.zeros(shard.documents, np.int64)
+        for t, a, b in zip(terms, begins, begins[1:], strict=False):
+            if needed[a:b].any():
+                own, impacts = shard.postings(t, np.flatnonzero(needed[a:b])) if len(shard.lasts[t]) > 1 else shard.postings(t, ONE)
+                total[own] += impacts
+        near = spans(edges[pivots], width[pivots])
+        near = near[(total[near] > least) & (total[near] >= floor)]
+        scores, docs = np.concatenate([scores, total[near]]), np.concatenate([docs, near])
+        best = np.lexsort((docs, -scores))[:k]
+        scores, docs = scores[best], docs[best]
+    return list(zip(scores.tolist(), docs.tolist(), strict=True))
 
 
 def _answers(rows: DataFrame, k: int) -> DataFrame:
@@ -299,7 +302,7 @@ def _answers(rows: DataFrame, k: int) -> DataFrame:
         of_ids = pc.equal(rows.column("term"), "")
         ids = np.frombuffer(b"".join(rows.filter(of_ids).column("payload").to_pylist()), "<i8")
         lists = rows.filter(pc.invert(of_ids)).combine_chunks()
-        shard, named = Shard(lists), {}
+        shard, named = Shard(lists, len(ids)), {}
         for t, items in enumerate(lists.column("items").to_pylist()):
             for x in items:
                 named.setdefault(x["item_id"], (x["least"], []))[1].append(t)
@@ -337,7 +340,7 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
         own = (F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0) == F.lit(first)
         start = weighted.withColumn("least", F.lit(0).cast("long")) if least is None else weighted.join(least, "item_id", "left").na.fill(0, ["least"])
         by_term = start.groupBy("part", "term", "weight").agg(F.collect_list(F.struct("item_id", "least")).alias("items"))  # at most the queries of a part
-        columns = ["shard", "part", "term", "lasts", "maxima", "ends", "payload", "weight", "items"]
+        columns = ["shard", "part", "term", "df", "lasts", "maxima", "ends", "payload", "weight", "items"]
         lists = held.where(own).join(by_term, "term").select(*columns)
         empty = F.lit(None).cast(by_term.schema["items"].dataType)
         of_shards = ids.where(own).withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "weight": F.lit(0).cast("long"), "items": empty}).select(*columns)
