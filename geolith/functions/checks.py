@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from geolith.functions.spatial import col
 
-# The formats of keys.
-SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
-SHA256 = "^[0-9a-f]{64}$"
-BUILDING_KEY = "^kcb-[0-9a-f]{64}$"
-OBJECT_ID = "^(0|[1-9][0-9]*)$"
-TIMESTAMP = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\\.[0-9]{3}Z$"
+# The formats of keys, and the characters that count as white space.
+SLUG = "[a-z0-9]+(-[a-z0-9]+)*"
+SHA256 = "[0-9a-f]{64}"
+BUILDING_KEY = "kcb-[0-9a-f]{64}"
+OBJECT_ID = "0|[1-9][0-9]*"
+TIMESTAMP = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\\.[0-9]{3}Z"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def matches(value: str | Column, pattern: str) -> Column:
-    """Whether the whole value has the form; null has not."""
-    return F.coalesce(col(value).rlike(pattern), F.lit(False))
+    """Whether the whole value has the form, to its last character; null has not."""
+    return F.coalesce(col(value).rlike(f"\\A(?:{pattern})\\z"), F.lit(False))
+
+
+def stripped(value: str | Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.trim(col(value), F.lit(SPACES))
 
 
 def is_timestamp(value: str | Column) -> Column:
@@ -28,12 +34,12 @@ def is_timestamp(value: str | Column) -> Column:
 
 def object_id(value: str | Column) -> Column:
     """The identifier as a number, or null unless the trimmed text is a canonical one."""
-    trimmed = F.trim(col(value))
+    trimmed = stripped(value)
     return F.when(matches(trimmed, OBJECT_ID), F.try_to_number(trimmed, F.lit("9999999999999999999")).cast("long"))
 
 
 def is_identity(value: str | Column) -> Column:
-    return F.coalesce(F.trim(col(value)) != "", F.lit(False))
+    return F.coalesce(stripped(value) != "", F.lit(False))
 
 
 def is_position(x: str | Column, y: str | Column) -> Column:
@@ -90,7 +96,7 @@ def key_faults(document: str | Column, expected: list[str]) -> Column:
 def text_fault(value: str | Column) -> Column:
     """'null', 'blank' or 'untrimmed', or null for sound text."""
     value = col(value)
-    return F.when(value.isNull(), "null").when(F.trim(value) == "", "blank").when(F.trim(value) != value, "untrimmed")
+    return F.when(value.isNull(), "null").when(stripped(value) == "", "blank").when(stripped(value) != value, "untrimmed")
 
 
 def array_fault(values: str | Column) -> Column:

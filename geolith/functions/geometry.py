@@ -1,38 +1,34 @@
 """Geometries as arrays of parts of rings of points: codecs, validity, bounds, scores, simplification, containment.
 
 A geometry is (geometry_type, parts): parts > rings > points {x, y}; a line is a part with one ring.
-What Spark's array functions express is a column expression; codecs and simplification are Arrow UDFs.
+What Spark's array functions express is a column expression; codecs, inspection and simplification are Arrow UDFs
+over the flat buffers of a batch (flat.py).
 """
 
 from __future__ import annotations
 
 import json
-import struct
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolith.functions import flat
 from geolith.functions.spatial import col
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 PARTS = T.ArrayType(T.ArrayType(T.ArrayType(POINT)))
 GEOMETRY = T.StructType([T.StructField("geometry_type", T.StringType()), T.StructField("parts", PARTS)])
 
-# Type codes of well-known binary, and what GeoPackage blobs begin with.
-WKB_CODES = {"LineString": 2, "Polygon": 3, "MultiLineString": 5, "MultiPolygon": 6}
-SINGLE_OF = {"MultiLineString": "LineString", "MultiPolygon": "Polygon"}
-GPKG_MAGIC, GPKG_VERSION, GPKG_FLAGS, SRID = b"GP", 0, 0b11, 4326
 #: Coordinates are scored as whole numbers of this fraction of a degree.
 SCALE = 1e7
 
-Ring = list[tuple[float, float]]
-Parts = list[list[Ring]]
-
 
 def points(parts: str | Column) -> Column:
     """All points of a geometry."""
@@ -125,200 +121,50 @@ def svg_path(parts: str | Column, closed: bool) -> Column:
     return F.array_join(F.transform(F.flatten(col(parts)), ring), " ")
 
 
-# Codecs: rows of Python lists and bytes within an Arrow batch.
-
-
-def to_wkb(geometry_type: str, parts: Parts) -> bytes:
-    """Little-endian well-known binary."""
-
-    def ring(points_: Ring) -> bytes:
-        return struct.pack("<I", len(points_)) + struct.pack(f"<{2 * len(points_)}d", *[v for p in points_ for v in p])
-
-    def single(kind: str, rings: list[Ring]) -> bytes:
-        head = struct.pack("<BI", 1, WKB_CODES[kind])
-        if kind == "LineString":
-            return head + ring(rings[0])
-        return head + struct.pack("<I", len(rings)) + b"".join(map(ring, rings))
-
-    if geometry_type in SINGLE_OF:
-        return struct.pack("<BII", 1, WKB_CODES[geometry_type], len(parts)) + b"".join(single(SINGLE_OF[geometry_type], p) for p in parts)
-    if len(parts) != 1:
-        raise ValueError("a single geometry has one part")
-    return single(geometry_type, parts[0])
-
-
-def from_wkb(data: bytes) -> tuple[str, Parts]:
-    """Either byte order; ValueError for other types and for bytes that are missing or left over."""
-    kinds = {code: kind for kind, code in WKB_CODES.items()}
-    at = 0
-
-    def take(form: str) -> tuple:
-        nonlocal at
-        size = struct.calcsize(form)
-        if at + size > len(data):
-            raise ValueError("geometry ends early")
-        out = struct.unpack_from(form, data, at)
-        at += size
-        return out
-
-    def ring(order: str) -> Ring:
-        (n,) = take(order + "I")
-        if 16 * n > len(data) - at:
-            raise ValueError("geometry ends early")
-        flat = take(f"{order}{2 * n}d")
-        return list(zip(flat[::2], flat[1::2], strict=True))
-
-    def head() -> tuple[str, str]:
-        (first,) = take("<B")
-        if first > 1:
-            raise ValueError("unknown byte order")
-        order = "<" if first else ">"
-        (code,) = take(order + "I")
-        if code not in kinds:
-            raise ValueError(f"unknown geometry type {code}")
-        return order, kinds[code]
-
-    def single(order: str, kind: str) -> list[Ring]:
-        if kind == "LineString":
-            return [ring(order)]
-        (n,) = take(order + "I")
-        return [ring(order) for _ in range(n)]
-
-    order, kind = head()
-    if kind in SINGLE_OF:
-        (n,) = take(order + "I")
-        parts = []
-        for _ in range(n):
-            inner_order, inner = head()
-            if inner != SINGLE_OF[kind]:
-                raise ValueError("a part is of another type")
-            parts.append(single(inner_order, inner))
-    else:
-        parts = [single(order, kind)]
-    if at != len(data):
-        raise ValueError("bytes are left over")
-    return kind, parts
-
-
-def _box(parts: Parts) -> tuple[float, float, float, float]:
-    flat = np.array([p for rings in parts for r in rings for p in r], float)
-    return flat[:, 0].min(), flat[:, 0].max(), flat[:, 1].min(), flat[:, 1].max()
-
-
-def to_gpkg(geometry_type: str, parts: Parts, srid: int = SRID) -> bytes:
-    """A GeoPackage blob: header, envelope (min x, max x, min y, max y), well-known binary."""
-    return struct.pack("<2sBBi4d", GPKG_MAGIC, GPKG_VERSION, GPKG_FLAGS, srid, *_box(parts)) + to_wkb(geometry_type, parts)
-
-
-def from_gpkg(blob: bytes, srid: int = SRID) -> tuple[str, Parts]:
-    """ValueError unless the header is the one that to_gpkg writes and the envelope equals the bounds."""
-    if len(blob) < 40:
-        raise ValueError("blob ends early")
-    magic, version, flags, own, *box = struct.unpack_from("<2sBBi4d", blob)
-    if (magic, version, flags, own) != (GPKG_MAGIC, GPKG_VERSION, GPKG_FLAGS, srid):
-        raise ValueError("not such a blob")
-    kind, parts = from_wkb(blob[40:])
-    if tuple(box) != tuple(_box(parts)):
-        raise ValueError("the envelope is not the bounds")
-    return kind, parts
+# Codecs, checks and simplification of whole Arrow batches.
 
 
-def _plain(parts) -> Parts:
-    """Python lists from Arrow's rows."""
-    return [[[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in parts]
+@F.arrow_udf(T.BinaryType())
+def wkb(geometry_type: pa.Array, parts: pa.Array) -> pa.Array:
+    """Little-endian well-known binary; null where there are no parts, or parts that the type doesn't have."""
+    return flat.to_blobs(flat.from_arrow(parts), flat.codes(geometry_type))
 
 
-def _rows(parts: Parts) -> list:
-    return [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in parts]
+@F.arrow_udf(T.BinaryType())
+def gpkg(geometry_type: pa.Array, parts: pa.Array) -> pa.Array:
+    """A GeoPackage blob: header, envelope (min x, max x, min y, max y), well-known binary."""
+    return flat.to_blobs(flat.from_arrow(parts), flat.codes(geometry_type), header=True)
 
 
-@F.pandas_udf(T.BinaryType())
-def wkb(geometry_type: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else to_wkb(k, _plain(p)) for k, p in zip(geometry_type, parts, strict=True)], dtype=object)
+@F.arrow_udf(GEOMETRY)
+def decoded(blob: pa.Array) -> pa.Array:
+    """The geometry of a GeoPackage blob, or null where it is none."""
+    kinds, found, fault = flat.from_blobs(blob, header=True)
+    return pa.StructArray.from_arrays([flat.names(kinds), flat.to_arrow(found)], ["geometry_type", "parts"], mask=pa.array(fault > 0))
 
 
-@F.pandas_udf(T.BinaryType())
-def gpkg(geometry_type: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else to_gpkg(k, _plain(p)) for k, p in zip(geometry_type, parts, strict=True)], dtype=object)
+INSPECTED = T.StructType([T.StructField("fault", T.StringType()), T.StructField("geometry_type", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("min_x", "min_y", "max_x", "max_y")]])
 
 
-@F.udf(GEOMETRY, useArrow=True)
-def decoded(blob):
-    """The geometry of a GeoPackage blob, or null where it is none."""
-    try:
-        kind, parts = from_gpkg(bytes(blob)) if blob is not None else (None, None)
-    except ValueError:
-        return None
-    return None if parts is None else (kind, _rows(parts))
-
-
-# Simplification.
-
-
-def _distances(points_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances to the segment from a to b."""
-    d = b - a
-    square = float(d @ d)
-    along = np.zeros(len(points_)) if square == 0 else np.clip((points_ - a) @ d / square, 0.0, 1.0)
-    rest = points_ - (a + along[:, None] * d)
-    return (rest * rest).sum(1)
-
-
-def simplified_path(path: Ring, tolerance: float) -> Ring:
-    """Douglas and Peucker: points farther than the tolerance stay, the first of those as far as the farthest.
-
-    With a tolerance of 0 or less all points stay.
-    """
-    if tolerance <= 0:
-        return list(path)
-    at = np.array(path, float).reshape(-1, 2)
-    keep = np.zeros(len(at), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(at) - 1)]
-    while todo:
-        start, end = todo.pop()
-        if end - start < 2:
-            continue
-        far = _distances(at[start + 1 : end], at[start], at[end])
-        if far[k := int(far.argmax())] > tolerance * tolerance:
-            middle = start + 1 + k
-            keep[middle] = True
-            todo += [(start, middle), (middle, end)]
-    return [path[i] for i in np.flatnonzero(keep)]
-
-
-def simplified_line(path: Ring, tolerance: float) -> Ring:
-    out = simplified_path(path, tolerance)
-    return out if len(set(out)) >= 2 else [path[0], path[-1]]
-
-
-def simplified_ring(ring: Ring, tolerance: float, untouched: int = 3) -> Ring:
-    """A closed ring, cut at its smallest vertex and the one farthest from it; the original if it collapses.
-
-    untouched: rings of at most so many points stay as they are.
-    """
-    if len(ring) <= untouched:
-        return ring
-    open_ = ring[:-1]
-    first = min(range(len(open_)), key=lambda i: (open_[i], i))
-    turned = open_[first:] + open_[:first]
-    at = np.array(turned, float)
-    far = int(((at - at[0]) ** 2).sum(1).argmax())
-    if far == 0:
-        return ring
-    out = simplified_path(turned[: far + 1], tolerance)[:-1] + simplified_path([*turned[far:], turned[0]], tolerance)
-    return out if len(set(out)) >= 3 else ring
+@F.arrow_udf(INSPECTED)
+def inspected(blob: pa.Array) -> pa.Array:
+    """What a GeoPackage blob holds: the fault that ends its reading or 'invalid' (see is_valid), its type and the bounds of its points."""
+    kinds, found, fault = flat.from_blobs(blob, header=True)
+    names = pa.array(flat.FAULTS).take(pa.array(fault))
+    valid = pa.array(flat.sound(found, kinds) | (fault > 0))
+    names = pc.if_else(valid, names, "invalid")
+    box = flat.envelopes(found)
+    columns = [pa.array(box[:, i], mask=np.isnan(box[:, i])) for i in (0, 2, 1, 3)]
+    return pa.StructArray.from_arrays([names, flat.names(kinds), *columns], INSPECTED.names)
 
 
 def simplify(tolerance: float, untouched: int = 3) -> Callable[[str | Column, str | Column], Column]:
-    """A function of geometry type and parts: the simplified parts."""
+    """A function of geometry type and parts: the simplified parts (see flat.simplified)."""
 
-    @F.udf(PARTS, useArrow=True)
-    def run(kind, parts):
-        if parts is None:
-            return None
-        one = (lambda r: simplified_line(r, tolerance)) if kind.endswith("LineString") else (lambda r: simplified_ring(r, tolerance, untouched))
-        return _rows([[one(r) for r in rings] for rings in _plain(parts)])
+    @F.arrow_udf(PARTS)
+    def run(kind: pa.Array, parts: pa.Array) -> pa.Array:
+        found = flat.simplified(flat.from_arrow(parts), flat.codes(kind), tolerance, untouched)
+        return flat.to_arrow(found, parts.is_null().to_numpy(zero_copy_only=False))
 
     return run
 
@@ -364,9 +210,19 @@ def canonical_json(value: object) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def canonical(document: pd.Series) -> pd.Series:
-    """The canonical form of JSON documents, floating-point numbers included."""
-    return document.map(lambda d: None if d is None else canonical_json(json.loads(d)))
+def canonical(document: pd.Series, name: pd.Series, value: pd.Series) -> pd.Series:
+    """The canonical form of JSON objects, with the value (if not null) in place of what they have under the name; null for what is no object."""
+
+    def one(text: str | None, key: str, own: str | None) -> str | None:
+        try:
+            found = None if text is None else json.loads(text)
+        except ValueError:
+            return None
+        if not isinstance(found, dict):
+            return None
+        return canonical_json(found if own is None else found | {key: own})
+
+    return pd.Series([one(*row) for row in zip(document, name, value, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())

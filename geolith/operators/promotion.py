@@ -18,23 +18,26 @@ def with_comparisons(plan: DataFrame, comparisons: DataFrame, group: str) -> Dat
 def state_faults(releases: DataFrame, plan: DataFrame, group: str, version: str) -> DataFrame:
     """group, version and rule where the stored releases are not what the plan leaves.
 
-    releases: group, version, lifecycle, superseded_by; plan: of release.transition.
+    releases: group, version, lifecycle, superseded_by; plan: of release.transition.  What supersedes a release is compared
+    where the plan moves it; releases that were superseded before keep what they have.
     """
-    want = plan.select(group, version, F.col("after").alias("__want"), F.col("superseded_by").alias("__by"), F.lit(True).alias("__planned"))
+    moved = ~F.col("before").eqNullSafe(F.col("after"))
+    want = plan.select(group, version, F.col("after").alias("__want"), F.col("superseded_by").alias("__by"), moved.alias("__moved"))
     j = releases.select(group, version, "lifecycle", "superseded_by", F.lit(True).alias("__stored")).join(want, [group, version], "full_outer")
     rules = {
-        "missing": F.col("__stored").isNull(), "unplanned": F.col("__planned").isNull(),
-        "lifecycle": F.col("lifecycle") != F.col("__want"),
-        "superseded_by": F.col("__stored") & F.col("__planned") & ~F.col("superseded_by").eqNullSafe(F.col("__by")),
+        "missing": F.col("__stored").isNull(), "unplanned": F.col("__moved").isNull(),
+        "lifecycle": ~F.col("lifecycle").eqNullSafe(F.col("__want")) & F.col("__stored") & F.col("__moved").isNotNull(),
+        "superseded_by": F.col("__stored") & F.col("__moved") & ~F.col("superseded_by").eqNullSafe(F.col("__by")),
     }
     return release.violations(j, [group, version], rules)
 
 
 def activated(releases: DataFrame, plan: DataFrame, group: str, version: str) -> DataFrame:
     """The releases after a plan: lifecycle and superseded_by of the rows that it moves are its own."""
-    new = plan.select(group, version, F.col("after").alias("__after"), F.col("superseded_by").alias("__by"))
-    j = releases.drop("superseded_by").join(new, [group, version], "left")
-    return j.withColumns({"lifecycle": F.coalesce("__after", "lifecycle"), "superseded_by": F.col("__by")}).drop("__after", "__by")
+    moved = plan.where("NOT (before <=> after)").select(group, version, F.col("after").alias("__after"), F.col("superseded_by").alias("__by"))
+    j = releases.join(moved, [group, version], "left")
+    by = F.when(F.col("__after").isNull(), F.col("superseded_by")).otherwise(F.col("__by"))
+    return j.withColumns({"superseded_by": by, "lifecycle": F.coalesce("__after", "lifecycle")}).drop("__after", "__by")
 
 
 def restored(releases: DataFrame, plan: DataFrame, group: str, version: str) -> DataFrame:

@@ -96,10 +96,12 @@ def schema_faults(df: DataFrame, expected) -> list[str]:
 def state_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: count and digest of all rows, whatever their order.
 
+    A value goes in with its length, so that rows of other values have other digests wherever their values are divided.
     The sorted digests of rows are digested by their first four hexadecimal digits, those by their first two, and
     those together: no task holds more than 1/65536 of the rows.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
     level = rows.select(F.sha2(text, 256).alias("h")).select("h", F.substring("h", 1, 4).alias("prefix"), F.lit(1).cast("long").alias("n"))
     for digits in (2, 0):
         level = level.groupBy("prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.functions import checks
+from geolith.functions import checks, geometry, strict
 
 # The geometry types that each layer may hold.
 LAYER_TYPES = {
@@ -60,6 +60,34 @@ def scan_faults(scanned: DataFrame, key: list[str], group: str, ordinal: str, ru
     return rows.unionByName(gaps)
 
 
+#: Reads of a stored feature that its own columns must bear out; each is true where it is broken.  ``g`` is what the blob holds.
+INTEGRITY_RULES = {
+    "geometry": "g.fault IS NOT NULL",
+    "geometry_type": "g.fault IS NULL AND NOT (g.geometry_type <=> geometry_type)",
+    "geometry_sha256": "g.fault IS NULL AND NOT (geometry_sha256 <=> sha2(substring(geometry, 41), 256))",
+    "bounds": "g.fault IS NULL AND NOT (min_x <=> g.min_x AND min_y <=> g.min_y AND max_x <=> g.max_x AND max_y <=> g.max_y)",
+    "attributes": "attributes_json IS NULL OR size(json_faults) > 0",
+    "attributes_sha256": "NOT (attributes_sha256 <=> sha2(attributes_json, 256))",
+    "identity": "NOT (identity_in_attributes <=> source_feature_id)",
+    "content_sha256": "NOT (content_sha256 <=> sha2(concat('{\"attributes_sha256\":\"', attributes_sha256, '\",\"geometry_sha256\":\"', geometry_sha256, '\",\"source_feature_id\":\"', source_feature_id, '\"}'), 256))",
+    "source_ordinal": "coalesce(source_ordinal < 1, true)",
+}
+
+
+def integrity(rows: DataFrame, layer: str, id_property: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """source_feature_id, source_ordinal and rule of everything in stored features that their own columns don't bear out, in one pass.
+
+    rows have the columns of geojson.normalise (without fault).  A blob is decoded with its batch, its type and bounds are compared, the three digests computed
+    again, and the attributes read strictly; 'layer_type' is a type that the layer may not hold, 'blank' an identity without text.  ``rules``: more of them (SQL),
+    over other columns of the rows.
+    """
+    identity = checks.stripped(F.get_json_object("attributes_json", f"$['{id_property}']"))
+    types = ", ".join(f"'{t}'" for t in LAYER_TYPES[layer])
+    every = INTEGRITY_RULES | {"layer_type": f"g.fault IS NULL AND g.geometry_type NOT IN ({types})", "blank": "NOT sound_identity"} | (rules or {})
+    read = rows.withColumns({"g": geometry.inspected("geometry"), "json_faults": strict.faults("attributes_json"), "identity_in_attributes": identity, "sound_identity": checks.is_identity("source_feature_id")})
+    return broken(read, ["source_feature_id", "source_ordinal"], every)
+
+
 def identity_faults(identities: DataFrame, mappings: DataFrame, algorithm: str) -> DataFrame:
     """project_key and rule: keys that are not derived from their origin, and origins without exactly one initial mapping.
 

@@ -423,10 +423,13 @@ def json_fallback(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", checks.first_field("k", "first", "props").alias("k"))
 
 
-@query("pattern_checks", """SELECT c_custkey, regexp_full_match(replace(lower(c_name), '#', '-'), '[a-z0-9]+(-[a-z0-9]+)*') AS slug, regexp_full_match(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE sha256(c_name) END, '[0-9a-f]{64}') AS digest FROM customer""")
+@query("pattern_checks", """SELECT c_custkey, regexp_full_match(replace(lower(c_name), '#', '-') || CASE WHEN c_custkey % 4 = 0 THEN chr(10) ELSE '' END, '[a-z0-9]+(-[a-z0-9]+)*') AS slug,
+  regexp_full_match(CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 5 = 0 THEN sha256(c_name) || chr(10) ELSE sha256(c_name) END, '[0-9a-f]{64}') AS digest FROM customer""")
 def pattern_checks(spark: SparkSession, d: str) -> DataFrame:
-    digest = F.when(F.expr("c_custkey % 3 = 0"), F.col("c_name")).otherwise(F.sha2("c_name", 256))
-    return table(spark, d, "customer").select("c_custkey", checks.matches(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), checks.SLUG).alias("slug"), checks.matches(digest, checks.SHA256).alias("digest"))
+    """Some have a newline at their end."""
+    digest = F.when(F.expr("c_custkey % 3 = 0"), F.col("c_name")).when(F.expr("c_custkey % 5 = 0"), F.concat(F.sha2("c_name", 256), F.lit("\n"))).otherwise(F.sha2("c_name", 256))
+    slug = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.when(F.expr("c_custkey % 4 = 0"), "\n").otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", checks.matches(slug, checks.SLUG).alias("slug"), checks.matches(digest, checks.SHA256).alias("digest"))
 
 
 @query("datetime_checks", "SELECT event_id, event_id % 7 <> 0 AND event_id % 5 <> 0 AS ok FROM events")

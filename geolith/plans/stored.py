@@ -15,7 +15,7 @@ from geolith.sources import staging
 
 def digest_sql(relation: str, columns: list[str]) -> str:
     """n and sha256 of a relation, as release.state_digest computes them."""
-    text = ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    text = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
     return f"""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce(string_agg(h, ',' ORDER BY h), '')) AS sha256 FROM (
   SELECT substr(p, 1, 2) || ':' || sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM (
     SELECT substr(h, 1, 4) AS p, substr(h, 1, 4) || ':' || sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM (
@@ -197,25 +197,55 @@ def promotion_plan(spark: SparkSession, d: str) -> DataFrame:
     return promotion.with_comparisons(release.transition(rows, "dataset", "release_key"), compared, "dataset")
 
 
-@query("promoted_state", f"""WITH {NEWEST}, {AFTER}, s AS (SELECT dataset, release_key, CASE WHEN release_key % 19 = 0 THEN 'rejected' ELSE after END AS lifecycle, CASE WHEN release_key % 7 <> 0 THEN superseded_by END AS superseded_by FROM after WHERE release_key % 23 <> 0)
+#: Releases that were superseded before the promotion, by the one after them, beside the accepted ones and candidates.
+HELD = "SELECT dataset, release_key, CASE lifecycle WHEN 'rejected' THEN 'superseded' ELSE lifecycle END AS lifecycle, CASE lifecycle WHEN 'rejected' THEN release_key + 1 END AS superseded_by"
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return _releases(spark, d).selectExpr(*HELD.removeprefix("SELECT ").split(", "))
+
+
+HELD_SQL = f"""r AS ({HELD} FROM ({RELEASES})), c AS (SELECT dataset, max(release_key) AS promoted FROM r WHERE lifecycle = 'candidate' GROUP BY 1),
+after AS (SELECT dataset, release_key, lifecycle AS before, CASE WHEN lifecycle = 'accepted' AND promoted IS NOT NULL THEN 'superseded' WHEN lifecycle = 'candidate' AND release_key = promoted THEN 'accepted' ELSE lifecycle END AS after,
+  CASE WHEN lifecycle = 'accepted' THEN promoted ELSE superseded_by END AS superseded_by FROM r LEFT JOIN c USING (dataset))"""
+
+
+@query("promoted_state", f"""WITH {HELD_SQL}, s AS (SELECT dataset, release_key, CASE WHEN release_key % 19 = 0 THEN 'rejected' ELSE after END AS lifecycle, CASE WHEN release_key % 7 <> 0 THEN superseded_by END AS superseded_by FROM after WHERE release_key % 23 <> 0)
 SELECT dataset, release_key, 'missing' AS rule FROM after WHERE release_key % 23 = 0 UNION ALL SELECT dataset, release_key, 'lifecycle' FROM s JOIN after a USING (dataset, release_key) WHERE s.lifecycle <> a.after
-UNION ALL SELECT dataset, release_key, 'superseded_by' FROM s JOIN after a USING (dataset, release_key) WHERE s.superseded_by IS DISTINCT FROM a.superseded_by""")
+UNION ALL SELECT dataset, release_key, 'superseded_by' FROM s JOIN after a USING (dataset, release_key) WHERE before <> after AND s.superseded_by IS DISTINCT FROM a.superseded_by""")
 def promoted_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = _releases(spark, d)
+    """Faults that others left after a promotion; releases that were superseded earlier are sound."""
+    rows = _held(spark, d)
     plan = release.transition(rows, "dataset", "release_key")
-    held = promotion.activated(rows.withColumn("superseded_by", F.lit(None).cast("long")), plan, "dataset", "release_key").where("release_key % 23 <> 0")
+    held = promotion.activated(rows, plan, "dataset", "release_key").where("release_key % 23 <> 0")
     held = held.withColumns({"lifecycle": F.expr("CASE WHEN release_key % 19 = 0 THEN 'rejected' ELSE lifecycle END"), "superseded_by": F.expr("CASE WHEN release_key % 7 <> 0 THEN superseded_by END")})
     return promotion.state_faults(held, plan, "dataset", "release_key")
 
 
-@query("restored_releases", f"WITH {NEWEST}, {AFTER} SELECT dataset, release_key, CASE WHEN before <> after THEN before WHEN release_key % 29 = 0 THEN 'archived' ELSE after END AS lifecycle FROM after")
+@query("activated_releases", f"WITH {HELD_SQL} SELECT dataset, release_key, after AS lifecycle, superseded_by FROM after")
+def activated_releases(spark: SparkSession, d: str) -> DataFrame:
+    rows = _held(spark, d)
+    return promotion.activated(rows, release.transition(rows, "dataset", "release_key"), "dataset", "release_key").select("dataset", "release_key", "lifecycle", "superseded_by")
+
+
+@query("restored_releases", f"WITH {HELD_SQL} SELECT dataset, release_key, CASE WHEN before <> after THEN before WHEN release_key % 29 = 0 THEN 'archived' ELSE after END AS lifecycle, CASE WHEN before = after THEN superseded_by END AS superseded_by FROM after")
 def restored_releases(spark: SparkSession, d: str) -> DataFrame:
     """Rows that others changed after the promotion keep their state: only what the plan moved goes back."""
-    rows = _releases(spark, d)
+    rows = _held(spark, d)
     plan = release.transition(rows, "dataset", "release_key")
-    held = promotion.activated(rows.withColumn("superseded_by", F.lit(None).cast("long")), plan, "dataset", "release_key")
+    held = promotion.activated(rows, plan, "dataset", "release_key")
     held = held.withColumn("lifecycle", F.expr("CASE WHEN release_key % 29 = 0 THEN 'archived' ELSE lifecycle END"))
-    return promotion.restored(held, plan, "dataset", "release_key").select("dataset", "release_key", "lifecycle")
+    return promotion.restored(held, plan, "dataset", "release_key").select("dataset", "release_key", "lifecycle", "superseded_by")
+
+
+@query("digest_separates", f"""SELECT 'divided' AS name, a.n AS n_before, a.sha256 AS sha256_before, b.n AS n_now, b.sha256 AS sha256_now, true AS refused
+FROM ({digest_sql("(SELECT p_name || '|=' || p_brand AS a, p_type AS b FROM part)", ["a", "b"])}) a, ({digest_sql("(SELECT p_name AS a, p_brand || '|=' || p_type AS b FROM part)", ["a", "b"])}) b""")
+def digest_separates(spark: SparkSession, d: str) -> DataFrame:
+    """The same text divided otherwise over two columns is another state."""
+    rows, mark = table(spark, d, "part"), F.lit("|=")
+    before = rows.select(F.concat("p_name", mark, "p_brand").alias("a"), F.col("p_type").alias("b"))
+    now = rows.select(F.col("p_name").alias("a"), F.concat("p_brand", mark, "p_type").alias("b"))
+    return promotion.guard({"divided": before}, {"divided": now}, {"divided": ["a", "b"]})
 
 
 @query("rollback_guard", duck("accepted candidate", f"""SELECT 'identities' AS name, a.n AS n_before, a.sha256 AS sha256_before, b.n AS n_now, b.sha256 AS sha256_now, a.sha256 <> b.sha256 AS refused FROM ({digest_sql("accepted", IDS)}) a, ({digest_sql("candidate", IDS)}) b
@@ -279,11 +309,34 @@ def snapshot_faults(spark: SparkSession, d: str) -> DataFrame:
     return staging.snapshot_faults(records.unionByName(more), header, "c_custkey", CLASSES)
 
 
-@query("package_manifest", duck("features", f"""SELECT 'large' AS role, n AS n_records, '2' AS levels, sha256 FROM ({digest_sql("(SELECT 2 AS level, id FROM features WHERE size >= 25)", ["level", "id"])})
-UNION ALL SELECT 'all' AS role, n, '0,1', sha256 FROM ({digest_sql("(SELECT CASE WHEN size >= 16 THEN 1 ELSE 0 END AS level, id FROM features)", ["level", "id"])})"""))
+PACKED = "SELECT {level} AS level, id, {sha}(concat('g', CAST({geometry} AS VARCHAR))) AS geometry_sha256, size FROM features WHERE {where}"
+LARGE = {"level": "2", "geometry": "id % 900", "where": "size >= 25"}
+ALL = {"level": "CASE WHEN size >= 16 THEN 1 ELSE 0 END", "geometry": "id % 900", "where": "true"}
+PACKED_COLUMNS = ["geometry_sha256", "id", "level", "size"]
+
+
+def _packed(spark: SparkSession, d: str, level: str, geometry: str, where: str) -> DataFrame:
+    sha = F.sha2(F.concat(F.lit("g"), F.expr(geometry).cast("string")), 256)
+    return features(spark, d).where(where).select(F.expr(level).alias("level"), "id", sha.alias("geometry_sha256"), "size")
+
+
+def _packed_sql(level: str, geometry: str, where: str) -> str:
+    return digest_sql("(" + PACKED.format(sha="sha256", level=level, geometry=geometry, where=where) + ")", PACKED_COLUMNS)
+
+
+@query("package_manifest", duck("features", f"SELECT 'large' AS role, n AS n_records, '2' AS levels, sha256 FROM ({_packed_sql(**LARGE)}) UNION ALL SELECT 'all' AS role, n, '0,1', sha256 FROM ({_packed_sql(**ALL)})"))
 def package_manifest(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d)
-    return staging.manifest({"large": rows.where("size >= 25").withColumn("level", F.lit(2)), "all": rows.withColumn("level", F.expr("CASE WHEN size >= 16 THEN 1 ELSE 0 END"))}, "id")
+    return staging.manifest({"large": _packed(spark, d, **LARGE), "all": _packed(spark, d, **ALL)})
+
+
+@query("manifest_changes", duck("features", f"""WITH a AS (SELECT 'large' AS role, * FROM ({_packed_sql(**LARGE)}) UNION ALL SELECT 'all', * FROM ({_packed_sql(**ALL)}) UNION ALL SELECT 'gone', * FROM ({_packed_sql(**LARGE)})),
+b AS (SELECT 'large' AS role, * FROM ({_packed_sql(**LARGE)}) UNION ALL SELECT 'all', * FROM ({_packed_sql(**ALL | {"geometry": "CASE WHEN id % 50 = 7 THEN -id ELSE id % 900 END"})}) UNION ALL SELECT 'new', * FROM ({_packed_sql(**LARGE)}))
+SELECT role, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'unknown' ELSE 'changed' END AS fault FROM a FULL JOIN b USING (role) WHERE a.sha256 IS DISTINCT FROM b.sha256"""))
+def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys with another geometry are another package."""
+    large, everything = _packed(spark, d, **LARGE), _packed(spark, d, **ALL)
+    other = _packed(spark, d, **ALL | {"geometry": "CASE WHEN id % 50 = 7 THEN -id ELSE id % 900 END"})
+    return staging.manifest_faults(staging.manifest({"large": large, "all": everything, "gone": large}), staging.manifest({"large": large, "all": other, "new": large}))
 
 
 # Text, time and view functions.
@@ -302,7 +355,7 @@ def time_functions(spark: SparkSession, d: str) -> DataFrame:
 CASE s_suppkey % 3 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'blank' END AS items FROM supplier""")
 def document_faults(spark: SparkSession, d: str) -> DataFrame:
     document = F.expr("""CASE s_suppkey % 4 WHEN 0 THEN '{"a":1,"b":2}' WHEN 1 THEN '{"a":1}' WHEN 2 THEN '{"c":0,"b":1,"a":2}' ELSE 'no object' END""")
-    text = F.expr("CASE s_suppkey % 4 WHEN 1 THEN ' ' WHEN 2 THEN ' x' WHEN 3 THEN 'x' END")
+    text = F.expr("CASE s_suppkey % 4 WHEN 1 THEN '\\t' WHEN 2 THEN 'x\\n' WHEN 3 THEN 'x' END")
     items = F.expr("CASE s_suppkey % 3 WHEN 0 THEN array('a', 'b', 'a') WHEN 1 THEN array('a', '') ELSE array('a', 'b') END")
     rows = table(spark, d, "supplier")
     return rows.select("s_suppkey", F.array_join(checks.key_faults(document, ["a", "b"]), ",").alias("keys"), checks.text_fault(text).alias("text"), checks.array_fault(items).alias("items"))
@@ -314,9 +367,9 @@ def class_colours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", checks.colour(name).alias("colour"))
 
 
-@query("identity_and_position", duck("features", "SELECT id, id % 3 = 0 AS identity, NOT (id % 7 = 0 OR id % 11 = 0) AS position FROM features"))
+@query("identity_and_position", duck("features", "SELECT id, id % 4 = 0 AS identity, NOT (id % 7 = 0 OR id % 11 = 0) AS position FROM features"))
 def identity_and_position(spark: SparkSession, d: str) -> DataFrame:
-    text = F.expr("CASE id % 3 WHEN 0 THEN concat(' ', id) WHEN 1 THEN ' ' END")
+    text = F.expr("CASE id % 4 WHEN 0 THEN concat('\\t', id) WHEN 1 THEN ' ' WHEN 2 THEN '\\t\\n\\u00a0' END")
     x, y = F.expr("CASE WHEN id % 7 = 0 THEN 181 ELSE min_x END"), F.expr("CASE WHEN id % 11 = 0 THEN double('NaN') ELSE min_y END")
     return features(spark, d).select("id", checks.is_identity(text).alias("identity"), checks.is_position(x, y).alias("position"))
 

@@ -89,13 +89,13 @@ def snapshot_faults(records: DataFrame, header: DataFrame, key: str, classes: li
     return j.select(F.explode(pairs).alias("p")).select("p.rule", "p.n").where("n <> 0")
 
 
-def manifest(components: dict[str, DataFrame], identity: str, level: str | None = "level") -> DataFrame:
-    """role, n_records, levels (as text) and sha256 of each component of a package, from its tables."""
+def manifest(components: dict[str, DataFrame], level: str = "level") -> DataFrame:
+    """role, n_records, levels (as text) and sha256 of each component of a package, from all columns of its tables."""
     out = None
     for role, df in components.items():
         levels = F.array_join(F.sort_array(F.collect_set(F.col(level).cast("string"))), ",") if level in df.columns else F.lit("")
         row = df.agg(levels.alias("levels")).select(F.lit(role).alias("role"), "levels")
-        digest = state_digest(df, [c for c in (level, identity) if c in df.columns]).select(F.lit(role).alias("role"), F.col("n").alias("n_records"), "sha256")
+        digest = state_digest(df, sorted(df.columns)).select(F.lit(role).alias("role"), F.col("n").alias("n_records"), "sha256")
         row = row.join(digest, "role").select("role", "n_records", "levels", "sha256")
         out = row if out is None else out.unionByName(row)
     return out

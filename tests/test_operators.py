@@ -113,24 +113,6 @@ def test_transition_and_rollback(spark):
     assert rows(release.rolled_back(plan, "dataset", "version"), "dataset", "version", "lifecycle") == rows(df, "dataset", "version", "lifecycle")
 
 
-def test_codecs():
-    for kind, parts in (("LineString", [[RING]]), ("Polygon", [[RING, HOLE]]), ("MultiPolygon", [[RING], [HOLE]]), ("MultiLineString", [[RING], [HOLE]])):
-        assert geometry.from_wkb(geometry.to_wkb(kind, parts)) == (kind, parts)
-        assert geometry.from_gpkg(geometry.to_gpkg(kind, parts)) == (kind, parts)
-    blob = geometry.to_gpkg("Polygon", [[RING]])
-    for bad in (blob[:-1], blob + b"\0", b"XX" + blob[2:], blob[:8] + b"\1" * 8 + blob[16:]):
-        with pytest.raises(ValueError):
-            geometry.from_gpkg(bad)
-
-
-def test_simplification():
-    assert geometry.simplified_path([(0, 0), (1, 0.001), (2, 0)], 0.01) == [(0, 0), (2, 0)]
-    assert geometry.simplified_path([(0, 0), (1, 0.1), (2, 0)], 0.01) == [(0, 0), (1, 0.1), (2, 0)]
-    ring = [(0.0, 0.0), (2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
-    assert geometry.simplified_ring(ring, 0.01) == [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
-    assert geometry.simplified_ring(ring, 100.0) == ring
-
-
 def test_containment(spark):
     points = [(0.0, 1.0, True), (1.0, 1.5, False), (5.0, 1.0, False), (0.5, 0.5, True)]  # on the boundary, on the hole's, outside, inside
     parts = [[[{"x": x, "y": y} for x, y in ring] for ring in (RING, HOLE)]]
@@ -138,10 +120,6 @@ def test_containment(spark):
     assert df.where(geometry.contains("x", "y", "parts") != F.col("want")).count() == 0
 
 
-def test_no_tolerance_keeps_all_points():
-    assert geometry.simplified_path([(0, 0), (1, 0), (2, 0)], 0.0) == [(0, 0), (1, 0), (2, 0)]
-
-
 def test_scores(spark):
     df = spark.createDataFrame([([[[(0.0, 0.0), (3e-7, 4e-7)]]],)], f"parts {geometry.PARTS.simpleString()}")
     assert df.select(geometry.length_score("parts")).first()[0] == 5

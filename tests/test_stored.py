@@ -40,12 +40,12 @@ def test_swap_and_recover(spark, tmp_path):
 
 def test_manifest_faults(spark):
     rows = {"a": spark.range(3).withColumn("level", F.lit(1)), "b": spark.range(4).withColumn("level", F.lit(0))}
-    stored_rows = staging.manifest(rows, "id")
-    assert staging.manifest_faults(stored_rows, staging.manifest(rows, "id")).count() == 0
+    stored_rows = staging.manifest(rows)
+    assert staging.manifest_faults(stored_rows, staging.manifest(rows)).count() == 0
     other = {"a": rows["a"].where("id < 2"), "c": rows["b"]}
-    found = {r.role: r.fault for r in staging.manifest_faults(stored_rows, staging.manifest(other, "id")).collect()}
+    found = {r.role: r.fault for r in staging.manifest_faults(stored_rows, staging.manifest(other)).collect()}
     assert found == {"a": "changed", "b": "missing", "c": "unknown"}
-    one, two = (staging.package_identity(staging.manifest(x, "id")).first()[0] for x in (rows, other))
+    one, two = (staging.package_identity(staging.manifest(x)).first()[0] for x in (rows, other))
     assert one != two and len(one) == 64
 
 
