@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geolith.llm.common import sliced, small_batches, table
+from geolith.llm.common import map_batches, sliced, small_batches, table
 
 #: The pre-tokenizer's pattern of the public vocabulary file's ByteLevel step.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -216,8 +217,7 @@ def encode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(ids, pa.binary())], [*keep, "ids"])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["ids binary"])
-    return small_batches(chosen).mapInArrow(run, schema)
+    return map_batches(chosen, run, T.StructType([*chosen.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -232,8 +232,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.binary()).cast(pa.string())], [*keep, "text"])
 
     chosen = encoded.select(*[F.col(f"`{c}`") for c in keep], "ids")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["text string"])
-    return small_batches(chosen).mapInArrow(run, schema)
+    return map_batches(chosen, run, T.StructType([*chosen.schema.fields[:-1], T.StructField("text", T.StringType())]))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

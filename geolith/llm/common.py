@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolith.tables import remove, save, shared_dir  # noqa: F401  for the operators
 
@@ -45,6 +46,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow over small batches, for columns of any names: they go by their places, since a name with a dot is no reference."""
+    places = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(places.names)
+
+    named = small_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return named.mapInArrow(placed, places).toDF(*schema.names)
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows and bytes; Spark itself bounds the bytes of a batch.
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import remove, save, sliced, small_batches, table
+from geolith.llm.common import map_batches, remove, save, sliced, small_batches, table
 
 DIMS = 4096
 #: Bytes of a text that are counted at once, so that memory stays bounded for texts of any length.
@@ -173,18 +173,19 @@ def held_out(of: str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_language: int = 500, clusters: int = 3, slack: float = 0.5) -> Centroids:
     """The model, from rows with a language that are not held out.
 
-    Texts are counted and each language's k-means runs in the executors; the driver gets the idf and the centroids.
+    At most ``per_language`` different rows of each language, the first by a hash of doc_id and text, are counted.  Texts are counted and each
+    language's k-means runs in the executors; the driver gets the idf and the centroids.
     """
-    hashed = F.xxhash64("doc_id")
-    first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
-    chosen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "lang")
+    # Rows are chosen, not doc_ids: a row without language is no example, whatever other rows of its doc_id have.
+    hashed = F.xxhash64("doc_id", "text").alias("h")
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("lang", hashed, "text")
     # A row for each language, of which the model itself, shipped to all tasks, holds centroids.
     # The first by hash are among those under a limit that OVER times as many reach, so that few rows of a common language are ranked.
-    shares = chosen.groupBy("lang").agg((F.lit(float(OVER * per_language)) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
-    chosen = chosen.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(hashed / F.lit(2.0**64) + 0.5 <= F.col("share"))
-    chosen = chosen.select("doc_id", "lang").withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= per_language)
-    ids = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).dropDuplicates(["__id"]))
-    rows = docs.join(ids, F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("__lang", "text")
+    shares = own.groupBy("lang").agg((F.lit(float(OVER * per_language)) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
+    near = own.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # of repeated rows one
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = once.withColumn("turn", turn).where(F.col("turn") <= per_language).select(F.col("lang").alias("__lang"), "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -233,7 +234,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "__lang", "__score", "__rejected"])
 
     schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score"), F.lit(False).alias("__rejected")).schema
-    return small_batches(docs).mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

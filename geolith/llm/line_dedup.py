@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.common import WHITE, remove, save, sliced, small_batches, table
+from geolith.llm.common import WHITE, map_batches, remove, save, sliced, small_batches, table
 
 
 #: Lines in more than one in HEAVY of all (document, line), and in LEAST at least, are common: there are HEAVY of them at most.
@@ -143,7 +143,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, batches: int = 4, fanout:
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*[F.col(f"`{n}`") for n in names], "__gone")
     fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    return small_batches(joined).mapInArrow(_rebuild(min_points, names), schema)
+    return map_batches(joined, _rebuild(min_points, names), schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import sliced, small_batches, table
+from geolith.llm.common import map_batches, sliced, table
 
 #: Statistics of a text, in the order in which statistics() returns them.
 STATISTICS = (
@@ -70,7 +70,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             found = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in found.T]], [*names, *new])
 
-    return small_batches(docs).mapInArrow(run, docs.select("*", *[F.lit(0.0).alias(n) for n in new]).schema)
+    return map_batches(docs, run, docs.select("*", *[F.lit(0.0).alias(n) for n in new]).schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # conditions: statistic, at most (else above), bound
@@ -182,13 +182,20 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> tuple[float, list[tuple[float, Rule]]]:
-    """Intercept and rules from labelled rows that are not held out."""
+    """Intercept and rules from labelled rows that are not held out.
+
+    At most ``most_rows`` of them, the first by a hash of their doc_ids, come to the driver as statistics.  Rows that repeat a labelled doc_id
+    take part each as long as their statistics differ; a doc_id that is labelled several times has the label of most.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("__y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).withColumnRenamed("doc_id", "__id")
+    by = F.xxhash64("doc_id")
+    known = known.orderBy(by, "doc_id").limit(most_rows).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    found = with_statistics(rows.select("doc_id", "__y", "text")).drop("text").toArrow().sort_by("doc_id")
-    x = np.array([found.column(f"__{s}").to_numpy() for s in STATISTICS]).T
+    columns = [f"__{s}" for s in STATISTICS]
+    found = with_statistics(rows.select("doc_id", "__y", "text")).drop("text").distinct().orderBy(by, "doc_id", *columns).limit(most_rows)
+    found = found.toArrow().sort_by([(c, "ascending") for c in ("doc_id", *columns)])
+    x = np.array([found.column(c).to_numpy() for c in columns]).T
     return fit_rules(x, found.column("__y").to_numpy())
 
 
