@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.operators.release import state_digest
 from geolith.operators.spatial_join import component_kinds, components, overlap_pairs
+from geolith.tables import remove, save
 
 
 def continuations(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> DataFrame:
@@ -40,7 +41,8 @@ def plan(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> dict
     replaced = replacements(old, new, key)
     old_left = old.join(kept.select(key), key, "left_anti").join(replaced.select(F.col("old_id").alias(key)), key, "left_anti")
     new_left = new.join(kept.select(key), key, "left_anti").join(replaced.select(F.col("new_id").alias(key)), key, "left_anti")
-    pairs = overlap_pairs(old_left, new_left, key, key)
+    old_left, new_left = (save(x, "leftovers")[0] for x in (old_left, new_left))
+    pairs, _ = save(overlap_pairs(old_left, new_left, key, key), "pairs")
     members = components(pairs)
     in_old = members.where("node LIKE 'a:%'").select(F.expr("substring(node, 3)").cast(old.schema[key].dataType).alias(key))
     in_new = members.where("node LIKE 'b:%'").select(F.expr("substring(node, 3)").cast(new.schema[key].dataType).alias(key))
@@ -94,6 +96,25 @@ def classifications_preserved(before: DataFrame, after: DataFrame, columns: list
     return a.join(b, "row").drop("row").withColumn("preserved", F.col("sha256_before") == F.col("sha256_after"))
 
 
-def exactly_one(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs once."""
-    return rows.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n = 1").drop("__n")
+def lineage(mappings: DataFrame, release: str = "release", previous: str = "previous_id", key: str = "source_feature_id") -> DataFrame:
+    """The columns of mappings and origin_release, origin_id and steps: where each feature's identity began, and how many releases lie between.
+
+    mappings: a row for each feature of a release (whole numbers) with the key that it had in the release before, null for a new one.
+    Every feature points to the one before; in each round it points to where that one points, so that a chain of n
+    releases takes log2(n) rounds, which are tables on disk.  A previous key without a row is where the identity begins.
+    """
+    node, before = F.struct(F.col(release).cast("long").alias("r"), F.col(key).alias("k")), F.struct((F.col(release) - 1).cast("long").alias("r"), F.col(previous).alias("k"))
+    links = mappings.select(node.alias("node"), F.when(F.col(previous).isNotNull(), before).alias("before")).distinct()
+    known = links.select(F.col("node").alias("before"), F.lit(True).alias("__known"))
+    at = F.when(F.col("__known"), F.col("before")).otherwise(F.col("node"))
+    jumps, path = save(links.join(known, "before", "left").select("node", at.alias("at"), F.col("__known").isNotNull().cast("long").alias("steps")), "jumps")
+    while True:
+        ahead = jumps.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("steps").alias("__steps"))
+        further, later = save(jumps.join(ahead, "at").select("node", F.col("__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("__steps") > 0).alias("__moved")), "jumps")
+        done = further.where("__moved").isEmpty()
+        remove(mappings.sparkSession, path)
+        jumps, path = further.drop("__moved"), later
+        if done:
+            break
+    ends = jumps.select(F.col("node.r").alias("__r"), F.col("node.k").alias("__k"), F.col("at.r").alias("origin_release"), F.col("at.k").alias("origin_id"), "steps")
+    return mappings.join(ends, (F.col(release).cast("long") == F.col("__r")) & (F.col(key) == F.col("__k"))).drop("__r", "__k")
