@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Degrees of a cell of the join grid.
-CELL = 0.01
-#: A feature that covers more cells is broad and is tested by its row and column instead.
-BROAD_CELLS = 4096
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -61,10 +56,6 @@ def overlaps(a: tuple, b: tuple) -> Column:
     return (F.least(col(a[2]), col(b[2])) > F.greatest(col(a[0]), col(b[0]))) & (F.least(col(a[3]), col(b[3])) > F.greatest(col(a[1]), col(b[1])))
 
 
-def cell(value: str | Column, size: float = CELL) -> Column:
-    return F.floor(col(value) / F.lit(size)).cast("long")
-
-
 def gross_bounds_ok(a: tuple, b: tuple) -> Column:
     """b is like a: sizes within a factor of 0.5 to 1.5, edges within 0.02 degrees or a quarter of a side, and overlapping.
 

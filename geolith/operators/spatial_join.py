@@ -1,50 +1,96 @@
-"""Spatial joins on a grid, components of overlap graphs, viewports, hit tests and densities."""
+"""Spatial joins on a hierarchy of grids, components of overlap graphs, viewports, hit tests and densities."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.functions.spatial import BROAD_CELLS, CELL, cell, intersects, overlaps
+from geolith.functions.spatial import intersects, overlaps
 from geolith.operators import graph
 
 BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
 
-def _sized(df: DataFrame, size: float) -> DataFrame:
-    """Adds the ranges of cells, and whether the feature covers too many of them."""
-    out = df.withColumns({"cx0": cell("min_x", size), "cx1": cell("max_x", size), "cy0": cell("min_y", size), "cy1": cell("max_y", size)})
-    return out.withColumn("broad", (F.col("cx1") - F.col("cx0") + 1) * (F.col("cy1") - F.col("cy0") + 1) > BROAD_CELLS)
+#: Halvings of the world's extent at the deepest level, and how many halvings lie between two levels.
+DEEPEST, STEP = 20, 2
+#: Boxes of one cell that meet in one group at most; a cell with more of them has several groups.
+BLOCK = 2048
 
 
-def _exploded(df: DataFrame) -> DataFrame:
-    return df.withColumn("gx", F.explode(F.sequence("cx0", "cx1"))).withColumn("gy", F.explode(F.sequence("cy0", "cy1")))
+def _placed(df: DataFrame, box: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """Adds __box, __level and the range of cells that the box covers there, two by two at most: the deepest level whose cells are no smaller than the box.
 
+    Boxes with a null or without extent between their bounds meet nothing.
+    """
+    rows = df.withColumn("__box", F.struct(*[c.alias(n) for c, n in zip(box, BOUNDS, strict=True)]))
+    low_x, low_y, high_x, high_y = (F.col(f"__box.{n}") for n in BOUNDS)
+    rows = rows.where((high_x >= low_x) & (high_y >= low_y) & ~F.isnan(low_x + low_y + high_x + high_y))
+    share = F.greatest((high_x - low_x) / 360.0, (high_y - low_y) / 360.0)
+    level = F.coalesce(F.floor(-F.log2(share)), F.lit(DEEPEST))  # no logarithm of nothing
+    rows = rows.withColumn("__level", (F.least(F.greatest(F.floor(level / STEP), F.lit(0)), F.lit(DEEPEST // STEP)) * STEP).cast("int"))
+    scale = F.pow(F.lit(2.0), F.col("__level"))
+    return rows.withColumns({name: F.floor((value + 180.0) / 360.0 * scale).cast("long") for name, value in (("__x0", low_x), ("__x1", high_x), ("__y0", low_y), ("__y1", high_y))})
 
-def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float = CELL, test=overlaps) -> DataFrame:
-    """Pairs of keys whose boxes overlap (open, or closed with test=intersects).
 
-    Features meet in the grid cells that both cover: an equi-join by cell.  A pair is reported only in its
-    first common cell, so that no distinct is needed.  Broad features meet by coarser cells, whose
-    size grows until they cover few of them.
-    """
-    a = left.select(F.col(left_key).alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in BOUNDS])
-    b = right.select(F.col(right_key).alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in BOUNDS])
-    a = _sized(a.withColumnsRenamed({f"a_{c}": c for c in BOUNDS}), size)
-    b = _sized(b.withColumnsRenamed({f"b_{c}": c for c in BOUNDS}), size)
+def _in_cells(rows: DataFrame, side: str) -> DataFrame:
+    """Each row once for every cell of its range; the first cell of the range as __<side>x and __<side>y."""
+    rows = rows.withColumns({f"__{side}x": F.col("__x0"), f"__{side}y": F.col("__y0"), f"__{side}box": F.col("__box")})
+    rows = rows.withColumn("__gx", F.explode(F.sequence("__x0", "__x1"))).withColumn("__gy", F.explode(F.sequence("__y0", "__y1")))
+    return rows.drop("__x0", "__x1", "__y0", "__y1", "__box")
+
+
+CELL_KEY = ["__level", "__gx", "__gy"]
 
-    def meet(x: DataFrame, y: DataFrame, coarse: float) -> DataFrame:
-        x, y = (_exploded(_sized(z, coarse)).select(*z.columns[:1], *BOUNDS, "cx0", "cy0", "gx", "gy") for z in (x, y))
-        x, y = x.alias("x"), y.alias("y")
-        first = (F.col("x.gx") == F.greatest("x.cx0", "y.cx0")) & (F.col("x.gy") == F.greatest("x.cy0", "y.cy0"))
-        same = (F.col("x.gx") == F.col("y.gx")) & (F.col("x.gy") == F.col("y.gy"))
-        hit = test(tuple(F.col(f"x.{c}") for c in BOUNDS), tuple(F.col(f"y.{c}") for c in BOUNDS))
-        return x.join(y, same & first & hit).select("a_key", "b_key")
 
-    fine = meet(a.where("NOT broad"), b.where("NOT broad"), size)
-    # A feature of the whole extent of longitudes covers at most 360 / 2 by 180 / 2 of these cells.
-    wide = meet(a.where("broad"), b, 2.0).unionByName(meet(a.where("NOT broad"), b.where("broad"), 2.0))
-    return fine.unionByName(wide)
+def _sides(owners: DataFrame, visitors: DataFrame, deeper: bool) -> tuple[DataFrame, DataFrame]:
+    """Placed owners and visitors, once for each cell and pair of blocks in which they meet.
+
+    An owner stands in the cells that it covers at its own level, a visitor in those that it covers at every level that owners
+    have: an equi-join by cell, in which a pair is found in the first cell that both cover.  A cell of more than
+    BLOCK owners or visitors is cut on either side, and each block of owners meets each block of visitors in a group of its own.
+    """
+    own = _in_cells(owners, "o")
+    levels = owners.agg(F.coalesce(F.collect_set("__level"), F.array().cast("array<int>"))).scalar()  # DEEPEST / STEP + 1 at most
+    near = visitors.withColumn("__levels", levels)
+    fits = (lambda at: at < F.col("__level")) if deeper else (lambda at: at <= F.col("__level"))
+    near = near.withColumn("__at", F.explode(F.filter("__levels", fits))).drop("__levels")
+    up = F.col("__level") - F.col("__at")
+    near = near.withColumns({c: F.call_function("shiftright", F.col(c), up) for c in ("__x0", "__x1", "__y0", "__y1")}).withColumn("__level", F.col("__at")).drop("__at")
+    near = _in_cells(near, "v")
+    counts = own.groupBy(*CELL_KEY).agg(F.count("*").alias("__n")).withColumn("__of", F.lit(0)).unionByName(near.groupBy(*CELL_KEY).agg(F.count("*").alias("__n")).withColumn("__of", F.lit(1)))
+    many = counts.where(F.col("__n") > BLOCK).groupBy(*CELL_KEY).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("__of") == i, F.col("__n"))), F.lit(1)) / BLOCK).cast("int").alias(f"__blocks{i}") for i in (0, 1)])
+
+    def blocked(rows: DataFrame, mine: int) -> DataFrame:
+        """__b0 and __b1: a block of its own side, and every block of the other."""
+        j = rows.join(many, CELL_KEY, "left")
+        n, other = F.coalesce(f"__blocks{mine}", F.lit(1)), F.coalesce(f"__blocks{1 - mine}", F.lit(1))
+        side = "o" if mine == 0 else "v"
+        j = j.withColumn(f"__b{mine}", F.pmod(F.xxhash64(f"__{side}box", F.monotonically_increasing_id()), n).cast("int"))
+        return j.withColumn(f"__b{1 - mine}", F.explode(F.sequence(F.lit(0), other - 1))).drop("__blocks0", "__blocks1")
+
+    return blocked(own, 0), blocked(near, 1)
+
+
+def _meet(owners: DataFrame, visitors: DataFrame, test, deeper: bool = False) -> DataFrame:
+    """Pairs of rows whose boxes pass the test, of placed owners and visitors at the owner's level or deeper (with ``deeper`` only deeper)."""
+    own, near = _sides(owners, visitors, deeper)
+    j = own.join(near, [*CELL_KEY, "__b0", "__b1"])
+    first = (F.col("__gx") == F.greatest("__ox", "__vx")) & (F.col("__gy") == F.greatest("__oy", "__vy"))
+    hit = test(tuple(F.col(f"__obox.{c}") for c in BOUNDS), tuple(F.col(f"__vbox.{c}") for c in BOUNDS))
+    return j.where(first & hit).drop(*CELL_KEY, "__b0", "__b1", "__ox", "__oy", "__vx", "__vy", "__obox", "__vbox")
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, test=overlaps) -> DataFrame:
+    """Pairs of keys (a_key, b_key) whose boxes overlap (open, or closed with test=intersects).
+
+    Boxes of all sizes meet in a hierarchy of grids, the broader of the two in its own cells (see _meet), so that one broad box costs as much as
+    others, and a cell of very many boxes is divided over tasks.
+    """
+    box = tuple(F.col(c) for c in BOUNDS)
+    a = _placed(left.select(F.col(left_key).alias("a_key"), *BOUNDS), box).drop(*BOUNDS)
+    b = _placed(right.select(F.col(right_key).alias("b_key"), *BOUNDS), box).drop(*BOUNDS)
+    swapped = lambda x, y: test(y, x)
+    return _meet(a, b, test).select("a_key", "b_key").unionByName(_meet(b, a, swapped, deeper=True).select("a_key", "b_key"))
 
 
 def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool = True) -> DataFrame:
@@ -62,24 +108,20 @@ def component_kinds(members: DataFrame) -> DataFrame:
     return members.groupBy("component").agg(old.alias("n_old"), new.alias("n_new")).withColumn("kind", kind)
 
 
-def viewport(features: DataFrame, views: DataFrame, key: str, view_key: str, size: float = CELL) -> DataFrame:
+def viewport(features: DataFrame, views: DataFrame, key: str, view_key: str) -> DataFrame:
     """(view_key, key) of the features that intersect each view (closed); all views in one join."""
-    named = overlap_pairs(views, features, view_key, key, size, test=intersects)
+    named = overlap_pairs(views, features, view_key, key, test=intersects)
     return named.select(F.col("a_key").alias(view_key), F.col("b_key").alias(key))
 
 
-def hit_test(points: DataFrame, features: DataFrame, point_key: str, key: str, inside: Column | None = None, size: float = CELL) -> DataFrame:
+def hit_test(points: DataFrame, features: DataFrame, point_key: str, key: str, inside: Column | None = None) -> DataFrame:
     """(point_key, key) of the features that hold each point (x, y).
 
     Boxes are compared first, by grid cell; ``inside`` is an exact test over the columns of both, such as a
     call of geometry.contains.
     """
-    p = points.withColumns({"gx": cell("x", size), "gy": cell("y", size)})
-    sized = _sized(features, size)
-    boxed = (F.col("x") >= F.col("min_x")) & (F.col("x") <= F.col("max_x")) & (F.col("y") >= F.col("min_y")) & (F.col("y") <= F.col("max_y"))
-    fine = p.join(_exploded(sized.where("NOT broad")), ["gx", "gy"]).where(boxed)
-    coarse = p.withColumns({"gx": cell("x", 2.0), "gy": cell("y", 2.0)}).join(_exploded(_sized(sized.where("broad").select(*features.columns), 2.0)), ["gx", "gy"]).where(boxed)
-    found = fine.unionByName(coarse)
+    x, y = F.col("x"), F.col("y")
+    found = _meet(_placed(features, tuple(F.col(c) for c in BOUNDS)), _placed(points, (x, y, x, y)), intersects)
     return (found if inside is None else found.where(inside)).select(point_key, key)
 
 
