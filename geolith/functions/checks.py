@@ -106,6 +106,18 @@ def array_fault(values: str | Column) -> Column:
     return F.when(values.isNull(), "null").otherwise(F.coalesce(first, F.when(F.size(F.array_distinct(values)) < F.size(values), "duplicate")))
 
 
+def layer_faults(document: str | Column, geometry_type: str, id_field: str, fields: list[str]) -> Column:
+    """What is wrong with the JSON description of a source's layer: its geometry type, object-id field, requested fields that it lacks, a maximum count that is not positive."""
+    d = F.from_json(col(document), "struct<geometryType:string,objectIdField:string,fields:array<struct<name:string>>,maxRecordCount:string>")
+    names = F.transform(d["fields"], lambda f: f["name"])
+    lacking = F.array_except(F.array(*map(F.lit, fields)), F.coalesce(names, F.array().cast("array<string>")))
+    rules = [
+        F.when(~d["geometryType"].eqNullSafe(F.lit(geometry_type)), "geometry_type"), F.when(~d["objectIdField"].eqNullSafe(F.lit(id_field)), "object_id_field"),
+        F.when(F.size(lacking) > 0, F.concat(F.lit("fields "), F.array_join(F.array_sort(lacking), " "))), F.when(~F.coalesce(object_id(d["maxRecordCount"]) > 0, F.lit(False)), "max_count"),
+    ]
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+
 # The colours of the classes.
 COLOURS = {"Unclassified": "gray", "Other": "red", "Condominium": "green", "Apartments": "yellow"}
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geolith.functions.checks import object_id
+from geolith.operators.release import state_digest
+
 
 def feature_diff(accepted: DataFrame, candidate: DataFrame, key: str = "source_feature_id") -> DataFrame:
     """key and category of every feature of either release.
@@ -44,6 +47,51 @@ def inventory_compare(accepted: DataFrame, live: DataFrame, key: str) -> DataFra
     return added.unionByName(a.join(b, key, "left_anti").withColumn("side", F.lit("removed")))
 
 
+def object_ids(pages: DataFrame, group: str, value: str, field: str, named: str) -> tuple[DataFrame, DataFrame]:
+    """The inventory (group, object_id) of a source's pages of ids, each id once, and what is wrong (group, value, rule).
+
+    ``named``: the column with the name of the field that a page's ids are of, which must be ``field`` ('field' else); 'number': not a whole number of at
+    least 0 in canonical form; 'repeated': an id that comes more than once.
+    """
+    read = pages.select(group, F.col(value).cast("string").alias("value"), F.col(named).eqNullSafe(F.lit(field)).alias("__named"), object_id(F.col(value).cast("string")).alias("object_id"))
+    counts = read.groupBy(group, "object_id").agg(F.count("*").alias("n")).where("object_id IS NOT NULL")
+    rule = F.when(~F.col("__named"), "field").when(F.col("object_id").isNull(), "number")
+    wrong = read.select(group, "value", rule.alias("rule")).where("rule IS NOT NULL")
+    again = counts.where("n > 1").select(group, F.col("object_id").cast("string").alias("value"), F.lit("repeated").alias("rule"))
+    return counts.select(group, "object_id"), wrong.unionByName(again)
+
+
+def inventory_report(accepted: DataFrame, live: DataFrame, recorded: DataFrame, group: str, key: str) -> DataFrame:
+    """group, count and digest of the accepted and of the live keys, lists_known, n_added and n_removed.
+
+    recorded: group, object_count and inventory_sha256 of the accepted inventory as it was noted.  Where the accepted keys don't give
+    that again, they can't be told one by one: lists_known is false, and n_added and n_removed are null.
+    """
+    a = state_digest(accepted, [key], [group]).toDF(group, "accepted_count", "accepted_sha256")
+    b = state_digest(live, [key], [group]).toDF(group, "live_count", "live_sha256")
+    added = live.select(group, key).join(accepted.select(group, key), [group, key], "left_anti").groupBy(group).agg(F.count("*").alias("n_added"))
+    removed = accepted.select(group, key).join(live.select(group, key), [group, key], "left_anti").groupBy(group).agg(F.count("*").alias("n_removed"))
+    j = recorded.join(a, group, "left").join(b, group, "left").join(added, group, "left").join(removed, group, "left")
+    known = F.col("accepted_count").eqNullSafe(F.col("object_count")) & F.col("accepted_sha256").eqNullSafe(F.col("inventory_sha256"))
+    n = lambda c: F.when(F.col("lists_known"), F.coalesce(F.col(c), F.lit(0))).alias(c)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return j.withColumn("lists_known", known).select(group, F.col("object_count").alias("accepted_count"), F.col("inventory_sha256").alias("accepted_sha256"), zero("live_count"), "live_sha256", "lists_known", n("n_added"), n("n_removed"))
+
+
+def layer_report(accepted: DataFrame, candidate: DataFrame, excluded: DataFrame, layer: str, dataset: str, key: str) -> DataFrame:
+    """layer, dataset, category, n and digest of the keys in each category of a comparison, and of those that the candidate excludes ('excluded').
+
+    accepted and candidate: layer, dataset, key and digests; a layer may have several datasets, which are compared each.
+    excluded: layer, dataset and key of what the candidate's source leaves out, with a reason; an accepted feature that is excluded is not 'removed'.
+    """
+    keys = [layer, dataset, key]
+    paired = lambda df: df.select(*keys, F.struct(*keys).alias("__key"), "geometry_sha256", "attributes_sha256")
+    found = feature_diff(paired(accepted), paired(candidate), "__key").select(*[F.col(f"__key.{k}").alias(k) for k in keys], "category")
+    left_out = excluded.select(*keys).distinct().withColumn("__excluded", F.lit(True))
+    j = found.join(left_out, keys, "full_outer").withColumn("category", F.when(F.col("__excluded") & F.coalesce(F.col("category") == "removed", F.lit(True)), "excluded").otherwise(F.col("category")))
+    return state_digest(j, [key], [layer, dataset, "category"])
+
+
 def missing_and_extra(requested: DataFrame, returned: DataFrame, keys: list[str]) -> DataFrame:
     """keys and kind of the rows that one side lacks: missing were not returned, extra not requested."""
     a, b = requested.select(*keys).distinct(), returned.select(*keys).distinct()

@@ -74,6 +74,12 @@ def not_monotone(coarse: DataFrame, fine: DataFrame, key: str) -> DataFrame:
     return coarse.select(key).join(fine.select(key), key, "left_anti")
 
 
+def growth_faults(coarse: DataFrame, fine: DataFrame, key: str, vertices: str) -> DataFrame:
+    """key, and its vertices on either level, of the features that have more of them on the coarser one."""
+    j = coarse.select(key, F.col(vertices).alias("n_coarse")).join(fine.select(key, F.col(vertices).alias("n_fine")), key)
+    return j.where("n_coarse > n_fine")
+
+
 def ordinal_faults(df: DataFrame, group: list[str], ordinal: str) -> DataFrame:
     """Groups whose ordinals are not 1 to n, each once."""
     stats = df.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(ordinal).alias("n_distinct"), F.min(ordinal).alias("first"), F.max(ordinal).alias("last"))

@@ -60,6 +60,13 @@ def summary(parts: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(parts["kinds"].groupBy("kind").agg(F.count("*").alias("n")))
 
 
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """kind and n of every outcome of a plan, and the digest of the whole report on each row."""
+    rows, _ = save(summary(parts), "report")
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat("kind", F.lit("="), F.col("n").cast("string")))), ",")  # a line for each kind
+    return rows.withColumn("report_sha256", rows.agg(F.sha2(lines, 256)).scalar())
+
+
 def applied(mappings: DataFrame, parts: dict[str, DataFrame], release: str, key: str = "source_feature_id") -> DataFrame:
     """The mappings (project_key, source_feature_id, relationship, release) after a plan without ambiguity.
 

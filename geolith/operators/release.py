@@ -93,17 +93,30 @@ def schema_faults(df: DataFrame, expected) -> list[str]:
     return out if out or names == [w.name for w in want] else ["order of columns"]
 
 
-def state_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: count and digest of all rows, whatever their order.
+def schema_rows(tables: dict[str, DataFrame], expected: dict) -> DataFrame:
+    """table and fault of every departure of the tables' columns from the expected schemas; a table without an expected one, or the other way round, is a fault too."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, "unexpected table") for t in tables if t not in expected] + [(t, "missing table") for t in expected if t not in tables]
+    rows += [(t, fault) for t, df in tables.items() if t in expected for fault in schema_faults(df, expected[t])]
+    return spark.createDataFrame(rows, "table string, fault string")
+
+
+def _digest_of_values(columns: list[str]) -> Column:
+    """The sha256 of a row; a value goes in with its length, so that no other values have the same text."""
+    values = [F.col(c).cast("string") for c in columns]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]), 256)
+
+
+def state_digest(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Count and digest of all rows, whatever their order: one row, or with ``by`` one for each group.
 
     A value goes in with its length, so that rows of other values have other digests wherever their values are divided.
     The sorted digests of rows are digested by their first four hexadecimal digits, those by their first two, and
-    those together: no task holds more than 1/65536 of the rows.
+    those together: no task holds more than 1/65536 of a group's rows.
     """
-    values = [F.col(c).cast("string") for c in columns]
-    text = F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
-    level = rows.select(F.sha2(text, 256).alias("h")).select("h", F.substring("h", 1, 4).alias("prefix"), F.lit(1).cast("long").alias("n"))
+    by = by or []
+    level = rows.select(*by, _digest_of_values(columns).alias("h")).select(*by, "h", F.substring("h", 1, 4).alias("prefix"), F.lit(1).cast("long").alias("n"))
     for digits in (2, 0):
-        level = level.groupBy("prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.sum("n").alias("n"))
-        level = level.select(F.concat("prefix", F.lit(":"), "h").alias("h"), F.substring("prefix", 1, digits).alias("prefix"), "n")
-    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("sha256"))
+        level = level.groupBy(*by, "prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.sum("n").alias("n"))
+        level = level.select(*by, F.concat("prefix", F.lit(":"), "h").alias("h"), F.substring("prefix", 1, digits).alias("prefix"), "n")
+    return level.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("sha256"))

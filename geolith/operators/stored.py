@@ -36,6 +36,24 @@ def accepted_features(features: DataFrame, releases: DataFrame, dataset: str, re
     return features.join(chosen, release)
 
 
+#: What stands behind a stored feature; each is true where it is broken.
+LINEAGE_RULES = {
+    "release": "NOT has_release", "data_kind": "has_release AND NOT (data_kind <=> wanted_kind)", "harvest": "has_release AND NOT (harvest_status <=> 'succeeded')",
+    "file_harvest": "NOT (file_harvest <=> harvest_run)", "file_role": "NOT (file_role <=> 'source')",
+}
+
+
+def lineage_faults(features: DataFrame, releases: DataFrame, datasets: DataFrame, harvests: DataFrame, files: DataFrame, key: list[str], kind: str) -> DataFrame:
+    """key and rule of every stored feature whose release, dataset, harvest or file is missing or not the one that it must be.
+
+    features: key, release and file; releases: release, dataset and harvest_run; datasets: dataset and data_kind; harvests: harvest_run and harvest_status;
+    files: file, file_harvest and file_role.  Dimensions are joined by equality, which the planner broadcasts where their sizes allow.
+    """
+    whole = releases.withColumn("has_release", F.lit(True)).join(datasets, "dataset", "left").join(harvests, "harvest_run", "left")
+    j = features.select(*key, *[c for c in ("release", "file") if c not in key]).join(whole, "release", "left").join(files, "file", "left")
+    return broken(j.withColumns({"has_release": F.coalesce("has_release", F.lit(False)), "wanted_kind": F.lit(kind)}), key, LINEAGE_RULES)
+
+
 def mapped(features: DataFrame, mappings: DataFrame, identities: DataFrame, key: str, identity: str) -> DataFrame:
     """features with n_mappings, identity and identity_status from their confirmed mappings; one row for each feature.
 
