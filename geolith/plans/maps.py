@@ -96,6 +96,24 @@ def viewport(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.viewport(features(spark, d), views, "id", "view")
 
 
+REGIMES = """SELECT 'county' AS regime, lo_x AS min_x, lo_y AS min_y, hi_x AS max_x, hi_y AS max_y FROM e UNION ALL SELECT 'west', lo_x, lo_y, (lo_x + hi_x) / 2, hi_y FROM e UNION ALL SELECT 'quarter', lo_x, lo_y, (lo_x + hi_x) / 2, (lo_y + hi_y) / 2 FROM e
+UNION ALL SELECT 'town', lo_x + (hi_x - lo_x) / 4, lo_y + (hi_y - lo_y) / 4, lo_x + (hi_x - lo_x) / 2, lo_y + (hi_y - lo_y) / 2 FROM e UNION ALL SELECT 'street', (lo_x + hi_x) / 2, (lo_y + hi_y) / 2, (lo_x + hi_x) / 2 + (hi_x - lo_x) / 32, (lo_y + hi_y) / 2 + (hi_y - lo_y) / 32 FROM e
+UNION ALL SELECT 'edge', hi_x, lo_y, hi_x + 1, hi_y FROM e UNION ALL SELECT 'sparse', hi_x - (hi_x - lo_x) / 256, hi_y - (hi_y - lo_y) / 256, hi_x, hi_y FROM e"""
+
+
+@query("viewport_regimes", duck("features", f"WITH e AS (SELECT min(min_x) AS lo_x, min(min_y) AS lo_y, max(max_x) AS hi_x, max(max_y) AS hi_y FROM features), v AS ({REGIMES}) SELECT regime, id FROM v JOIN features f ON NOT (f.max_x < v.min_x OR v.max_x < f.min_x OR f.max_y < v.min_y OR v.max_y < f.min_y)"))
+def viewport_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """Seven views, from the whole extent to a corner without much in it, in one join."""
+    e, corner = F.col, "lo_x lo_y hi_x hi_y".split()
+    box = {c: e(c) for c in corner}
+    lx, ly, hx, hy = (box[c] for c in corner)
+    mx, my, w, h = (lx + hx) / 2, (ly + hy) / 2, hx - lx, hy - ly
+    views = {"county": (lx, ly, hx, hy), "west": (lx, ly, mx, hy), "quarter": (lx, ly, mx, my), "town": (lx + w / 4, ly + h / 4, lx + w / 2, ly + h / 2), "street": (mx, my, mx + w / 32, my + h / 32), "edge": (hx, ly, hx + 1, hy), "sparse": (hx - w / 256, hy - h / 256, hx, hy)}
+    rows = features(spark, d)
+    each = F.array(*[F.struct(F.lit(name).alias("regime"), *[v.alias(c) for v, c in zip(view, BOX, strict=True)]) for name, view in views.items()])
+    return spatial_join.viewport(rows, spatial_join.extent(rows).select(F.explode(each).alias("v")).select("v.*"), "id", "regime")
+
+
 @query("hit_test", duck("features", f"SELECT point, id FROM ({POINTS}) p JOIN features f ON x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"))
 def hit_test(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "customer").selectExpr(*POINTS.removeprefix("SELECT ").removesuffix(" FROM customer").split(", "))

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from geolith.plans import maps, registry, releases, stored  # noqa: F401
+from geolith.plans import artifacts, contracts, maps, registry, releases, shapes, stored  # noqa: F401
+from geolith.tables import scratch
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
@@ -24,9 +25,10 @@ def plain(value):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_same_rows(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    with scratch(spark):
+        df = registry.QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in registry.SQL:
         assert got
         return
