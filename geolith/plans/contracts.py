@@ -14,7 +14,7 @@ from geolith.plans.maps import BOX, MORTON, RECONCILE, _morton
 from geolith.plans.registry import query
 from geolith.plans.shapes import N_VERTICES, shapes
 from geolith.plans.stored import CLASSES, SHOWN, _snapshot, digest_sql
-from geolith.sources import container, staging
+from geolith.sources import container, pointer, staging
 from geolith.tables import shared_dir
 
 
@@ -173,5 +173,42 @@ def snapshot_stored(spark: SparkSession, d: str) -> DataFrame:
     records, header = _snapshot(spark, d)
     staging.publish_all({"records": records, "header": header}, path)
     records, header = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/header")
-    faults = staging.snapshot_faults(records, header, "c_custkey", CLASSES)
+    faults = staging.snapshot_faults(records, header, "c_custkey", CLASSES, table(spark, d, "customer").where(SHOWN))
     return header.select("count", "not_rendered", "records_sha256").withColumn("n_faults", faults.agg(F.count("*")).scalar())
+
+
+#: Damage by the number of a chunk: another payload, count, bounds, or order; a chunk that is lost, one that comes again under another number.
+@query("container_faults", duck("features", """WITH c AS (SELECT DISTINCT size % 2 AS level, id // 100 AS chunk FROM features) SELECT level, chunk, 'payload_sha256' AS rule FROM c WHERE chunk % 7 = 1 UNION ALL SELECT level, chunk, 'count' FROM c WHERE chunk % 7 = 2 UNION ALL SELECT level, chunk, 'bounds' FROM c WHERE chunk % 7 = 3
+UNION ALL SELECT level, chunk, 'records_sha256' FROM c WHERE chunk % 7 = 4 UNION ALL SELECT level, NULL, 'chunks' FROM (SELECT DISTINCT level FROM c) UNION ALL SELECT level, chunk + 1000, 'repeated' FROM c WHERE chunk % 7 = 5"""))
+def container_faults(spark: SparkSession, d: str) -> DataFrame:
+    rows = features(spark, d).select((F.col("size") % 2).alias("level"), F.expr("id div 100").alias("chunk"), "id", *BOX)
+    chunks = container.encode(rows, "id")
+    n = F.col("chunk") % 7
+    damaged = chunks.withColumns({
+        "payload": F.when(n == 1, F.concat("payload", F.lit(b"x"))).otherwise(F.col("payload")), "n": F.when(n == 2, F.col("n") + 1).otherwise(F.col("n")), "max_x": F.when(n == 3, F.col("max_x") + 1).otherwise(F.col("max_x")),
+        "records_sha256": F.when(n == 4, F.sha2(F.lit("x"), 256)).otherwise(F.col("records_sha256")),
+    })
+    return container.faults(damaged.unionByName(damaged.where(n == 5).withColumn("chunk", F.col("chunk") + 1000)), "id")
+
+
+@query("recorded_tables", """SELECT 'releases' AS dataset, CAST(2 AS BIGINT) AS generation, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT 'harvests', 2, count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL SELECT 'buildings', 2, count(*), CAST(sum(p_partkey) AS BIGINT) FROM part""")
+def recorded_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Harvests and releases that are recorded twice, the second time with more releases; a third time with another status, which is refused.  Buildings stay as they are."""
+    root = f"{shared_dir(spark)}/geolith-recorded-{uuid.uuid4().hex}"
+    releases = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    harvests, buildings = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), "s_name"), table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    pointer.record(root, {"releases": (releases.where("status = 'F'"), ["key"]), "harvests": (harvests, ["key"]), "buildings": (buildings, ["key"])})
+    both = {"releases": (releases.where("status IN ('F', 'O')"), ["key"]), "harvests": (harvests, ["key"])}
+    made = pointer.record(root, both)
+    assert pointer.record(root, both) == made
+    try:
+        pointer.record(root, {"releases": (releases.withColumn("status", F.lit("P")), ["key"])})
+    except pointer.Refused:
+        pass
+    else:
+        raise AssertionError("a conflict was not seen")
+    out = None
+    for name, df in pointer.read(spark, root).items():
+        row = df.agg(F.count("*").alias("n"), F.sum("key").cast("long").alias("keys")).select(F.lit(name).alias("dataset"), F.lit(made.number).cast("long").alias("generation"), "n", "keys")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -19,6 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from geolith.operators.release import state_digest
+from geolith.operators.stored import recorded
 from geolith.sources.staging import publish
 from geolith.tables import remove
 
@@ -138,6 +139,32 @@ def promote(
     return made
 
 
+def record(root: str, incoming: dict[str, tuple[DataFrame, list[str]]]) -> Generation:
+    """Adds rows to datasets (table and key by name), all or none.
+
+    A row whose key is there already must be the same in all columns, and a key must come once; else nothing is written.  The current
+    generation stays where every row is there, so that recording again changes nothing, and all other datasets keep their tables and digests.
+    """
+    spark = next(iter(incoming.values()))[0].sparkSession
+    now = resolve(spark, root)
+    held, tables = read(spark, root, now), {}
+    for name, (rows, key) in incoming.items():
+        columns = [c for c in rows.columns if c not in key]
+        there = held[name].select(*rows.columns) if name in held else rows.limit(0)
+        outcomes = recorded(there, rows, key, columns)
+        if fault := outcomes.where("outcome IN ('conflict', 'duplicate')").first():
+            raise Refused(f"not recorded in {name}: {fault.asDict()}")
+        fresh = rows.join(outcomes.where("outcome = 'insert'").select(*key), key, "left_semi").select(*rows.columns)
+        if name not in held or not fresh.isEmpty():
+            tables[name] = there.unionByName(fresh)
+    if not tables:
+        return now
+    made = promote(root, tables, expected=now.number)
+    if changed := [n for n, x in now.datasets.items() if n not in tables and made.datasets.get(n) != x]:
+        raise AssertionError(f"others changed: {changed}")
+    return made
+
+
 def rollback(spark: SparkSession, root: str, to: int, expected: int | None = None) -> Generation:
     """The datasets of an earlier generation as a new one; its tables must still have their digests."""
     found = _read(spark, root, to) if to in _numbers(spark, root) else None

@@ -72,19 +72,30 @@ def snapshot(current: DataFrame, rendered: DataFrame, key: str, classes: list[st
     return records, header.drop("row")
 
 
-def snapshot_faults(records: DataFrame, header: DataFrame, key: str, classes: list[str]) -> DataFrame:
-    """rule and n of what is wrong with a snapshot that was read: repeated or null keys, unknown classes, counts, digest."""
+def snapshot_faults(records: DataFrame, header: DataFrame, key: str, classes: list[str], rendered: DataFrame | None = None) -> DataFrame:
+    """rule and n of what is wrong with a snapshot that was read: repeated or null keys, unknown classes, count, counts by class, digest, other columns than key and class.
+
+    With rendered also its keys' count and digest, and how many records have no rendered feature.
+    """
     rows = records.agg(
         F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.count(F.when(F.col(key).isNull(), 1)).alias("null_key"),
         F.count(F.when(~F.coalesce(F.col("classification").isin(*classes), F.lit(False)), 1)).alias("unknown_class"),
     )
     digest = state_digest(records, [key, "classification"]).select(F.col("sha256").alias("__sha256"))
     one = F.lit(1).alias("row")
-    j = rows.select(one, "*").join(header.select(one, "count", "records_sha256"), "row").join(digest.select(one, "__sha256"), "row")
+    by_class = [F.count(F.when(F.col("classification") == c, 1)).alias(f"n_{i}") for i, c in enumerate(classes)]
+    counted = records.agg(*by_class).select(F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(f"n_{i}").cast("string")) for i, c in enumerate(classes)]).alias("__counts"))
+    j = rows.select(one, "*").join(header.select(one, "count", "counts", "records_sha256", "render_count", "render_sha256"), "row").join(digest.select(one, "__sha256"), "row").join(counted.select(one, "__counts"), "row")
     found = {
         "null_key": F.col("null_key"), "repeated_key": F.col("n") - F.col("keys") - F.col("null_key"), "unknown_class": F.col("unknown_class"),
         "count": F.abs(F.col("n") - F.col("count")), "records_sha256": (F.col("records_sha256") != F.col("__sha256")).cast("long"),
+        "counts": (F.col("counts") != F.col("__counts")).cast("long"), "columns": F.lit(len({key, "classification"} ^ set(records.columns))),
     }
+    if rendered is not None:
+        keys = rendered.select(key).distinct()
+        hidden = records.join(keys, key, "left_anti").agg(F.count("*").alias("__hidden"))
+        j = j.join(state_digest(keys, [key]).select(one, F.col("n").alias("__keys"), F.col("sha256").alias("__keys_sha256")), "row").join(hidden.select(one, "__hidden"), "row")
+        found |= {"render_count": F.abs(F.col("render_count") - F.col("__keys")), "render_sha256": (F.col("render_sha256") != F.col("__keys_sha256")).cast("long"), "not_rendered": F.col("__hidden")}
     pairs = F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("long").alias("n")) for k, v in found.items()])
     return j.select(F.explode(pairs).alias("p")).select("p.rule", "p.n").where("n <> 0")
 
