@@ -12,7 +12,7 @@ from geolith.functions import geometry, strict
 from geolith.operators import stored
 from geolith.plans.frames import duck, features
 from geolith.plans.registry import query
-from geolith.sources import geojson
+from geolith.sources import candidate, geojson
 from geolith.tables import save
 
 KINDS = "CASE id % 4 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'MultiPolygon' WHEN 2 THEN 'LineString' ELSE 'MultiLineString' END"
@@ -96,6 +96,31 @@ def collection_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.get_json_object("attributes_json", "$.number").cast("long").alias("id"), "geometry_type", "source_feature_id", "fault")
 
 
+# Candidates.
+
+CANDIDATE_FAULTS = {
+    "feature": "SELECT count(*) FROM f WHERE fault IS NOT NULL", "not_normalised": "SELECT count(*) FROM f WHERE (id % 50 = 9 AND id % 31 <> 0 AND id % 37 <> 0) OR id % 60 = 12",
+    "inventory_missing": "SELECT count(*) FROM f WHERE id % 60 = 12", "inventory_extra": "SELECT count(*) FROM f WHERE id % 60 = 11", "inventory_repeated": "SELECT count(*) FROM f WHERE id % 70 = 13 AND id % 60 <> 11",
+    "manifest page_count": "SELECT 1", "manifest content_sha256": "SELECT 1", "manifest release_key": "SELECT 1", "manifest object_count": "SELECT 1", "manifest object_ids_sha256": "SELECT 1", "manifest identity_map_sha256": "SELECT 1", "times": "SELECT 1",
+}
+
+
+@query("candidate_faults", duck("features", f"WITH f AS (SELECT *, {FAULT} AS fault FROM (SELECT *, count(*) FILTER (id % 31 <> 0 AND id % 37 = 0) OVER () AS twins FROM features)) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{rule}' AS rule, ({sql}) AS n" for rule, sql in CANDIDATE_FAULTS.items()) + ") WHERE n > 0"))
+def candidate_faults(spark: SparkSession, d: str) -> DataFrame:
+    """A candidate of collections in files, whose features, inventory and manifest were altered after it was staged."""
+    collection, _ = save(_collected(spark, d), "collection")
+    found, _ = save(candidate.normalised(collection, "FPId", "number"), "candidate")
+    ids = found.select("object_id").where("object_id IS NOT NULL")
+    harvest = {"page_size": F.lit(1000).cast("long"), "started_at": F.lit("2024-03-01T10:00:00.000Z"), "completed_at": F.lit("2024-03-01T11:00:00.000Z"), "published_day": F.lit("2024-02-29")}
+    manifest, _ = save(candidate.manifest(found, ids, harvest, "buildings"), "manifest")
+    changed = F.expr("object_id % 50 = 9 AND source_feature_id IS NOT NULL AND source_feature_id <> 'twin'")
+    features_ = found.withColumn("attributes_sha256", F.when(changed, F.sha2(F.lit("x"), 256)).otherwise(F.col("attributes_sha256")))
+    features_ = features_.where("NOT object_id % 60 = 12").unionByName(features_.where("object_id % 60 = 12").withColumn("object_id", F.lit(None).cast("long")))
+    inventory = ids.where("object_id % 60 <> 11").unionByName(ids.where("object_id % 70 = 13 AND object_id % 60 <> 11"))
+    wrong = manifest.withColumns({"page_count": F.col("page_count") + 1, "completed_at": F.lit("2024-03-01T09:00:00.000Z")})
+    return candidate.faults({"features": features_, "inventory": inventory, "manifest": wrong}, collection, "buildings", "FPId", "number")
+
+
 # Integrity of stored rows: each kind of damage has a number.
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ def snapshot(current: DataFrame, rendered: DataFrame, key: str, classes: list[st
 
 
 def snapshot_faults(records: DataFrame, header: DataFrame, key: str, classes: list[str], rendered: DataFrame | None = None) -> DataFrame:
-    """rule and n of what is wrong with a snapshot that was read: repeated or null keys, unknown classes, count, counts by class, digest, other columns than key and class.
+    """rule and n of what is wrong with a snapshot that was read: repeated or null keys, unknown classes, count (or, if that holds, counts by class), digest, other columns than key and class.
 
     With rendered also its keys' count and digest, and how many records have no rendered feature.
     """
@@ -89,7 +89,7 @@ def snapshot_faults(records: DataFrame, header: DataFrame, key: str, classes: li
     found = {
         "null_key": F.col("null_key"), "repeated_key": F.col("n") - F.col("keys") - F.col("null_key"), "unknown_class": F.col("unknown_class"),
         "count": F.abs(F.col("n") - F.col("count")), "records_sha256": (F.col("records_sha256") != F.col("__sha256")).cast("long"),
-        "counts": (F.col("counts") != F.col("__counts")).cast("long"), "columns": F.lit(len({key, "classification"} ^ set(records.columns))),
+        "counts": ((F.col("counts") != F.col("__counts")) & (F.col("n") == F.col("count"))).cast("long"), "columns": F.lit(len({key, "classification"} ^ set(records.columns))),
     }
     if rendered is not None:
         keys = rendered.select(key).distinct()
