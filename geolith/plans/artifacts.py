@@ -81,7 +81,7 @@ def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("tree_differences", f"""WITH {TREES}, j AS (SELECT coalesce(a.path, b.path) AS path, a.content AS x, b.content AS y FROM a FULL JOIN b ON a.path = b.path), c AS (SELECT * FROM j WHERE x IS DISTINCT FROM y)
 SELECT path, CASE WHEN EXISTS (SELECT 1 FROM c o WHERE o.x IS NOT NULL AND o.y IS NOT NULL AND o.x = c.y AND o.y = c.x) THEN 'swapped' ELSE 'altered' END AS fault FROM c WHERE x IS NOT NULL AND y IS NOT NULL
-UNION ALL SELECT path, 'missing' FROM c WHERE y IS NULL UNION ALL SELECT DISTINCT 'en/more', 'added' FROM c WHERE x IS NULL""")
+UNION ALL SELECT DISTINCT CASE WHEN split_part(path, '/', 1) NOT IN (SELECT split_part(path, '/', 1) FROM b) THEN split_part(path, '/', 1) WHEN folder NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM b) THEN folder ELSE path END, 'missing' FROM (SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM c WHERE y IS NULL) UNION ALL SELECT DISTINCT 'en/more', 'added' FROM c WHERE x IS NULL""")
 def tree_differences(spark: SparkSession, d: str) -> DataFrame:
     """Files that were added (as the folder that they are in), lost, altered or exchanged, between two trees."""
     return tree.differences(*_trees(spark, d), depth=3)

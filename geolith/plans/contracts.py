@@ -179,7 +179,7 @@ def snapshot_stored(spark: SparkSession, d: str) -> DataFrame:
 
 #: Damage by the number of a chunk: another payload, count, bounds, or order; a chunk that is lost, one that comes again under another number.
 @query("container_faults", duck("features", """WITH c AS (SELECT DISTINCT size % 2 AS level, id // 100 AS chunk FROM features) SELECT level, chunk, 'payload_sha256' AS rule FROM c WHERE chunk % 7 = 1 UNION ALL SELECT level, chunk, 'count' FROM c WHERE chunk % 7 = 2 UNION ALL SELECT level, chunk, 'bounds' FROM c WHERE chunk % 7 = 3
-UNION ALL SELECT level, chunk, 'records_sha256' FROM c WHERE chunk % 7 = 4 UNION ALL SELECT level, NULL, 'chunks' FROM (SELECT DISTINCT level FROM c) UNION ALL SELECT level, chunk + 1000, 'repeated' FROM c WHERE chunk % 7 = 5"""))
+UNION ALL SELECT level, chunk, 'records_sha256' FROM c WHERE chunk % 7 = 4 UNION ALL SELECT level, NULL, 'chunks' FROM (SELECT DISTINCT level FROM c WHERE chunk % 7 = 5) UNION ALL SELECT level, chunk + 1000, 'repeated' FROM c WHERE chunk % 7 = 5"""))
 def container_faults(spark: SparkSession, d: str) -> DataFrame:
     rows = features(spark, d).select((F.col("size") % 2).alias("level"), F.expr("id div 100").alias("chunk"), "id", *BOX)
     chunks = container.encode(rows, "id")
