@@ -55,6 +55,8 @@ WRAPPERS = frozenset("form fieldset dialog object".split())
 UNREAD = frozenset("script style noscript template textarea iframe svg".split())
 #: Elements of text, which go for their classes only if all of these are names of what is no text.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+#: Characters of text, without spaces, that are a story and no menu or notice.
+STORY = 300
 #: Open elements at most.
 DEEPEST = 512
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -312,11 +314,23 @@ def _recurs(node: Node, content: Node, template: frozenset[int]) -> bool:
     return node.digest in template or node.skeleton in template
 
 
+def _prose(node: Node) -> int:
+    """Characters in paragraphs and the like."""
+    size, todo = 0, [node]
+    while todo:
+        node = todo.pop()
+        if node.tag in PROSE:
+            size += node.size
+        else:
+            todo += [c for c in node.children if c.__class__ is Node]
+    return size
+
+
 def _is_bulk(content: Node, template: frozenset[int]) -> bool:
-    """Whether most of the text that would be read recurs."""
-    kept = gone = 0
+    """Whether most of the text that would be read recurs, and is a story: in an article, long, or for the most part in paragraphs."""
+    gone = prose = 0
+    kept = sum(len(c) - c.count(" ") for c in content.children if c.__class__ is not Node)
     todo = [c for c in content.children if c.__class__ is Node]
-    kept += sum(len(c) - c.count(" ") for c in content.children if c.__class__ is not Node)
     while todo:
         node = todo.pop()
         if node.dropped or (node.tag == "header" and content.tag != "article"):
@@ -324,13 +338,14 @@ def _is_bulk(content: Node, template: frozenset[int]) -> bool:
         if _recurs(node, content, template):
             if node.digest in template:  # menus are no story
                 gone += node.size
+                prose += _prose(node)
             continue
         for child in node.children:
             if child.__class__ is Node:
                 todo.append(child)
             else:
                 kept += sum(map(len, child.split()))
-    return gone > kept
+    return gone > kept and (content.tag == "article" or gone >= STORY or 2 * prose > gone)
 
 
 def extract(root: Node, template: frozenset[int] = frozenset()) -> str:

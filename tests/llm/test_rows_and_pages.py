@@ -43,10 +43,12 @@ def test_a_story_that_many_pages_print_is_no_template(spark):
     notice = '<div class="x1">All rights belong to the publisher of this site.</div>'
     pages = [(i, f"http://a.example/{i}", f"<main><p>Printed on day {i}</p>{story}{notice}</main>") for i in range(8)]
     pages += [(i, f"http://a.example/{i}", f"<main><p>Page {i} has its own words about thing number {i}, at some length as well.</p>{notice}</main>") for i in range(8, 108)]
+    pages += [(200 + i, f"http://d.example/{i}", f"<main><p>Printed on day {i}</p><p>A short story that is told here.</p></main>") for i in range(10)]
     pages += [(i, f"http://b.example/{i}", f"<article><h1>Day {i}</h1><div>{story}</div></article>") for i in range(108, 120)]
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     for i in (0, 7, 110):
         assert all(f"Paragraph {k} of a story" in got[i] for k in range(6))
+    assert got[203] == "Printed on day 3 A short story that is told here."
     assert "All rights" not in got[50] and "Page 50 has its own words" in got[50]
 
 
