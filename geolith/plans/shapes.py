@@ -74,8 +74,9 @@ FAULT = "CASE WHEN id % 31 = 0 THEN 'identity' WHEN id % 37 = 0 AND twins > 1 TH
 
 
 def _collected(spark: SparkSession, d: str) -> DataFrame:
-    """The features that were written as collections and are read back."""
-    point = lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.when(F.expr("id % 41 = 0"), "").otherwise(F.concat(F.lit(","), p["y"].cast("string"))), F.when(F.expr("id % 43 = 0"), ",0").otherwise(""), F.lit("]"))
+    """The features that were written as collections and are read back; positions of those that both faults of ordinates would fall on stay as they are."""
+    short, long = F.expr("id % 41 = 0 AND id % 43 <> 0"), F.expr("id % 43 = 0 AND id % 41 <> 0")
+    point = lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.when(short, "").otherwise(F.concat(F.lit(","), p["y"].cast("string"))), F.when(long, ",0").otherwise(""), F.lit("]"))
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     ring = lambda r: listed(F.transform(r, point))
     part = lambda rings: listed(F.transform(rings, ring))
