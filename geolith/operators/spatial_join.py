@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions.spatial import intersects, overlaps
 from geolith.operators import graph
+from geolith.tables import remove, save
 
 BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
@@ -15,6 +16,8 @@ BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 DEEPEST, STEP = 20, 2
 #: Boxes of one cell that meet in one group at most; a cell with more of them has several groups.
 BLOCK = 2048
+#: Keys of one box that are tested together at most; a box with more of them comes several times.
+COPIES = 1024
 
 
 def _placed(df: DataFrame, box: tuple[Column, Column, Column, Column]) -> DataFrame:
@@ -74,23 +77,40 @@ def _sides(owners: DataFrame, visitors: DataFrame, deeper: bool) -> tuple[DataFr
 def _meet(owners: DataFrame, visitors: DataFrame, test, deeper: bool = False) -> DataFrame:
     """Pairs of rows whose boxes pass the test, of placed owners and visitors at the owner's level or deeper (with ``deeper`` only deeper)."""
     own, near = _sides(owners, visitors, deeper)
-    j = own.join(near, [*CELL_KEY, "__b0", "__b1"])
+    j = own.hint("merge").join(near, [*CELL_KEY, "__b0", "__b1"])  # sizes of files say little about rows that are alike or were exploded
     first = (F.col("__gx") == F.greatest("__ox", "__vx")) & (F.col("__gy") == F.greatest("__oy", "__vy"))
     hit = test(tuple(F.col(f"__obox.{c}") for c in BOUNDS), tuple(F.col(f"__vbox.{c}") for c in BOUNDS))
     return j.where(first & hit).drop(*CELL_KEY, "__b0", "__b1", "__ox", "__oy", "__vx", "__vy", "__obox", "__vbox")
 
 
+def _bundled(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Rows that are alike in ``by`` as one row with their keys in an array, COPIES of them at most on average where keys differ."""
+    rows = rows.withColumn("__h", F.xxhash64(*by))  # rows of one digest that differ are cut more often than they need, no more
+    many = rows.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > COPIES).select("__h", F.ceil(F.col("__n") / COPIES).alias("__of"))
+    cut = rows.join(many, "__h", "left")
+    slice_ = F.when(F.col("__of").isNotNull(), F.pmod(F.xxhash64(key), F.col("__of"))).otherwise(F.lit(0))
+    return cut.withColumn("__slice", slice_).groupBy(*by, "__slice").agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("__keys")).drop("__slice")
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, test=overlaps) -> DataFrame:
     """Pairs of keys (a_key, b_key) whose boxes overlap (open, or closed with test=intersects).
 
     Boxes of all sizes meet in a hierarchy of grids, the broader of the two in its own cells (see _meet), so that one broad box costs as much as
-    others, and a cell of very many boxes is divided over tasks.
+    others, and a cell of very many boxes is divided over tasks.  Boxes that are the same are tested once, and their keys are paired last.
     """
     box = tuple(F.col(c) for c in BOUNDS)
-    a = _placed(left.select(F.col(left_key).alias("a_key"), *BOUNDS), box).drop(*BOUNDS)
-    b = _placed(right.select(F.col(right_key).alias("b_key"), *BOUNDS), box).drop(*BOUNDS)
+    a = _placed(_bundled(left.select(F.col(left_key).alias("a_key"), *BOUNDS), "a_key", list(BOUNDS)).withColumnRenamed("__keys", "__a"), box).drop(*BOUNDS)
+    b = _placed(_bundled(right.select(F.col(right_key).alias("b_key"), *BOUNDS), "b_key", list(BOUNDS)).withColumnRenamed("__keys", "__b"), box).drop(*BOUNDS)
     swapped = lambda x, y: test(y, x)
-    return _meet(a, b, test).select("a_key", "b_key").unionByName(_meet(b, a, swapped, deeper=True).select("a_key", "b_key"))
+    found = _meet(a, b, test).select("__a", "__b").unionByName(_meet(b, a, swapped, deeper=True).select("__a", "__b"))
+    return _expanded(found, {"__a": "a_key", "__b": "b_key"})
+
+
+def _expanded(found: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Each pair of keys of two bundles."""
+    for bundle, name in keys.items():
+        found = found.withColumn(bundle, F.explode(bundle))
+    return found.select(*[F.col(f"{bundle}.k").alias(name) for bundle, name in keys.items()])
 
 
 def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool = True) -> DataFrame:
@@ -100,6 +120,31 @@ def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool
     return graph.components(pairs.select(left.alias("a"), right.alias("b")))
 
 
+def overlap_components(left: DataFrame, right: DataFrame, left_key: str, right_key: str, test=overlaps) -> DataFrame:
+    """components(overlap_pairs(...)) without the pairs of keys: boxes are the nodes of the graph, each once on a side.
+
+    A key belongs to the component of its box.  A key of several boxes connects those of them that overlap anything.
+    """
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("node"), F.struct(F.lit(name).alias("side"), *BOUNDS).alias("box")).where("node IS NOT NULL")
+
+    def boxes(df: DataFrame) -> DataFrame:
+        return df.select("box").distinct().select("box", *[F.col(f"box.{c}") for c in BOUNDS])
+
+    a, b = side(left, left_key, "a"), side(right, right_key, "b")
+    pairs, path = save(overlap_pairs(boxes(a), boxes(b), "box", "box", test), "boxes")
+    used = pairs.select(F.col("a_key").alias("box")).unionByName(pairs.select(F.col("b_key").alias("box"))).distinct()
+    nodes, _ = save(a.unionByName(b).join(used.hint("merge"), "box").distinct(), "nodes")
+    several = nodes.groupBy("node").agg(F.min("box").alias("a"), F.max("box").alias("__last")).where("a <> __last").select("node", "a")
+    shared = nodes.join(several.hint("merge"), "node").select("a", F.col("box").alias("b"))
+    of = graph.components(pairs.toDF("a", "b").unionByName(shared)).toDF("box", "label")
+    named = nodes.hint("merge").join(of, "box").select("node", "label").distinct()
+    least = named.groupBy("label").agg(F.min("node").alias("component"))
+    out = named.hint("merge").join(least, "label").select("node", "component")
+    remove(left.sparkSession, path)
+    return out
+
+
 def component_kinds(members: DataFrame) -> DataFrame:
     """component, n_old, n_new and kind from (node, component) with nodes a:<old> and b:<new>."""
     old = F.sum(F.col("node").startswith("a:").cast("long"))
@@ -117,12 +162,15 @@ def viewport(features: DataFrame, views: DataFrame, key: str, view_key: str) ->
 def hit_test(points: DataFrame, features: DataFrame, point_key: str, key: str, inside: Column | None = None) -> DataFrame:
     """(point_key, key) of the features that hold each point (x, y).
 
-    Boxes are compared first, by grid cell; ``inside`` is an exact test over the columns of both, such as a
-    call of geometry.contains.
+    Boxes are compared first, by grid cell; ``inside`` is an exact test over the columns of both but their keys, such as a
+    call of geometry.contains.  Points and features that are alike in all other columns (without ``inside``, in place or bounds) are tested once.
     """
     x, y = F.col("x"), F.col("y")
-    found = _meet(_placed(features, tuple(F.col(c) for c in BOUNDS)), _placed(points, (x, y, x, y)), intersects)
-    return (found if inside is None else found.where(inside)).select(point_key, key)
+    others = lambda df, own, needed: needed if inside is None else [c for c in df.columns if c != own]
+    places = _bundled(points, point_key, others(points, point_key, ["x", "y"])).withColumnRenamed("__keys", "__points")
+    shapes = _bundled(features, key, others(features, key, list(BOUNDS))).withColumnRenamed("__keys", "__features")
+    found = _meet(_placed(shapes, tuple(F.col(c) for c in BOUNDS)), _placed(places, (x, y, x, y)), intersects)
+    return _expanded(found if inside is None else found.where(inside), {"__points": point_key, "__features": key})
 
 
 def with_cells(features: DataFrame, extent: DataFrame, n: int = 8) -> DataFrame:
