@@ -137,7 +137,7 @@ COMPONENTS = f"WITH RECURSIVE pairs AS MATERIALIZED (SELECT 'a:' || a.id AS u, '
 
 @query("overlap_components", duck("accepted candidate", COMPONENTS + "SELECT node, component FROM members"))
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_join.components(overlap_pairs(spark, d))
+    return spatial_join.overlap_components(accepted(spark, d), candidate(spark, d), "id", "id")
 
 
 @query("component_kinds", duck("accepted candidate", COMPONENTS + """SELECT component, n_old, n_new, CASE WHEN n_old = 1 AND n_new = 1 THEN 'uncertain_replacement' WHEN n_old = 1 THEN 'split' WHEN n_new = 1 THEN 'merge' ELSE 'complex' END AS kind

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from geolith.functions.spatial import intersects
-from geolith.operators import spatial_join
+from geolith.operators import graph, spatial_join
+from geolith.plans import maps
 
 SCHEMA = "id long, min_x double, min_y double, max_x double, max_y double"
 
@@ -67,3 +68,50 @@ def test_points_in_boxes(spark):
     got = spatial_join.hit_test(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(feats, SCHEMA), "p", "id")
     want = sorted((p, f[0]) for p, x, y in points if x is not None for f in feats if f[1] <= x <= f[3] and f[2] <= y <= f[4])
     assert sorted((r.p, r.id) for r in got.collect()) == want
+
+
+def test_equal_boxes_are_one_node(spark, monkeypatch):
+    """Copies of boxes make no edges of their own; a key of two boxes connects what both overlap."""
+    edges = []
+    saved = graph.save
+    monkeypatch.setattr(graph, "save", lambda df, tag, **options: (edges.append(df.count()) if tag == "edges" else None, saved(df, tag, **options))[1])
+    left = [(i, float(i % 3), 0.0, i % 3 + 0.5, 1.0) for i in range(120)] + [(500, 50.0, 0.0, 51.0, 1.0), (500, 60.0, 0.0, 61.0, 1.0), (501, 60.0, 0.0, 61.0, 1.0)]
+    right = [(i, float(i % 3), 0.5, i % 3 + 0.5, 2.0) for i in range(90)] + [(700, 50.5, 0.0, 52.0, 1.0), (701, 60.5, 0.0, 62.0, 1.0), (702, 90.0, 0.0, 91.0, 1.0)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    d = spatial_join.overlap_components(a, b, "id", "id")
+    assert max(edges) < 10
+    want = spatial_join.components(spark.createDataFrame(brute(left, right), "a_key long, b_key long"))
+    assert sorted(map(tuple, d.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.node for r in d.where("component = 'a:500'").collect()} == {"a:500", "a:501", "b:700", "b:701"}
+
+
+def test_registered_components_have_no_pairs_of_copies(spark, monkeypatch, tmp_path):
+    edges = []
+    saved = graph.save
+    monkeypatch.setattr(graph, "save", lambda df, tag, **options: (edges.append(df.count()) if tag == "edges" else None, saved(df, tag, **options))[1])
+    spark.range(200).selectExpr("id * 920 AS p_partkey", "7 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert maps.component_kinds(spark, str(tmp_path)).count() == 1
+    assert edges[0] == 1
+
+
+def test_copies_in_slices(spark, monkeypatch):
+    """More copies of a box or of a point than go together; keys may be null."""
+    monkeypatch.setattr(spatial_join, "COPIES", 4)
+    left = [(i, 0.0, 0.0, 1.0, 1.0) for i in range(50)] + [(None, 0.0, 0.0, 1.0, 1.0), (90, 5.0, 5.0, 6.0, 6.0), (90, 5.0, 5.0, 6.0, 6.0)]
+    right = [(i, 0.5, 0.5, 1.5, 1.5) for i in range(40)] + [(95, 5.5, 5.5, 7.0, 7.0)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    got = [(r.a_key, r.b_key) for r in spatial_join.overlap_pairs(a, b, "id", "id").collect()]
+    assert sorted(got, key=repr) == sorted([(x[0], y[0]) for x in left for y in right if (x[1] == 5.0) == (y[0] == 95)], key=repr)
+    points = spark.createDataFrame([(i, 0.25, 0.25) for i in range(30)] + [(77, 0.25, 0.75)], "p long, x double, y double")
+    shown = a.select("id", *spatial_join.BOUNDS).withColumn("slope", F.lit(1.0))
+    got = [(r.p, r.id) for r in spatial_join.hit_test(points, shown, "p", "id", F.expr("y <= x * slope")).collect()]
+    assert sorted(got, key=repr) == sorted([(i, k) for i in range(30) for k in [*range(50), None]], key=repr)
+
+
+def test_no_side_is_broadcast(spark):
+    """The size of a file of parts says little about that of its boxes in their cells."""
+    d = "/root/testdata/sf0.001"
+    plan = maps.overlap_pairs(spark, d)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "__obox" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    sides = [x for x in plan.splitlines() if "Join" in x and "__gx" in x and "__b0" in x]
+    assert sides and all("SortMergeJoin" in x for x in sides)
