@@ -316,7 +316,7 @@ def triangle_hits(spark: SparkSession, d: str) -> DataFrame:
 
     outer = [(F.col("min_x"), F.col("min_y")), (F.col("max_x"), F.col("min_y")), (F.col("min_x"), F.col("max_y")), (F.col("min_x"), F.col("min_y"))]
     hole = [near, (far[0], near[1]), far, (near[0], far[1]), near]
-    shapes = features(spark, d).withColumn("parts", F.array(F.array(ring(outer), ring(hole))))
+    shapes = features(spark, d).select("id", *BOX, F.array(F.array(ring(outer), ring(hole))).alias("parts"))
     return spatial_join.hit_test(points, shapes, "point", "id", geometry.contains("x", "y", "parts"))
 
 
