@@ -1,7 +1,7 @@
 """Trees of digests over the files of an artifact, compared from the root down.
 
 A node is a file or a folder: path, parent, depth, length and sha256; a folder's digest is that of its children's names, kinds
-and digests.  Two artifacts with one root digest are equal; where folders differ, only their children are compared.
+and digests, put together by their first hexadecimal digits, so that a folder of any size is no one task's.  Two artifacts with one root digest are equal; where folders differ, only their children are compared.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(below.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-def of_contents(rows: DataFrame) -> DataFrame:
-    """path, length and sha256 of files given as rows (path, content); a null content is an empty file."""
+def of_contents(rows: DataFrame, *others: str) -> DataFrame:
+    """The other columns, path, length and sha256 of files given as rows (path, content); a null content is an empty file."""
     content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
-    return rows.select("path", F.octet_length(content).cast("long").alias("length"), F.sha2(content, 256).alias("sha256"))
+    return rows.select(*others, "path", F.octet_length(content).cast("long").alias("length"), F.sha2(content, 256).alias("sha256"))
 
 
 def tree(leaves: DataFrame, depth: int | None = None) -> DataFrame:
@@ -45,7 +45,10 @@ def tree(leaves: DataFrame, depth: int | None = None) -> DataFrame:
         own = own if folders is None else own.unionByName(folders)
         name = F.element_at(F.split("path", "/"), -1)
         child = F.concat_ws(":", F.char_length(name).cast("string"), name, F.substring("kind", 1, 2), "sha256")
-        made = own.groupBy("parent").agg(F.sum("length").alias("length"), F.sha2(F.array_join(F.sort_array(F.collect_list(child)), ","), 256).alias("sha256"))
+        listed = F.sha2(F.array_join(F.sort_array(F.collect_list("child")), ","), 256)
+        shares = own.select("parent", "length", child.alias("child")).groupBy("parent", F.substring(F.sha2("child", 256), 1, 4).alias("share"))
+        shares = shares.agg(F.sum("length").alias("length"), listed.alias("child"))
+        made = shares.groupBy("parent").agg(F.sum("length").alias("length"), listed.alias("sha256"))
         made = made.select(F.col("parent").alias("path"), F.when(F.col("parent") == "", F.lit(None)).otherwise(up(F.col("parent"))).alias("parent"), F.lit(d - 1).alias("depth"), F.lit("folder").alias("kind"), "length", "sha256")
         folders, _ = save(made, "folders")
         out = out.unionByName(folders)
