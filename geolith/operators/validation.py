@@ -68,4 +68,5 @@ def validate(tables: dict[str, tuple[DataFrame, str]], validators: list[Validato
     status = F.when(F.col("cause").isNotNull(), "skipped").when(F.col("n").isNotNull(), "failed").otherwise("passed")
     j = names.join(counts, "validator", "left").join(first, "validator", "left").withColumn("status", status)
     states = j.select("validator", "status", F.when(F.col("status") == "failed", F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"), "cause")
-    return states, faults.join(states.where("status = 'failed'").select("validator"), "validator", "left_semi")
+    failed = F.broadcast(states.where("status = 'failed'").select("validator"))  # a row for each validator at most; faults have few other keys
+    return states, faults.join(failed, "validator", "left_semi")

@@ -43,3 +43,7 @@ def test_folders_are_digested_in_shares(spark):
     nodes = tree.tree(tree.of_contents(spark.createDataFrame(files, "path string, content string")), 2)
     row = nodes.where("path = 'a'").first()
     assert (row.sha256, row.length) == (want, sum(len(t) for _, t in files))
+
+
+def test_faults_are_not_shuffled_by_validator(spark):
+    assert "BroadcastHashJoin" in plan(artifacts.validator_faults(spark, D))
