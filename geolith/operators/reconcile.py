@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.operators.release import state_digest
-from geolith.operators.spatial_join import component_kinds, components, overlap_pairs
+from geolith.operators.spatial_join import component_kinds, overlap_components, overlap_pairs
 from geolith.tables import remove, save
 
 
@@ -17,18 +17,18 @@ def continuations(old: DataFrame, new: DataFrame, key: str = "source_feature_id"
     """
     status = F.coalesce(F.col("identity_status"), F.lit("active")) if "identity_status" in old.columns else F.lit("active")
     action = F.when(F.col("s") == "retired", "error").when(F.col("s") == "inactive", "reappearance").otherwise("continuation")
-    return old.select(key, status.alias("s")).join(new.select(key), key).select(key, action.alias("action"))
+    return old.select(key, status.alias("s")).hint("merge").join(new.select(key), key).select(key, action.alias("action"))
 
 
 def replacements(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> DataFrame:
     """(old_id, new_id) of features without common key whose equal geometry is alone on both sides."""
-    common_old = old.join(new.select(key), key, "left_anti")
-    common_new = new.join(old.select(key), key, "left_anti")
+    common_old = old.join(new.select(key).hint("merge"), key, "left_anti")
+    common_new = new.join(old.select(key).hint("merge"), key, "left_anti")
 
     def alone(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("geometry_sha256").agg(F.count("*").alias("n"), F.min(key).alias(name)).where("n = 1").drop("n")
 
-    return alone(common_old, "old_id").join(alone(common_new, "new_id"), "geometry_sha256").select("old_id", "new_id")
+    return alone(common_old, "old_id").hint("merge").join(alone(common_new, "new_id"), "geometry_sha256").select("old_id", "new_id")
 
 
 def plan(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> dict[str, DataFrame]:
@@ -39,16 +39,16 @@ def plan(old: DataFrame, new: DataFrame, key: str = "source_feature_id") -> dict
     """
     kept = continuations(old, new, key)
     replaced = replacements(old, new, key)
-    old_left = old.join(kept.select(key), key, "left_anti").join(replaced.select(F.col("old_id").alias(key)), key, "left_anti")
-    new_left = new.join(kept.select(key), key, "left_anti").join(replaced.select(F.col("new_id").alias(key)), key, "left_anti")
+    old_left = old.join(kept.select(key).hint("merge"), key, "left_anti").join(replaced.select(F.col("old_id").alias(key)).hint("merge"), key, "left_anti")
+    new_left = new.join(kept.select(key).hint("merge"), key, "left_anti").join(replaced.select(F.col("new_id").alias(key)).hint("merge"), key, "left_anti")
     old_left, new_left = (save(x, "leftovers")[0] for x in (old_left, new_left))
-    pairs, _ = save(overlap_pairs(old_left, new_left, key, key), "pairs")
-    members = components(pairs)
+    pairs = overlap_pairs(old_left, new_left, key, key)  # not saved: they may be many more than the features
+    members, _ = save(overlap_components(old_left, new_left, key, key), "members")
     in_old = members.where("node LIKE 'a:%'").select(F.expr("substring(node, 3)").cast(old.schema[key].dataType).alias(key))
     in_new = members.where("node LIKE 'b:%'").select(F.expr("substring(node, 3)").cast(new.schema[key].dataType).alias(key))
     return {
         "continuations": kept, "replacements": replaced, "pairs": pairs, "components": members, "kinds": component_kinds(members),
-        "additions": new_left.select(key).join(in_new, key, "left_anti"), "disappearances": old_left.select(key).join(in_old, key, "left_anti"),
+        "additions": new_left.select(key).join(in_new.hint("merge"), key, "left_anti"), "disappearances": old_left.select(key).join(in_old.hint("merge"), key, "left_anti"),
     }
 
 
@@ -109,19 +109,20 @@ def lineage(mappings: DataFrame, release: str = "release", previous: str = "prev
     mappings: a row for each feature of a release (whole numbers) with the key that it had in the release before, null for a new one.
     Every feature points to the one before; in each round it points to where that one points, so that a chain of n
     releases takes log2(n) rounds, which are tables on disk.  A previous key without a row is where the identity begins.
+    Rounds are merged: their files are so small, when compressed, that the planner would broadcast tables of a row for each feature.
     """
     node, before = F.struct(F.col(release).cast("long").alias("r"), F.col(key).alias("k")), F.struct((F.col(release) - 1).cast("long").alias("r"), F.col(previous).alias("k"))
     links = mappings.select(node.alias("node"), F.when(F.col(previous).isNotNull(), before).alias("before")).distinct()
     known = links.select(F.col("node").alias("before"), F.lit(True).alias("__known"))
     at = F.when(F.col("__known"), F.col("before")).otherwise(F.col("node"))
-    jumps, path = save(links.join(known, "before", "left").select("node", at.alias("at"), F.col("__known").isNotNull().cast("long").alias("steps")), "jumps")
+    jumps, path = save(links.hint("merge").join(known, "before", "left").select("node", at.alias("at"), F.col("__known").isNotNull().cast("long").alias("steps")), "jumps")
     while True:
         ahead = jumps.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("steps").alias("__steps"))
-        further, later = save(jumps.join(ahead, "at").select("node", F.col("__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("__steps") > 0).alias("__moved")), "jumps")
+        further, later = save(jumps.hint("merge").join(ahead, "at").select("node", F.col("__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("__steps") > 0).alias("__moved")), "jumps")
         done = further.where("__moved").isEmpty()
         remove(mappings.sparkSession, path)
         jumps, path = further.drop("__moved"), later
         if done:
             break
     ends = jumps.select(F.col("node.r").alias("__r"), F.col("node.k").alias("__k"), F.col("at.r").alias("origin_release"), F.col("at.k").alias("origin_id"), "steps")
-    return mappings.join(ends, (F.col(release).cast("long") == F.col("__r")) & (F.col(key) == F.col("__k"))).drop("__r", "__k")
+    return mappings.hint("merge").join(ends, (F.col(release).cast("long") == F.col("__r")) & (F.col(key) == F.col("__k"))).drop("__r", "__k")

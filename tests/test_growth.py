@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from geolith.operators import reconcile
 from geolith.plans import artifacts
 from geolith.sources import tree
 
@@ -47,3 +48,10 @@ def test_folders_are_digested_in_shares(spark):
 
 def test_faults_are_not_shuffled_by_validator(spark):
     assert "BroadcastHashJoin" in plan(artifacts.validator_faults(spark, D))
+
+
+def test_lineage_is_not_broadcast(spark, monkeypatch):
+    plans, saved = [], reconcile.save
+    monkeypatch.setattr(reconcile, "save", lambda df, tag, **options: (plans.append(plan(df)), saved(df, tag, **options))[1])
+    plans.append(plan(artifacts.identity_lineage(spark, D)))
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in x for x in plans)
