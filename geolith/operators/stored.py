@@ -141,7 +141,7 @@ def recorded(existing: DataFrame, incoming: DataFrame, key: list[str], columns:
     """key and outcome of each incoming row: 'insert', 'equal' to the row that is there, 'conflict' with it, or 'duplicate' in the input."""
     many = incoming.groupBy(*key).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in columns])
     there = existing.select(*key, F.struct(*columns).alias("__old"))
-    j = many.join(there, key, "left")
+    j = many.hint("merge").join(there, key, "left")  # incoming rows may be many, and files of few bytes
     same = F.struct(*columns).eqNullSafe(F.col("__old"))
     return j.select(*key, F.when(F.col("n") > 1, "duplicate").when(F.col("__old").isNull(), "insert").when(same, "equal").otherwise("conflict").alias("outcome"))
 

@@ -154,7 +154,7 @@ def record(root: str, incoming: dict[str, tuple[DataFrame, list[str]]]) -> Gener
         outcomes = recorded(there, rows, key, columns)
         if fault := outcomes.where("outcome IN ('conflict', 'duplicate')").first():
             raise Refused(f"not recorded in {name}: {fault.asDict()}")
-        fresh = rows.join(outcomes.where("outcome = 'insert'").select(*key), key, "left_semi").select(*rows.columns)
+        fresh = rows.join(outcomes.where("outcome = 'insert'").select(*key).hint("merge"), key, "left_semi").select(*rows.columns)
         if name not in held or not fresh.isEmpty():
             tables[name] = there.unionByName(fresh)
     if not tables:

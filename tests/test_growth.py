@@ -3,8 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from geolith.operators import reconcile
+from geolith.operators import reconcile, stored
 from geolith.plans import artifacts
 from geolith.sources import tree
 
@@ -55,3 +56,8 @@ def test_lineage_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(reconcile, "save", lambda df, tag, **options: (plans.append(plan(df)), saved(df, tag, **options))[1])
     plans.append(plan(artifacts.identity_lineage(spark, D)))
     assert len(plans) > 3 and not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_records_are_not_broadcast(spark):
+    rows = spark.read.parquet(f"{D}/orders.parquet").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
+    assert "BroadcastHashJoin" not in plan(stored.recorded(rows, rows, ["key"], ["o_orderstatus"]))
