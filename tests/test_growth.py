@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geolith.operators import reconcile, stored
-from geolith.plans import artifacts
+from geolith.plans import artifacts, maps
 from geolith.sources import tree
 
 D = "/root/testdata/sf0.001"
@@ -61,3 +61,14 @@ def test_lineage_is_not_broadcast(spark, monkeypatch):
 def test_records_are_not_broadcast(spark):
     rows = spark.read.parquet(f"{D}/orders.parquet").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
     assert "BroadcastHashJoin" not in plan(stored.recorded(rows, rows, ["key"], ["o_orderstatus"]))
+
+
+def test_sides_of_a_plan_are_not_broadcast(spark):
+    old, new = (artifacts.accepted(spark, D), artifacts.candidate(spark, D))
+    for df in (reconcile.continuations(old, new, "id"), reconcile.replacements(old, new, "id")):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_points_and_shapes_that_are_alike_are_tested_once(spark):
+    for name in (maps.exact_hit_test, maps.triangle_hits):
+        assert plan(name(spark, D)).count("collect_list") >= 2
