@@ -1,20 +1,20 @@
 """Token-id files written by an adaptive context-mixing range coder.
 
 A file holds whole documents in ascending doc_id order: a header, the documents' ids and token counts,
-and blocks of at most BLOCK token ids.  Every block starts from a fresh model and carries a CRC-32 of its
-ids and their code, so that it can be decoded alone and a damaged one is noticed.  Files are rows (part, seq, data) of a
-Parquet table in the shared folder, which any store that Spark writes to can hold.
+and blocks of at most BLOCK token ids, each with a CRC-32 of its ids and their code, so that damage is noticed.
+UNIT blocks of a file at most share a model, which is fresh at their start.  A file can be decoded alone.  Files are rows (part, seq,
+data) of a Parquet table in the shared folder, which any store that Spark writes to can hold.
 
-Model of a block.  Order 2 and order 1 predict the next id from tables of what followed the same two ids
-or the same id last time, each with a confidence of 0 to 3.  An outcome says which is right: order 2's id,
+Model of a unit.  Order 2 and order 1 predict the next id from tables of what followed the same two ids
+or the same id last time in any of the unit's blocks, each with a confidence of 0 to 3.  An outcome says which is right: order 2's id,
 order 1's, or neither.  Its frequencies are mixed from adaptive counts by both confidences, by order 1's
-alone and by order 2's alone.  An id that neither predicted is coded by order 0, as all its bits in three
-steps: its group (the six high bits), five bits as its group has had them, and the last five in one of many
-contexts by the bits before, each with adaptive frequencies.  Outcome and steps are one interval of the
-coder.  Frequencies are rebuilt from the counts every few ids.
+alone and by order 2's alone.  An id that neither predicted is coded by order 0, by how often it was coded so before; ids that
+are new share a part that is as large as new ids were frequent.  Outcome and id are one interval of the
+coder.  Frequencies are rebuilt from the counts before ids 1, 2, 4 and so on of all blocks, then every REFRESH ids.
 
 The coder works on many blocks at once: step t codes the t-th id of each block with numpy, which keeps
-the sequential model affordable.  Arithmetic is in integers, so that any machine decodes alike.
+the sequential model affordable.  Where blocks of a unit write the same place in one step, the last one's id stays.
+Arithmetic gives whole numbers that any machine decodes alike.
 
 Null texts are empty: the end id alone.  Rows without doc_id are left out, since the order is that of
 doc_id; rows that repeat a doc_id are written one after the other.
@@ -39,172 +39,170 @@ from geolith.llm import wordtokens
 from geolith.llm.bpe import read_vocabulary
 from geolith.llm.common import save, sliced, small_batches, table
 
-MAGIC = b"GLTK1\n"
-BLOCK = 4096
+MAGIC = b"GLTK2\n"
+BLOCK = 2048
+#: Blocks that share a model at most.
+UNIT = 512
 #: Ids of a file before a new one begins, at a document's end.
 FILE_IDS = 1 << 20
 #: Blocks that are coded at once.
-LANES = 4096
-#: Places in the tables of order 1 and order 2.
-SLOTS1, SLOTS2 = 1 << 9, 1 << 10
-#: Groups of ids by their six high bits, and values of each half of the ten low bits.
-GROUPS, HALF = 64, 32
-#: Frequencies of outcomes, groups and halves are out of 2^bits; together they are the bits of one interval.
-OUTCOME_BITS, GROUP_BITS, HALF_BITS = 12, 10, 7
-ID_BITS = GROUP_BITS + 2 * HALF_BITS
+LANES = 8192
+#: Ids, and places in each of the tables of order 1 (by the id itself) and order 2 (by a hash).
+IDS = 1 << 16
+#: Frequencies of outcomes are out of 2^OUTCOME_BITS, those of ids out of 2^ID_BITS; together they are the bits of one interval.
+#: An id that was seen has whole points, of which there are 2^POINT_BITS; new ones share NEW points at least, twice as many up to NEWEST times.
+OUTCOME_BITS, ID_BITS, POINT_BITS = 12, 22, 18
+FINE = ID_BITS - POINT_BITS
+NEW, NEWEST = IDS >> FINE, 5
 #: Neither order's prediction gets the last part, so that every id keeps a frequency.
 MISSES = 64
-REFRESH, REFRESH_HALVES = 64, 512
+REFRESH = 256
+SURE = 3 << 16
 TOP = np.uint64(1 << 40)
 LOW_MASK = np.uint64((1 << 40) - 1)
 ALL, SHIFT, SIXTEEN, FORTY = np.uint64((1 << 56) - 1), np.uint64(OUTCOME_BITS + ID_BITS), np.uint64(16), np.uint64(40)
 
 
-class Symbols:
-    """Adaptive frequencies, out of 2^bits, of ``size`` symbols in some contexts of each of n blocks."""
-
-    def __init__(self, n: int, contexts: int, size: int, bits: int):
-        self.contexts, self.size, self.bits = contexts, size, bits
-        self.counts = np.ones(n * contexts * size, np.int16)
-        self.refresh(n)
-
-    def refresh(self, n: int) -> None:
-        counts = self.counts[: n * self.contexts * self.size].reshape(-1, self.size)
-        total = counts.sum(1, keepdims=True, dtype=np.int32)
-        if (large := np.flatnonzero(total[:, 0] > 20_000)).size:
-            counts[large] = (counts[large] + 1) >> 1
-            total = counts.sum(1, keepdims=True, dtype=np.int32)
-        starts = np.zeros((len(counts), self.size + 1), np.int16)
-        np.cumsum(1 + counts * np.int32((1 << self.bits) - self.size) // total, 1, out=starts[:, 1:])
-        starts[:, self.size] = 1 << self.bits
-        self.starts = starts.ravel()
-
-    def interval(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = context * (self.size + 1) + symbol
-        start = self.starts.take(at).astype(np.int64)
-        return start, self.starts.take(at + 1) - start
-
-    def find(self, context: np.ndarray, point: np.ndarray) -> np.ndarray:
-        """The last symbol that begins at the point or before it."""
-        base = context * (self.size + 1)
-        at, jump = base, self.size >> 1
-        while jump:
-            further = at + jump
-            at = np.where(self.starts.take(further) <= point, further, at)
-            jump >>= 1
-        return at - base
-
-    def count(self, context: np.ndarray, symbol: np.ndarray, missed: np.ndarray) -> None:
-        at = context * self.size + symbol
-        self.counts[at] = self.counts.take(at) + missed
-
-
 class Model:
-    """State of n blocks that are coded in step; all are fresh at the start."""
-
-    def __init__(self, n: int):
-        row = np.arange(n)
-        self.n = n
-        self.table1 = np.zeros(n * SLOTS1, np.int32)  # id and, above it, the confidence
-        self.table2 = np.zeros(n * SLOTS2, np.int32)
-        self.row, self.base1, self.base2, self.base16, self.base_half = row, row * SLOTS1, row * SLOTS2, row * 16, row * GROUPS
-        self.seen = np.zeros((n * 16, 3), np.int32)
-        self.seen[:] = (1, 1, 2)
-        self.group = Symbols(n, 1, GROUPS, GROUP_BITS)
-        self.half1, self.half2 = Symbols(n, GROUPS, HALF, HALF_BITS), Symbols(n, GROUPS, HALF, HALF_BITS)
-        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.refresh(0)
+    """State of n blocks of some units that are coded in step; all are fresh at the start."""
+
+    def __init__(self, unit: np.ndarray):
+        """The unit, from 0, of each block."""
+        units = int(unit.max(initial=-1)) + 1
+        self.n, self.unit = len(unit), unit
+        self.table = np.zeros(units * 2 * IDS, np.int64)  # ids and, above them, the confidence
+        self.base = np.stack([unit * 2 * IDS, unit * 2 * IDS + IDS])
+        self.base_outcome, self.base_id, self.base_point = unit * 48, unit * (IDS + 1), unit << POINT_BITS
+        self.seen = np.ones((units, 4, 4, 3), np.int64)
+        self.seen[..., 2] = 2
+        self.counts = np.zeros((units, IDS), np.int64)
+        self.start, self.width = np.zeros((units, IDS + 1), np.int64), np.full((units, IDS + 1), 1 << ID_BITS)  # the last: no id is coded
+        self.start[:, :IDS], self.width[:, :IDS] = np.arange(IDS) << NEWEST, 1 << NEWEST
+        self.starts, self.widths = self.start.ravel(), self.width.ravel()
+        self.points = np.zeros((units, 1 << POINT_BITS), np.uint16)
+        self.ids_of_points = self.points.ravel()
+        self.more = np.full(units, NEWEST)
+        self.a, self.b = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        self.outcomes: list[np.ndarray] = []
+        self.missed: list[np.ndarray] = []
+        self._outcome_frequencies()
+        self._by_lane()
 
     def refresh(self, t: int) -> None:
-        """Before the t-th id: the frequencies from the counts; larger counts are halved."""
-        if t % REFRESH:
+        """Before the t-th id: the frequencies from what was counted; larger counts are halved."""
+        if t & (t - 1) and t % REFRESH:
             return
-        n = self.n
-        joint = self.seen[: n * 16].reshape(n, 4, 4, 3)
-        total = joint.sum((1, 2, 3))
-        if (large := np.flatnonzero(total > 1500)).size:
-            joint[large] = (joint[large] + 1) >> 1
-        mixed = 4 * joint + joint.sum(1, keepdims=True) + 2 * joint.sum(2, keepdims=True)
-        mixed = mixed.reshape(n * 16, 3).astype(np.int64)
+        self.seen += 4 * np.bincount(np.concatenate(self.outcomes), minlength=self.seen.size).reshape(self.seen.shape)
+        large = self.seen.sum((1, 2, 3)) > 1 << 20
+        self.seen[large] = (self.seen[large] + 1) >> 1
+        self._outcome_frequencies()
+        found = np.bincount(np.concatenate(self.missed), minlength=self.start.size).reshape(self.start.shape)
+        for unit, new in enumerate(found[:, :IDS]):
+            self._learn(unit, new)
+        self.outcomes, self.missed = [], []
+        self._by_lane()
+
+    def _outcome_frequencies(self) -> None:
+        joint = self.seen
+        mixed = (4 * joint + joint.sum(1, keepdims=True) + 2 * joint.sum(2, keepdims=True)).reshape(-1, 3)
         room = (1 << OUTCOME_BITS) - MISSES - 2
         total = mixed.sum(1)
-        self.one = 1 + mixed[:, 0] * room // total
-        self.two = self.one + 1 + mixed[:, 1] * room // total
-        if t:
-            self.group.refresh(n)
-            if t % REFRESH_HALVES == 0:
-                self.half1.refresh(n)
-                self.half2.refresh(n)
+        one = 1 + mixed[:, 0] * room // total
+        two = one + 1 + mixed[:, 1] * room // total
+        self.below = np.stack([np.zeros_like(one), one, two], 1).ravel()
+        self.room = np.stack([one, two - one, (1 << OUTCOME_BITS) - two], 1).ravel()
+
+    def _learn(self, unit: int, new: np.ndarray) -> None:
+        """Order 0's frequencies of a unit, with the counts of the ids that it coded since the last time."""
+        if not (coded := int(new.sum())):
+            return
+        counts = self.counts[unit]
+        share = (64 * int(new[counts == 0].sum())) // coded
+        more = min(max(share.bit_length() - 1, 0), NEWEST)
+        counts += new
+        ids = np.flatnonzero(counts)
+        own = counts[ids]
+        first = NEW << more
+        width = 1 + own * ((1 << POINT_BITS) - first - len(ids)) // own.sum()
+        ends = first + np.cumsum(width)
+        self.more[unit] = more
+        self.start[unit, :IDS], self.width[unit, :IDS] = np.arange(IDS) << more, 1 << more
+        self.start[unit, ids], self.width[unit, ids] = (ends - width) << FINE, width << FINE
+        self.points[unit, first : ends[-1]] = np.repeat(ids.astype(np.uint16), width)
+
+    def _by_lane(self) -> None:
+        self.more_here = self.more.take(self.unit)
+        self.new_here = IDS << self.more_here
 
     def shrink(self, n: int) -> None:
         """The first n blocks go on; the others are at their end."""
         self.n = n
-        for name in ("row", "base1", "base2", "base16", "base_half", "a", "b"):
+        for name in ("unit", "base_outcome", "base_id", "base_point", "more_here", "new_here", "a", "b"):
             setattr(self, name, getattr(self, name)[:n])
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order 2's and order 1's id, and where the outcomes "order 1" and "neither" begin."""
-        h = self.a * 40503
-        self.at1 = self.base1 + ((h >> 6) & (SLOTS1 - 1))
-        self.at2 = self.base2 + (((h + self.b * 30011) >> 5) & (SLOTS2 - 1))
-        v1, v2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.c1, self.c2 = v1 >> 16, v2 >> 16
-        self.context = self.base16 + ((self.c1 << 2) + self.c2)
-        return v2 & 0xFFFF, v1 & 0xFFFF, self.one.take(self.context), self.two.take(self.context)
-
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each id, out of 2^ID_BITS."""
-        group, first, second = ids >> 10, (ids >> 5) & (HALF - 1), ids & (HALF - 1)
-        start, width = self.group.interval(self.row, group)
-        self.context1, self.context2 = self.base_half + group, self._second_context(group, first)
-        for half, context, symbol in ((self.half1, self.context1, first), (self.half2, self.context2, second)):
-            below, part = half.interval(context, symbol)
-            start, width = (start << HALF_BITS) + width * below, width * part
-        return start, width
-
-    def _second_context(self, group: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.base_half + ((group * 37 + first * 11) & (GROUPS - 1))
-
-    def order0_at(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds the point, out of 2^ID_BITS; its start and width."""
-        group = self.group.find(self.row, point >> 2 * HALF_BITS)
-        start, width = self.group.interval(self.row, group)
-        point = (point - (start << 2 * HALF_BITS)) // width
-        self.context1 = self.base_half + group
-        first = self.half1.find(self.context1, point >> HALF_BITS)
-        below, part = self.half1.interval(self.context1, first)
-        start, width = (start << HALF_BITS) + width * below, width * part
-        self.context2 = self._second_context(group, first)
-        second = self.half2.find(self.context2, (point - (below << HALF_BITS)) // part)
-        below, part = self.half2.interval(self.context2, second)
-        return (group << 10) + (first << 5) + second, (start << HALF_BITS) + width * below, width * part
-
-    def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, missed: np.ndarray) -> None:
-        """After order0 or order0_at; where neither order was right order 0 learns too."""
-        outcome = np.where(right2, 0, 1 + missed)
-        at = self.context * 3 + outcome
-        seen = self.seen.reshape(-1)
-        seen[at] = seen.take(at) + 4
-        ids32 = ids.astype(np.int32)
-        self.table1[self.at1] = ids32 + ((np.minimum(self.c1 + 1, 3) * right1) << 16)
-        self.table2[self.at2] = ids32 + ((np.minimum(self.c2 + 1, 3) * right2) << 16)
-        missed = missed.astype(np.int16)
-        self.group.count(self.row, ids >> 10, 12 * missed)
-        missed *= 6
-        self.half1.count(self.context1, (ids >> 5) & (HALF - 1), missed)
-        self.half2.count(self.context2, ids & (HALF - 1), missed)
-        self.b = self.a
+        self.base = self.base[:, :n]
+
+    def predict(self) -> np.ndarray:
+        """Order 1's and order 2's id."""
+        at = np.empty((2, self.n), np.int64)
+        at[0] = self.a
+        at[1] = ((self.a * 40503 + self.b) >> 5) & (IDS - 1)
+        at += self.base
+        self.at, self.value = at, self.table.take(at)
+        sure = self.value >> 16
+        self.context = self.base_outcome + (sure[0] * 4 + sure[1]) * 3
+        return self.value & 0xFFFF
+
+    def interval(self, outcome: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of an outcome (0: order 2, 1: order 1, 2: neither) and, within "neither", of the id; both are counted."""
+        k = self.context + outcome
+        e = self.base_id + np.where(outcome == 2, ids, IDS)
+        self.outcomes.append(k)
+        self.missed.append(e)
+        room = self.room.take(k)
+        return (self.below.take(k) << ID_BITS) + room * self.starts.take(e), room * self.widths.take(e)
+
+    def find(self, slot: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The outcome and the id whose interval holds the slot."""
+        high = slot >> ID_BITS
+        two = self.below[2:].take(self.context)
+        missed = high >= two
+        outcome = np.add(high >= self.below[1:].take(self.context), missed, dtype=np.int64)
+        point = ((slot - (two << ID_BITS)) / self.room[2:].take(self.context)).astype(np.int64)  # exact, of 34 bits by 12
+        point = np.maximum(point, 0)
+        known = self.ids_of_points.take((point >> FINE) + self.base_point)
+        ids = np.where(point < self.new_here, point >> self.more_here, known)
+        return outcome, np.where(missed, ids, np.where(outcome == 1, predicted[0], predicted[1]))
+
+    def update(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """What follows the contexts now; right says whether order 1 and order 2 had the ids."""
+        self.table[self.at] = np.where(right, np.minimum(self.value + (1 << 16), ids + SURE), ids)
+        self.b = self.a * 30011
         self.a = ids
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Range-codes each block of ids (below 65536) by itself."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
-        for i, payload in zip(lanes, _encode([blocks[i] for i in lanes]), strict=True):
-            out[i] = payload
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First and end of the blocks that are coded at once, and the unit of each, for files of as many blocks as given."""
+    at, first, of = 0, 0, []
+    for size in sizes:
+        for begin in range(0, size, UNIT):
+            n = min(UNIT, size - begin)
+            if len(of) and at - first + n > LANES:
+                yield first, at, np.repeat(np.arange(len(of)), of)
+                first, of = at, []
+            of.append(n)
+            at += n
+    if of:
+        yield first, at, np.repeat(np.arange(len(of)), of)
+
+
+def encode_blocks(blocks: list[np.ndarray], sizes: list[int] | None = None) -> list[bytes]:
+    """Range-codes blocks of ids (below 65536) of files of as many blocks as given, or of one file."""
+    out: list[bytes] = []
+    for first, end, unit in _groups([len(blocks)] if sizes is None else sizes):
+        own = blocks[first:end]
+        order = np.argsort([-len(b) for b in own], kind="stable")
+        coded = dict(zip(order.tolist(), _encode([own[i] for i in order], unit[order]), strict=True))
+        out += [coded[i] for i in range(len(own))]
     return out
 
 
@@ -213,13 +211,13 @@ def _active(lengths: np.ndarray, steps: int) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(steps), "left")
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode(blocks: list[np.ndarray], unit: np.ndarray) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     n, steps = len(blocks), int(lengths.max(initial=0))
     ids = np.zeros((steps, n), np.uint16)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
-    model = Model(n)
+    model = Model(unit)
     low, size = np.zeros(n, np.uint64), np.full(n, ALL)
     words: list[tuple[np.ndarray, np.ndarray]] = []
     ended: list[np.ndarray] = []
@@ -233,10 +231,8 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if t:
             model.refresh(t)
         own = ids[t, :m].astype(np.int64)
-        p2, p1, one, two = model.predict()
-        right2, right1 = p2 == own, p1 == own
-        missed = ~(right2 | right1)
-        start, width = _interval(one, two, right2, missed, *model.order0(own))
+        right = model.predict() == own
+        start, width = model.interval(np.where(right[1], 0, 2 - right[0]), own)
         part = size >> SHIFT
         low = low + part * start.view(np.uint64)
         size = part * width.view(np.uint64)
@@ -248,7 +244,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             of = size.take(small) << SIXTEEN
             size[small] = of
             small = small[of < TOP]
-        model.update(own, right2, right1, missed)
+        model.update(own, right)
     low = np.concatenate([low, *reversed(ended)])
     for _ in range(4):  # the last 56 bits
         words.append((np.arange(n, dtype=np.uint16), (low >> FORTY).astype(np.uint32)))
@@ -256,13 +252,6 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     return _carried(words, n)
 
 
-def _interval(one: np.ndarray, two: np.ndarray, right2: np.ndarray, missed: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of an outcome and, within "neither", of order 0's interval."""
-    room = (1 << OUTCOME_BITS) - two
-    start = np.where(missed, (two << ID_BITS) + room * start, np.where(right2, 0, one << ID_BITS))
-    return start, np.where(missed, room * width, np.where(right2, one, two - one) << ID_BITS)
-
-
 def _carried(words: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[bytes]:
     """Each block's 16-bit words in order, with carries taken to the words before."""
     lane = np.concatenate([w[0] for w in words])
@@ -278,21 +267,21 @@ def _carried(words: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[bytes]:
     return [raw[2 * s : 2 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
-        for i, ids in zip(lanes, _decode([payloads[i] for i in lanes], [lengths[i] for i in lanes]), strict=True):
-            out[i] = ids
+def decode_blocks(payloads: list[bytes], lengths: list[int], sizes: list[int] | None = None) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for first, end, unit in _groups([len(payloads)] if sizes is None else sizes):
+        order = np.argsort([-n for n in lengths[first:end]], kind="stable")
+        places = (first + order).tolist()
+        ids = dict(zip(places, _decode([payloads[i] for i in places], [lengths[i] for i in places], unit[order]), strict=True))
+        out += [ids[i] for i in range(first, end)]
     return out
 
 
-def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
+def _decode(payloads: list[bytes], counts: list[int], unit: np.ndarray) -> list[np.ndarray]:
     lengths = np.array(counts)
     n, steps = len(payloads), int(lengths.max(initial=0))
     ids = np.zeros((steps, n), np.uint16)
-    model = Model(n)
+    model = Model(unit)
     sizes = np.array([len(p) for p in payloads])
     raw = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint16)
     words = (raw[:-1] << 8) | raw[1:]  # the 16 bits from each byte on
@@ -311,14 +300,11 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
             code, size, place = code[:m], size[:m], place[:m]
         if t:
             model.refresh(t)
-        p2, p1, one, two = model.predict()
+        predicted = model.predict()
         part = size >> SHIFT
         slot = np.minimum(code // part, np.uint64((1 << int(SHIFT)) - 1)).view(np.int64)
-        outcome = slot >> ID_BITS
-        right2, missed = outcome < one, outcome >= two
-        id0, start, width = model.order0_at(np.maximum(slot - (two << ID_BITS), 0) // ((1 << OUTCOME_BITS) - two))
-        own = np.where(missed, id0, np.where(right2, p2, p1))
-        start, width = _interval(one, two, right2, missed, start, width)
+        outcome, own = model.find(slot, predicted)
+        start, width = model.interval(outcome, own)
         code = code - part * start.view(np.uint64)
         size = part * width.view(np.uint64)
         small = np.flatnonzero(size < TOP)
@@ -330,7 +316,7 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
             size[small] = of
             small = small[of < TOP]
         ids[t, :m] = own
-        model.update(own, right2, p1 == own, missed)
+        model.update(own, predicted == own)
     return [np.ascontiguousarray(ids[:length, i]) for i, length in enumerate(counts)]
 
 
@@ -342,7 +328,7 @@ def write_files(documents: list[list[tuple[int, np.ndarray]]]) -> list[bytes]:
         cut = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
         of_file.append(len(cut))
         blocks += cut
-    payloads = encode_blocks(blocks)
+    payloads = encode_blocks(blocks, of_file)
     out, at = [], 0
     for own, n in zip(documents, of_file, strict=True):
         index = zlib.compress(np.array([x[0] for x in own], "<i8").tobytes() + np.array([len(x[1]) for x in own], "<i8").tobytes(), 1)
@@ -375,7 +361,7 @@ def read_files(files: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
             lengths.append(length)
             sums.append(crc)
             at += 12 + size
-    blocks = decode_blocks(payloads, lengths)
+    blocks = decode_blocks(payloads, lengths, [n for _, _, n in heads])
     for block, payload, crc in zip(blocks, payloads, sums, strict=True):
         if _sum(block, payload) != crc:
             raise ValueError("a block's checksum does not hold")

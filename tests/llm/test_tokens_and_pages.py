@@ -83,6 +83,60 @@ def test_range_coder_shrinks_real_ids():
     assert sum(map(len, tokenfile.encode_blocks(mixed))) < 0.6 * 2 * sum(map(len, mixed))
 
 
+def zipf_blocks(n: int, size: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(3)
+    return [(rng.zipf(1.3, size) % 50_000).astype(np.uint16) for _ in range(n)]
+
+
+def test_blocks_of_a_file_share_a_model():
+    blocks = zipf_blocks(32, 600)
+    together, alone = tokenfile.encode_blocks(blocks), [tokenfile.encode_blocks([b])[0] for b in blocks]
+    assert sum(map(len, together)) < 0.9 * sum(map(len, alone))
+
+
+def test_a_step_of_the_coder_is_a_few_calls():
+    """CPU seconds go to the numpy calls of each step: decoding took 98 of them, encoding 62, when order 0 was searched bit by bit."""
+    import sys
+
+    blocks = zipf_blocks(8, 600)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    def steps(run):
+        nonlocal calls
+        calls, before = 0, sys.getprofile()
+        sys.setprofile(count)
+        try:
+            return run(), calls / 600
+        finally:
+            sys.setprofile(before)
+
+    payloads, encoding = steps(lambda: tokenfile.encode_blocks(blocks))
+    got, decoding = steps(lambda: tokenfile.decode_blocks(payloads, [600] * 8))
+    assert all((a == b).all() for a, b in zip(got, blocks, strict=True))
+    assert encoding < 50 and decoding < 60
+
+
+def test_token_files_are_read_alone_and_together(monkeypatch):
+    """Files of several units, cut into several groups that are coded at once, with documents of all lengths."""
+    monkeypatch.setattr(tokenfile, "BLOCK", 64)
+    monkeypatch.setattr(tokenfile, "UNIT", 4)
+    monkeypatch.setattr(tokenfile, "LANES", 6)
+    ids = np.concatenate(zipf_blocks(1, 5000))
+    cuts = [0, 700, 700, 701, 1900, 1964, 2300, 5000]
+    documents = [[(i, ids[a:b])] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    documents[0].append((70, ids[:65]))
+    files = tokenfile.write_files([*documents, []])
+    plain = lambda read: [[(d, x.tolist()) for d, x in own] for own in read]
+    want = plain([*documents, []])
+    assert plain(tokenfile.read_files(files)) == want
+    assert [plain(tokenfile.read_files([f]))[0] for f in files] == want
+    assert [tokenfile.write_files([d])[0] for d in documents] == files[:-1]
+
+
 def test_token_files_refuse_large_ids(spark, tmp_path):
     import json
 
