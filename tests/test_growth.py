@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.operators import reconcile, stored
+from geolith.operators import reconcile, spatial_join, stored
 from geolith.plans import artifacts, maps
 from geolith.sources import tree
 
@@ -72,3 +72,14 @@ def test_sides_of_a_plan_are_not_broadcast(spark):
 def test_points_and_shapes_that_are_alike_are_tested_once(spark):
     for name in (maps.exact_hit_test, maps.triangle_hits):
         assert plan(name(spark, D)).count("collect_list") >= 2
+
+
+def test_copies_of_points_and_shapes_do_not_meet_again(spark, tmp_path, monkeypatch):
+    """Three copies of each side give nine times the pairs by as many rows in the join as one."""
+    sides, meet = [], spatial_join._meet
+    monkeypatch.setattr(spatial_join, "_meet", lambda own, near, *rest: (sides.append((own.count(), near.count())), meet(own, near, *rest))[1])
+    for table, key, step in (("part", "p_partkey", 40 * 23), ("customer", "c_custkey", 300 * 433)):
+        copies = spark.read.parquet(f"{D}/{table}.parquet").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        copies.withColumn(key, F.col(key) + F.col("copy") * step).drop("copy").write.parquet(f"{tmp_path}/{table}.parquet")
+    assert maps.exact_hit_test(spark, str(tmp_path)).count() == 9 * maps.exact_hit_test(spark, D).count() > 0
+    assert len(sides) == 2 and sides[0] == sides[1]
