@@ -16,8 +16,10 @@ BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 DEEPEST, STEP = 20, 2
 #: Boxes of one cell that meet in one group at most; a cell with more of them has several groups.
 BLOCK = 2048
-#: Keys of one box that are tested together at most; a box with more of them comes several times.
-COPIES = 1024
+#: Keys of these boxes at most, where a box stands for several: the pairs of a group, and so the time of a task, are bounded by its square.
+KEYS = 8192
+#: Keys of one box that are tested together at most; a box with more of them comes several times.  The pairs of two bundles are in memory at once.
+COPIES = 256
 
 
 def _placed(df: DataFrame, box: tuple[Column, Column, Column, Column]) -> DataFrame:
@@ -50,7 +52,8 @@ def _sides(owners: DataFrame, visitors: DataFrame, deeper: bool) -> tuple[DataFr
 
     An owner stands in the cells that it covers at its own level, a visitor in those that it covers at every level that owners
     have: an equi-join by cell, in which a pair is found in the first cell that both cover.  A cell of more than
-    BLOCK owners or visitors is cut on either side, and each block of owners meets each block of visitors in a group of its own.
+    BLOCK owners or visitors, or of more than KEYS keys of theirs (__weight; 1 without that column), is cut on either side, and each block
+    of owners meets each block of visitors in a group of its own.
     """
     own = _in_cells(owners, "o")
     levels = owners.agg(F.coalesce(F.collect_set("__level"), F.array().cast("array<int>"))).scalar()  # DEEPEST / STEP + 1 at most
@@ -60,8 +63,13 @@ def _sides(owners: DataFrame, visitors: DataFrame, deeper: bool) -> tuple[DataFr
     up = F.col("__level") - F.col("__at")
     near = near.withColumns({c: F.call_function("shiftright", F.col(c), up) for c in ("__x0", "__x1", "__y0", "__y1")}).withColumn("__level", F.col("__at")).drop("__at")
     near = _in_cells(near, "v")
-    counts = own.groupBy(*CELL_KEY).agg(F.count("*").alias("__n")).withColumn("__of", F.lit(0)).unionByName(near.groupBy(*CELL_KEY).agg(F.count("*").alias("__n")).withColumn("__of", F.lit(1)))
-    many = counts.where(F.col("__n") > BLOCK).groupBy(*CELL_KEY).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("__of") == i, F.col("__n"))), F.lit(1)) / BLOCK).cast("int").alias(f"__blocks{i}") for i in (0, 1)])
+
+    def counted(rows: DataFrame, side: int) -> DataFrame:
+        keys = F.sum("__weight") if "__weight" in rows.columns else F.count("*")
+        return rows.groupBy(*CELL_KEY).agg(F.greatest(F.count("*") / BLOCK, keys / KEYS).alias("__n")).withColumn("__of", F.lit(side))
+
+    counts = counted(own, 0).unionByName(counted(near, 1))
+    many = counts.where(F.col("__n") > 1).groupBy(*CELL_KEY).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("__of") == i, F.col("__n"))), F.lit(1))).cast("int").alias(f"__blocks{i}") for i in (0, 1)])
 
     def blocked(rows: DataFrame, mine: int) -> DataFrame:
         """__b0 and __b1: a block of its own side, and every block of the other."""
@@ -69,27 +77,29 @@ def _sides(owners: DataFrame, visitors: DataFrame, deeper: bool) -> tuple[DataFr
         n, other = F.coalesce(f"__blocks{mine}", F.lit(1)), F.coalesce(f"__blocks{1 - mine}", F.lit(1))
         side = "o" if mine == 0 else "v"
         j = j.withColumn(f"__b{mine}", F.pmod(F.xxhash64(f"__{side}box", F.monotonically_increasing_id()), n).cast("int"))
-        return j.withColumn(f"__b{1 - mine}", F.explode(F.sequence(F.lit(0), other - 1))).drop("__blocks0", "__blocks1")
+        return j.withColumn(f"__b{1 - mine}", F.explode(F.sequence(F.lit(0), other - 1))).drop("__blocks0", "__blocks1", "__weight")
 
     return blocked(own, 0), blocked(near, 1)
 
 
 def _meet(owners: DataFrame, visitors: DataFrame, test, deeper: bool = False) -> DataFrame:
     """Pairs of rows whose boxes pass the test, of placed owners and visitors at the owner's level or deeper (with ``deeper`` only deeper)."""
-    own, near = _sides(owners, visitors, deeper)
-    j = own.hint("merge").join(near, [*CELL_KEY, "__b0", "__b1"])  # sizes of files say little about rows that are alike or were exploded
+    group = [*CELL_KEY, "__b0", "__b1"]
+    n = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as partitions that are merged by their bytes differ much in their pairs
+    own, near = (side.repartition(n, *group) for side in _sides(owners, visitors, deeper))
+    j = own.hint("merge").join(near, group)  # sizes of files say little about rows that are alike or were exploded
     first = (F.col("__gx") == F.greatest("__ox", "__vx")) & (F.col("__gy") == F.greatest("__oy", "__vy"))
     hit = test(tuple(F.col(f"__obox.{c}") for c in BOUNDS), tuple(F.col(f"__vbox.{c}") for c in BOUNDS))
-    return j.where(first & hit).drop(*CELL_KEY, "__b0", "__b1", "__ox", "__oy", "__vx", "__vy", "__obox", "__vbox")
+    return j.where(first & hit).drop(*group, "__ox", "__oy", "__vx", "__vy", "__obox", "__vbox")
 
 
 def _bundled(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Rows that are alike in ``by`` as one row with their keys in an array, COPIES of them at most on average where keys differ."""
+    """Rows that are alike in ``by`` as one row with their keys in an array and their number as __weight, COPIES of them at most on average where keys differ."""
     rows = rows.withColumn("__h", F.xxhash64(*by))  # rows of one digest that differ are cut more often than they need, no more
     many = rows.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > COPIES).select("__h", F.ceil(F.col("__n") / COPIES).alias("__of"))
     cut = rows.join(many, "__h", "left")
     slice_ = F.when(F.col("__of").isNotNull(), F.pmod(F.xxhash64(key), F.col("__of"))).otherwise(F.lit(0))
-    return cut.withColumn("__slice", slice_).groupBy(*by, "__slice").agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("__keys")).drop("__slice")
+    return cut.withColumn("__slice", slice_).groupBy(*by, "__slice").agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("__keys"), F.count("*").alias("__weight")).drop("__slice")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, test=overlaps) -> DataFrame:
@@ -98,19 +108,27 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     Boxes of all sizes meet in a hierarchy of grids, the broader of the two in its own cells (see _meet), so that one broad box costs as much as
     others, and a cell of very many boxes is divided over tasks.  Boxes that are the same are tested once, and their keys are paired last.
     """
-    box = tuple(F.col(c) for c in BOUNDS)
-    a = _placed(_bundled(left.select(F.col(left_key).alias("a_key"), *BOUNDS), "a_key", list(BOUNDS)).withColumnRenamed("__keys", "__a"), box).drop(*BOUNDS)
-    b = _placed(_bundled(right.select(F.col(right_key).alias("b_key"), *BOUNDS), "b_key", list(BOUNDS)).withColumnRenamed("__keys", "__b"), box).drop(*BOUNDS)
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("key"), *BOUNDS).repartition("key")  # one small file may hold very many rows
+        bundles, _ = save(_bundled(rows, "key", list(BOUNDS)), "bundles")  # read several times below
+        return _placed(bundles.withColumnRenamed("__keys", name), tuple(F.col(c) for c in BOUNDS)).drop(*BOUNDS)
+
+    a, b = side(left, left_key, "__a"), side(right, right_key, "__b")
     swapped = lambda x, y: test(y, x)
     found = _meet(a, b, test).select("__a", "__b").unionByName(_meet(b, a, swapped, deeper=True).select("__a", "__b"))
     return _expanded(found, {"__a": "a_key", "__b": "b_key"})
 
 
 def _expanded(found: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Each pair of keys of two bundles."""
-    for bundle, name in keys.items():
+    """Each pair of keys of two bundles.
+
+    Keys leave their structs by a lambda, which Spark doesn't fuse with what lies below.  Explodes that are fused with a merge join hold
+    the pairs of a row with all its matches in memory before the first is given.
+    """
+    found = found.select(*[F.transform(bundle, lambda x: x.k).alias(bundle) for bundle in keys])
+    for bundle in keys:
         found = found.withColumn(bundle, F.explode(bundle))
-    return found.select(*[F.col(f"{bundle}.k").alias(name) for bundle, name in keys.items()])
+    return found.select(*[F.col(bundle).alias(name) for bundle, name in keys.items()])
 
 
 def components(pairs: DataFrame, a: str = "a_key", b: str = "b_key", side: bool = True) -> DataFrame:

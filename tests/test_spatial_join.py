@@ -1,6 +1,7 @@
 """Joins of boxes of all sizes against brute force, and how a hot cell is divided."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -115,3 +116,25 @@ def test_no_side_is_broadcast(spark):
     assert plan.count("SortMergeJoin") >= 2 and "__obox" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
     sides = [x for x in plan.splitlines() if "Join" in x and "__gx" in x and "__b0" in x]
     assert sides and all("SortMergeJoin" in x for x in sides)
+
+
+def test_pairs_of_copies_are_spread(spark, monkeypatch):
+    """Few boxes of many keys in one cell: no task has most of their pairs."""
+    monkeypatch.setattr(spatial_join, "KEYS", 50, raising=False)
+    left = [(20 * i + k, i * 1e-5, 0.0, i * 1e-5 + 0.01, 0.01) for i in range(20) for k in range(20)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame([(1000 + x[0], *x[1:]) for x in left], SCHEMA)
+    found = spatial_join.overlap_pairs(a, b, "id", "id").withColumn("part", F.spark_partition_id())
+    rows = found.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("a_key", "b_key").alias("different")).collect()
+    assert sum(r.n for r in rows) == sum(r.different for r in rows) == 400 * 400
+    assert max(r.n for r in rows) < 400 * 400 / 2
+
+
+def test_keys_are_paired_apart_from_the_join(spark):
+    """Fused with a merge join, the pairs of a row with all its matches would be in memory before the first is given."""
+    rows = spark.createDataFrame([(i, i % 3 * 0.1, 0.0, i % 3 * 0.1 + 0.5, 1.0) for i in range(30)], SCHEMA)
+    points = rows.selectExpr("id AS p", "min_x AS x", "min_y AS y")
+    for df, n in ((spatial_join.overlap_pairs(rows, rows, "id", "id"), 900), (spatial_join.hit_test(points, rows, "p", "id"), 600)):
+        assert len(df.collect()) == n
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        of = {kind: set(re.findall(rf"\*\((\d+)\) {kind}", final)) for kind in ("SortMergeJoin", "Generate explode\\(__")}
+        assert all(of.values()) and not set.intersection(*of.values())
